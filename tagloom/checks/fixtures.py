@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table read in fewer splits than there are cores is spread by its key. Large tables have
+    more splits than cores and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``row_id, sentence``: one tagged sentence per order."""
     key = F.col("o_orderkey")
@@ -35,7 +42,7 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" 샀다~~"),
     )
     return (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders"), "o_orderkey")
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(key.alias("row_id"), sentence.alias("sentence"))
@@ -71,7 +78,7 @@ def bleu_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(row_id % 7 == 0, F.lit("a b"))
         .otherwise(label)
     )
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations"), "conv_id").select(
         row_id.alias("row_id"), label.alias("label"), pred.alias("pred")
     )
 
@@ -79,12 +86,13 @@ def bleu_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def noun_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id`` and one noun array per analyzer; the analyzers differ in the shortest noun."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
-    longer = {
-        f"{a}_nouns": F.filter("words", lambda w, n=n: F.char_length(w) >= n)
-        for n, a in enumerate(ANALYZERS, start=2)
-    }
-    return rows.select("doc_id", *[column.alias(name) for name, column in longer.items()])
+    rows = spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", words.alias("words"))
+
+    def at_least(n: int) -> Column:
+        return F.filter("words", lambda w: F.char_length(w) >= n)
+
+    nouns = [at_least(n).alias(f"{a}_nouns") for n, a in enumerate(ANALYZERS, start=2)]
+    return rows.select("doc_id", *nouns)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
