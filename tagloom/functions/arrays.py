@@ -21,49 +21,3 @@ def positions(size: Column) -> Column:
     return F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(
         F.array().cast("array<int>")
     )
-
-
-def total(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0), lambda acc, x: acc + x)
-
-
-def multiset_overlap(left: Column, right: Column) -> Column:
-    """Size of the multiset intersection: the sum of ``min(count_left, count_right)``.
-
-    Sorts both sides together and compares neighbouring runs of equal values, so the cost is
-    that of one sort and nothing leaves the row.
-    """
-
-    def side(values: Column, mark: int) -> Column:
-        return F.transform(values, lambda v: F.struct(v.alias("v"), F.lit(mark).alias("side")))
-
-    def run_starts(items: Column) -> Column:
-        return F.filter(
-            positions(F.size(items)),
-            lambda i: (i == 0) | (F.get(items, i - 1) != F.get(items, i)),
-        )
-
-    def runs(state: Column) -> Column:
-        items, starts = state["items"], state["starts"]
-        ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(items)))
-        return F.zip_with(
-            starts,
-            ends,
-            lambda a, b: F.struct(F.get(items, a).alias("item"), (b - a).alias("n")),
-        )
-
-    def overlap(run: Column) -> Column:
-        def shared(i: Column) -> Column:
-            here, before = F.get(run, i), F.get(run, i - 1)
-            pair = (i > 0) & (here["item"]["v"] == before["item"]["v"])
-            return F.when(pair, F.least(here["n"], before["n"])).otherwise(F.lit(0))
-
-        return total(F.transform(positions(F.size(run)), shared))
-
-    merged = F.sort_array(F.concat(side(left, 0), side(right, 1)))
-    with_starts = let(
-        merged, lambda items: F.struct(items.alias("items"), run_starts(items).alias("starts"))
-    )
-    return F.when(F.size(left).eqNullSafe(0) | F.size(right).eqNullSafe(0), F.lit(0)).otherwise(
-        let(let(with_starts, lambda state: runs(state)), overlap)
-    )

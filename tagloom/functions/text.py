@@ -18,7 +18,10 @@ def strip(text: Column) -> Column:
 
 
 def whitespace_tokens(text: Column) -> Column:
-    return F.filter(F.split(text, WHITESPACE_CLASS + "+"), lambda token: token != "")
+    text = strip(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(
+        F.split(text, WHITESPACE_CLASS + "+")
+    )
 
 
 def with_prefix(text: Column, prefix: str) -> Column:

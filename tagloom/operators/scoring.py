@@ -5,18 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.ngrams import MAX_ORDER, clipped_matches, ngram_total, tokens_13a
+from tagloom.functions.ngrams import BLEU_COLUMNS, MAX_ORDER, bleu_counts
 from tagloom.functions.segments import accuracy, f1_score, recalled, segments, true_positives
 from tagloom.functions.text import without_prefix
 
 ORDERS = range(1, MAX_ORDER + 1)
-BLEU_COLUMNS = (
-    *[f"matches_{n}" for n in ORDERS],
-    *[f"totals_{n}" for n in ORDERS],
-    "pred_len",
-    "label_len",
-)
-
 
 def strip_label_prefix(pairs: DataFrame, label_prefix: str) -> DataFrame:
     return pairs.withColumns({c: without_prefix(F.col(c), label_prefix) for c in ("pred", "label")})
@@ -52,18 +45,8 @@ def macro_scores() -> list[Column]:
 
 def with_bleu_counts(pairs: DataFrame) -> DataFrame:
     """Adds clipped matches and totals per order and both lengths. Row-local as well."""
-    pred, gold = F.col("_pred_tokens"), F.col("_gold_tokens")
-    parsed = pairs.withColumns(
-        {"_pred_tokens": tokens_13a(F.col("pred")), "_gold_tokens": tokens_13a(F.col("label"))}
-    )
-    return parsed.withColumns(
-        {
-            **{f"matches_{n}": clipped_matches(pred, gold, n) for n in ORDERS},
-            **{f"totals_{n}": ngram_total(pred, n) for n in ORDERS},
-            "pred_len": F.size(pred).cast("bigint"),
-            "label_len": F.size(gold).cast("bigint"),
-        }
-    ).drop("_pred_tokens", "_gold_tokens")
+    counted = pairs.withColumn("_bleu", bleu_counts("pred", "label"))
+    return counted.select(*pairs.columns, "_bleu.*")
 
 
 def bleu_sums() -> list[Column]:
