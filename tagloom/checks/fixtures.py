@@ -86,7 +86,7 @@ def bleu_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def noun_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id`` and one noun array per analyzer; the analyzers differ in the shortest noun."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    rows = spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", words.alias("words"))
+    rows = documents(spark, sf_dir).select("doc_id", words.alias("words"))
 
     def at_least(n: int) -> Column:
         return F.filter("words", lambda w: F.char_length(w) >= n)
@@ -95,6 +95,10 @@ def noun_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *nouns)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")

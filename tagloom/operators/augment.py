@@ -9,6 +9,7 @@ from tagloom.functions.hashing import draw
 from tagloom.functions.text import with_prefix
 from tagloom.operators.dictionary import entities, entity_dictionary
 from tagloom.operators.split import SEED
+from tagloom.session import materialise
 
 # A dictionary up to this many bytes travels inside the plan; a larger one is joined.
 INLINE_BYTES = 1 << 20
@@ -121,7 +122,8 @@ def swap_entities(
     round, position and seed. The size of the dictionary decides between the two forms; both
     give the same rows.
     """
-    dictionary = entity_dictionary(prepared) if dictionary is None else dictionary
+    if dictionary is None:
+        dictionary = materialise(entity_dictionary(prepared), "dictionary")
     size = dictionary.agg(F.sum(F.octet_length("name") + F.octet_length("tag"))).first()[0] or 0
     if size > inline_bytes:
         return swap_joined(prepared, dictionary, rounds, seed, label_prefix)

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions.arrays import elements
 from tagloom.operators.numbering import number_by_hash
 
 
 def entities(prepared: DataFrame, *keep: str) -> DataFrame:
     """One row per entity: ``pos, raw, name, tag`` and the columns to keep."""
-    return prepared.select(*keep, F.posexplode("labels").alias("pos", "label")).select(
+    return elements(prepared, keep, F.col("labels"), "label", pos="pos").select(
         *keep, "pos", "label.raw", "label.name", "label.tag"
     )
 
 
 def distinct_names(prepared: DataFrame) -> DataFrame:
-    return prepared.select(F.explode("labels").alias("label")).select("label.tag", "label.name").distinct()
+    return elements(prepared, [], F.col("labels"), "label").select("label.tag", "label.name").distinct()
 
 
 def entity_dictionary(prepared: DataFrame) -> DataFrame:

@@ -7,17 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions.arrays import elements
 from tagloom.functions.tags import TAGS
 from tagloom.functions.text import whitespace_tokens
 
 # Fixed value: tokens of a tag list are runs of at least two word characters.
-WORD_REGEX = r"[\p{L}\p{N}_]{2,}"
+WORD_REGEX = r"[\p{L}\p{N}_]{2,}+"
 
 
 def tag_counts(prepared: DataFrame) -> DataFrame:
     """Entities per tag, in tag order."""
     return (
-        prepared.select(F.explode("entity").alias("tag"))
+        elements(prepared, [], F.col("entity"), "tag")
         .groupBy("tag")
         .agg(F.count(F.lit(1)).alias("n_entities"))
         .orderBy("tag")
@@ -56,7 +57,7 @@ def indicator_tags(prepared: DataFrame) -> DataFrame:
     words = F.array_distinct(
         F.regexp_extract_all(F.lower("joined_entity"), F.lit(WORD_REGEX), F.lit(0))
     )
-    return prepared.select(F.explode(words).alias("tag")).distinct().orderBy("tag")
+    return elements(prepared, [], words, "tag").distinct().orderBy("tag")
 
 
 def split_counts(split: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ MODEL_COLUMNS = ("input_sentence", "train_label")
 
 
 def signature(tags: Column) -> Column:
-    """The sorted set of a row's tags as one string."""
-    return F.array_join(F.array_sort(F.array_distinct(tags)), " ")
+    """The sorted set of a row's tags as one string, never NULL."""
+    return F.coalesce(F.array_join(F.array_sort(F.array_distinct(tags)), " "), F.lit(""))
 
 
 def stratified_folds(prepared: DataFrame, n_split: int = DEFAULT_FOLDS, seed: int = SEED) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.functions.arrays import elements
 from tagloom.operators.profile import WORD_REGEX
 from tagloom.operators.topk import top_n
+from tagloom.session import materialise
 
 # Fixed value: terms kept per corpus.
 MAX_FEATURES = 25_000
@@ -32,7 +34,7 @@ def vocabulary(docs: DataFrame, max_features: int = MAX_FEATURES, by: Sequence[s
     document counts a term once by construction, so no distinct over (document, term) is needed.
     """
     counts = (
-        docs.select(*by, F.explode("terms").alias("term"))
+        elements(docs, by, F.col("terms"), "term")
         .groupBy(*by, "term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
@@ -54,11 +56,9 @@ def weights(docs: DataFrame, vocab: DataFrame, by: Sequence[str] = ()) -> DataFr
     shuffled once, as compact term arrays, and the norm reuses that partitioning.
     """
     keys = [*by, "doc_id"]
-    hits = (
-        docs.select(*keys, "terms")
-        .repartition("doc_id")
-        .select(*keys, F.explode("terms").alias("term"))
-        .join(F.broadcast(vocab.select(*by, "term", "idf")), [*by, "term"])
+    spread = docs.select(*keys, "terms").repartition("doc_id")
+    hits = elements(spread, keys, F.col("terms"), "term").join(
+        F.broadcast(vocab.select(*by, "term", "idf")), [*by, "term"]
     )
     norm = F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy(*keys)))
     return hits.select(*keys, "term", (F.col("idf") / norm).alias("weight"))
@@ -69,8 +69,11 @@ def term_documents(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, max_features: int = MAX_FEATURES, by: Sequence[str] = ()) -> DataFrame:
-    """Long TF-IDF of ``doc_id, nouns``; with ``by``, of every group in one job."""
-    prepared = term_documents(docs, noun_text(F.col("nouns")), *by, "doc_id")
+    """Long TF-IDF of ``doc_id, nouns``; with ``by``, of every group in one job.
+
+    The term arrays are written once: vocabulary, document count and weights all read them.
+    """
+    prepared = materialise(term_documents(docs, noun_text(F.col("nouns")), *by, "doc_id"), "terms")
     return weights(prepared, vocabulary(prepared, max_features, by), by)
 
 

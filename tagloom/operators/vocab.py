@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions.arrays import elements
 from tagloom.functions.tags import TAGS
 from tagloom.functions.text import strip, whitespace_tokens
 from tagloom.operators.numbering import number_by_range
@@ -39,7 +40,7 @@ def build_vocabulary(
     fixed = [*SPECIALS, *reserved]
     tokens = F.concat(*[vocab_tokens(F.col(c), reserved) for c in columns])
     counts = (
-        texts.select(F.explode(tokens).alias("token"))
+        elements(texts, [], tokens, "token")
         .filter(~F.col("token").isin(fixed))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -22,9 +22,11 @@ from tagloom.session import materialise
 
 def documents_2d(docs: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     """``doc_id, point`` from ``doc_id, nouns``."""
-    terms = term_documents(docs, noun_text(F.col("nouns")), "doc_id")
+    terms = materialise(term_documents(docs, noun_text(F.col("nouns")), "doc_id"), "terms")
     vocab = materialise(vocabulary(terms, max_features), "vocabulary")
-    return svd_2d(tfidf_vectors(terms, vocab), weights(terms, vocab), vocab)
+    # The solver passes over the vectors many times; they are written once, sparse.
+    vectors = materialise(tfidf_vectors(terms, vocab), "vectors")
+    return svd_2d(vectors, weights(terms, vocab), vocab)
 
 
 def sweep_scores(
