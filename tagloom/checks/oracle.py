@@ -355,7 +355,9 @@ ORACLE = {
         f"select row_id, {basic_clean('sentence')} as org_sentence, array_to_string(raw, '|') as train_label from prep",
     ),
     "corrections": with_(f"{TAGGED},{CORRECTED}", "select row_id, sentence from corrected"),
-    "label_string": with_(PLAIN, "select row_id, train_label, joined_entity from prep"),
+    "label_string": with_(PLAIN, "select row_id, train_label from prep"),
+    "joined_entity": with_(PLAIN, "select row_id, joined_entity from prep"),
+    "prefixed": with_(PREFIXED, "select row_id, input_sentence, train_label from prep"),
     "name_tag_arrays": with_(
         PLAIN, "select row_id, array_to_string(name, '|') as name, array_to_string(entity, '|') as entity from prep"
     ),
@@ -376,6 +378,7 @@ ORACLE = {
         "round_even((coalesce(a.share_pct, 0) + coalesce(b.share_pct, 0)) / 2, 0) as mean_pct from a full join b using (tag)",
     ),
     "entity_dictionary": with_(f"{PLAIN},{ENTITIES},{DICTIONARY}", "select tag, idx, name from dict"),
+    "distinct_names": with_(f"{PLAIN},{ENTITIES}", "select distinct tag, name from ents"),
     "dictionary_sizes": with_(
         f"{PLAIN},{ENTITIES}", "select tag, count(distinct name) as n_names from ents group by tag"
     ),
@@ -480,6 +483,10 @@ ORACLE = {
         NOUNS, "select doc_id, analyzer, len(nouns) as n_nouns, array_to_string(nouns, ' ') as text from nouns"
     ),
     "noun_documents": with_(NOUNS, "select doc_id, analyzer, array_to_string(nouns, ' ') as text from nouns"),
+    "flattened_nouns": with_(
+        NOUNS,
+        "select doc_id, unnest(range(len(nouns))) as pos, unnest(nouns) as noun from nouns where analyzer = 'kkma'",
+    ),
     "tfidf_vocab": with_(tfidf("analyzer = 'kkma'"), "select term, df, round(idf, 6) as idf from vocab"),
     "tfidf_weights": with_(tfidf("analyzer = 'kkma'"), "select doc_id, term, weight from weights"),
     "tfidf_by_analyzer": with_(tfidf("true"), "select analyzer, doc_id, term, weight from weights"),

@@ -17,7 +17,7 @@ from tagloom.operators import cluster, silhouette
 from tagloom.operators.alignment import align
 from tagloom.operators.augment import augment, swap_entities
 from tagloom.operators.corrections import apply_corrections
-from tagloom.operators.dictionary import dictionary_sizes, entities, entity_dictionary
+from tagloom.operators.dictionary import dictionary_sizes, distinct_names, entities, entity_dictionary
 from tagloom.operators.infer import batch_map, batch_predict
 from tagloom.operators.numbering import number_by_key
 from tagloom.operators.profile import (
@@ -111,7 +111,15 @@ def corrected(spark, sf_dir):
 
 
 def label_strings(spark, sf_dir):
-    return plain(spark, sf_dir).select("row_id", "train_label", "joined_entity")
+    return plain(spark, sf_dir).select("row_id", "train_label")
+
+
+def joined_entity(spark, sf_dir):
+    return plain(spark, sf_dir).select("row_id", "joined_entity")
+
+
+def prefixed(spark, sf_dir):
+    return prefixed_rows(spark, sf_dir).select("row_id", "input_sentence", "train_label")
 
 
 def name_tag_arrays(spark, sf_dir):
@@ -180,6 +188,10 @@ def q_dictionary_sizes(spark, sf_dir):
     return dictionary_sizes(plain(spark, sf_dir))
 
 
+def q_distinct_names(spark, sf_dir):
+    return distinct_names(plain(spark, sf_dir))
+
+
 def unique_tags(spark, sf_dir):
     return indicator_tags(plain(spark, sf_dir))
 
@@ -445,6 +457,12 @@ def q_noun_documents(spark, sf_dir):
     return noun_documents(fx.noun_table(spark, sf_dir)).select("doc_id", "analyzer", noun_text(F.col("nouns")).alias("text"))
 
 
+def flattened_nouns(spark, sf_dir):
+    """All noun lists as one bag of nouns."""
+    nouns = elements(kkma_documents(spark, sf_dir), ["doc_id"], F.col("nouns"), "noun", pos="pos")
+    return nouns.withColumn("pos", F.col("pos").cast("bigint"))
+
+
 def tfidf_vocab(spark, sf_dir):
     docs = term_documents(kkma_documents(spark, sf_dir), noun_text(F.col("nouns")), "doc_id")
     return vocabulary(docs).select("term", "df", six("idf"))
@@ -507,13 +525,11 @@ def pca_2d(spark, sf_dir):
 
 
 def kmeans_sweep(spark, sf_dir):
-    points = materialise(cluster.pca_2d(fx.vectors(spark, sf_dir)), "points")
-    return sweep_means(sweep_scores(points, "vec_id"))
+    return sweep_means(sweep_scores(cluster.pca_2d(fx.vectors(spark, sf_dir)), "vec_id"))
 
 
 def kmeans_sweep_squared(spark, sf_dir):
-    points = materialise(cluster.pca_2d(fx.vectors(spark, sf_dir)), "points")
-    return sweep_means(sweep_scores(points, "vec_id", exact=False))
+    return sweep_means(sweep_scores(cluster.pca_2d(fx.vectors(spark, sf_dir)), "vec_id", exact=False))
 
 
 def tfidf_2d(spark, sf_dir):
@@ -527,6 +543,8 @@ QUERIES = {
     "clean_sentence_basic": clean_basic,
     "corrections": corrected,
     "label_string": label_strings,
+    "joined_entity": joined_entity,
+    "prefixed": prefixed,
     "name_tag_arrays": name_tag_arrays,
     "prepare_train": prepare_train,
     "prepare_test": prepare_test,
@@ -537,6 +555,7 @@ QUERIES = {
     "tag_share": q_tag_share,
     "tag_share_mean": q_tag_share_mean,
     "entity_dictionary": q_entity_dictionary,
+    "distinct_names": q_distinct_names,
     "dictionary_sizes": q_dictionary_sizes,
     "unique_tags": unique_tags,
     "label_indicators": q_label_indicators,
@@ -579,6 +598,7 @@ QUERIES = {
     "document_lines": document_lines,
     "noun_csv": noun_csv,
     "noun_documents": q_noun_documents,
+    "flattened_nouns": flattened_nouns,
     "tfidf_vocab": tfidf_vocab,
     "tfidf_weights": tfidf_weights,
     "tfidf_by_analyzer": tfidf_by_analyzer,

@@ -17,6 +17,9 @@ INLINE_BYTES = 1 << 20
 # Distinct join keys that every tag gets at least, however few names it has.
 MIN_SLOTS = 1024
 
+# The table of dictionary sizes has one row per tag; up to this many it is broadcast.
+BROADCAST_TAGS = 10_000
+
 
 def replace_first(text: Column, old: Column, new: Column) -> Column:
     """Replace the first literal occurrence; an empty ``old`` inserts in front."""
@@ -92,6 +95,8 @@ def swap_joined(
             )
         ).alias("slot"),
     )
+    if dictionary.select("tag").distinct().count() <= BROADCAST_TAGS:
+        sized = F.broadcast(sized)
     rows = _with_rounds(prepared, rounds)
     number = draw(F.col("row_id"), F.col("round"), F.col("pos"), F.lit(seed))
     spread = F.pmod(F.xxhash64("row_id", "round", "pos"), F.col("repeats"))

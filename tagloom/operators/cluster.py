@@ -12,6 +12,8 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.session import materialise
+
 # The sweep of the published analysis.
 SWEEP = (2, 3, 4, 5, 6, 7)
 MAX_ITER = 500
@@ -54,10 +56,10 @@ def kmeans_labels(
 ) -> DataFrame:
     """Adds ``labels``: the cluster of every row for each k, in the order of ``ks``.
 
-    The small 2-D frame is read once per iteration, so it is kept in memory (or on disk, if it
-    does not fit). All fitted models then label the rows in one narrow pass.
+    The 2-D points are written once, since every fit reads them; k-means caches its own input
+    while it iterates. All fitted models then label the rows in one narrow pass.
     """
-    frame = points.withColumn("_in", array_to_vector(F.col("point"))).persist()
+    frame = materialise(points, "points").withColumn("_in", array_to_vector(F.col("point")))
     labelled = frame
     for k in ks:
         model = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="_in", predictionCol=f"_k{k}").fit(frame)

@@ -17,6 +17,9 @@ from tagloom.session import materialise
 # Fixed value: terms kept per corpus.
 MAX_FEATURES = 25_000
 
+# Vocabularies of up to this many rows in all are broadcast.
+BROADCAST_TERMS = 1_000_000
+
 
 def noun_text(nouns: Column) -> Column:
     return F.array_join(nouns, " ")
@@ -52,14 +55,16 @@ def vocabulary(docs: DataFrame, max_features: int = MAX_FEATURES, by: Sequence[s
 def weights(docs: DataFrame, vocab: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``doc_id, term, weight`` for every kept term; each document has unit length.
 
-    The vocabulary has at most ``max_features`` rows per group and is broadcast. Documents are
-    shuffled once, as compact term arrays, and the norm reuses that partitioning.
+    ``vocab`` should be a stored table: it is counted, and broadcast if it is small enough.
+    Documents are then shuffled once, as compact term arrays, and the norm reuses that
+    partitioning.
     """
     keys = [*by, "doc_id"]
+    kept = vocab.select(*by, "term", "idf")
+    if vocab.count() <= BROADCAST_TERMS:
+        kept = F.broadcast(kept)
     spread = docs.select(*keys, "terms").repartition("doc_id")
-    hits = elements(spread, keys, F.col("terms"), "term").join(
-        F.broadcast(vocab.select(*by, "term", "idf")), [*by, "term"]
-    )
+    hits = elements(spread, keys, F.col("terms"), "term").join(kept, [*by, "term"])
     norm = F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy(*keys)))
     return hits.select(*keys, "term", (F.col("idf") / norm).alias("weight"))
 
@@ -74,7 +79,7 @@ def tfidf(docs: DataFrame, max_features: int = MAX_FEATURES, by: Sequence[str] =
     The term arrays are written once: vocabulary, document count and weights all read them.
     """
     prepared = materialise(term_documents(docs, noun_text(F.col("nouns")), *by, "doc_id"), "terms")
-    return weights(prepared, vocabulary(prepared, max_features, by), by)
+    return weights(prepared, materialise(vocabulary(prepared, max_features, by), "vocabulary"), by)
 
 
 def tfidf_vectors(docs: DataFrame, vocab: DataFrame) -> DataFrame:

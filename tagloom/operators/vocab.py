@@ -11,7 +11,6 @@ from tagloom.functions.arrays import elements
 from tagloom.functions.tags import TAGS
 from tagloom.functions.text import strip, whitespace_tokens
 from tagloom.operators.numbering import number_by_range
-from tagloom.operators.topk import top_n
 
 # Special ids, reserved tag tokens, truncation limits, the label mask.
 SPECIALS = ("<pad>", "</s>", "<unk>")
@@ -36,7 +35,10 @@ def vocab_tokens(text: Column, reserved: Sequence[str] = RESERVED) -> Column:
 def build_vocabulary(
     texts: DataFrame, columns: Sequence[str], reserved: Sequence[str] = RESERVED, max_size: int | None = None
 ) -> DataFrame:
-    """``token, id``: specials, reserved tokens, then all others by falling count and token."""
+    """``token, id``: specials, reserved tokens, then all others by falling count and token.
+
+    ``max_size`` keeps that many ids, the most frequent tokens.
+    """
     fixed = [*SPECIALS, *reserved]
     tokens = F.concat(*[vocab_tokens(F.col(c), reserved) for c in columns])
     counts = (
@@ -45,12 +47,11 @@ def build_vocabulary(
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    order = [F.col("n").desc(), F.col("token")]
-    if max_size is not None:
-        counts = top_n(counts, max_size - len(fixed), order, ["token"])
-    learned = number_by_range(counts, order, name="rank").select(
+    learned = number_by_range(counts, [F.col("n").desc(), F.col("token")], name="rank").select(
         "token", (F.col("rank") + len(fixed)).cast("int").alias("id")
     )
+    if max_size is not None:
+        learned = learned.filter(F.col("id") < max_size)
     given = texts.sparkSession.createDataFrame(list(zip(fixed, range(len(fixed)))), "token string, id int")
     return given.unionByName(learned)
 
