@@ -83,6 +83,12 @@ def prefixed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(fx.tagged(spark, sf_dir), PREFIX, LABEL_PREFIX)
 
 
+def stored(prepared: DataFrame) -> DataFrame:
+    """A prepared corpus written once, for jobs that pass over it more than once and then read
+    only the columns they need."""
+    return materialise(prepared, "prepared")
+
+
 # --- extraction and cleaning -------------------------------------------------------------------
 
 
@@ -175,7 +181,7 @@ def q_tag_share(spark, sf_dir):
 
 
 def q_tag_share_mean(spark, sf_dir):
-    rows = plain(spark, sf_dir)
+    rows = stored(plain(spark, sf_dir).select("row_id", "entity"))
     test = fx.in_test_part()
     return tag_share_mean(tag_counts(rows.filter(~test)), tag_counts(rows.filter(test)))
 
@@ -216,24 +222,25 @@ def row_numbering(spark, sf_dir):
 
 
 def folds(spark, sf_dir):
-    return stratified_folds(plain(spark, sf_dir), 10).select("row_id", "fold")
+    return stratified_folds(stored(plain(spark, sf_dir).select("row_id", "entity")), 10).select("row_id", "fold")
 
 
 def folds_default(spark, sf_dir):
-    return stratified_folds(plain(spark, sf_dir)).groupBy("fold", "joined_entity").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = stored(plain(spark, sf_dir).select("row_id", "entity", "joined_entity"))
+    return stratified_folds(rows).groupBy("fold", "joined_entity").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def train_valid_split(spark, sf_dir):
-    return labelled_split(prefixed_rows(spark, sf_dir), 10)
+    return labelled_split(stored(prefixed_rows(spark, sf_dir)), 10)
 
 
 def first_fold(spark, sf_dir):
-    _, valid = split_train_valid(plain(spark, sf_dir), 10)
+    _, valid = split_train_valid(stored(plain(spark, sf_dir)), 10)
     return valid.select("row_id", "input_sentence")
 
 
 def index_gather(spark, sf_dir):
-    rows = plain(spark, sf_dir)
+    rows = stored(plain(spark, sf_dir))
     _, valid = split_train_valid(rows, 4)
     ids = materialise(valid.select("row_id"), "valid-ids")
     parts = rows_in(rows, ids).withColumn("part", F.lit("valid")).unionByName(
@@ -243,22 +250,22 @@ def index_gather(spark, sf_dir):
 
 
 def q_split_counts(spark, sf_dir):
-    return split_counts(labelled_split(prefixed_rows(spark, sf_dir), 10))
+    return split_counts(labelled_split(stored(prefixed_rows(spark, sf_dir)), 10))
 
 
 # --- augmentation ------------------------------------------------------------------------------
 
 
 def entity_swap(spark, sf_dir):
-    return swap_entities(prefixed_rows(spark, sf_dir), ROUNDS)
+    return swap_entities(stored(prefixed_rows(spark, sf_dir)), ROUNDS)
 
 
 def entity_swap_joined(spark, sf_dir):
-    return swap_entities(prefixed_rows(spark, sf_dir), ROUNDS, inline_bytes=0)
+    return swap_entities(stored(prefixed_rows(spark, sf_dir)), ROUNDS, inline_bytes=0)
 
 
 def augmented_union(spark, sf_dir):
-    return augment(prefixed_rows(spark, sf_dir), ROUNDS, label_prefix=LABEL_PREFIX)
+    return augment(stored(prefixed_rows(spark, sf_dir)), ROUNDS, label_prefix=LABEL_PREFIX)
 
 
 # --- vocabulary --------------------------------------------------------------------------------
@@ -278,7 +285,7 @@ def ids_text(coded: DataFrame) -> DataFrame:
 
 
 def encode_ids(spark, sf_dir):
-    rows = prefixed_rows(spark, sf_dir)
+    rows = stored(prefixed_rows(spark, sf_dir))
     return ids_text(encode(rows, capped_vocabulary(spark, rows), "input_sentence", INPUT_LIMIT))
 
 
@@ -289,7 +296,7 @@ def encode_documents(spark, sf_dir):
 
 
 def masked_labels(spark, sf_dir):
-    rows = prefixed_rows(spark, sf_dir)
+    rows = stored(prefixed_rows(spark, sf_dir))
     vocab = capped_vocabulary(spark, rows)
     coded = encode(rows, vocab, "train_label", LABEL_LIMIT)
     return coded.withColumn("ids", F.concat("ids", F.array_repeat(F.lit(LABEL_MASK), 3))), vocab

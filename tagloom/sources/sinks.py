@@ -45,6 +45,7 @@ def write_note(spark: SparkSession, message: str, path: str) -> None:
 
 
 def run_note(prefix: str, label_prefix: str) -> str:
+    """The note kept with a run. Fixed value: its wording."""
     return f"input text: {prefix}: \n, label text: {label_prefix}"
 
 
