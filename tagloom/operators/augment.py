@@ -64,10 +64,11 @@ def swap_inline(
     def pick(label: Column, pos: Column) -> Column:
         names = F.element_at(names_by_tag, label["tag"])
         number = draw(F.col("row_id"), F.col("round"), pos, F.lit(seed))
+        drawn = F.get(names, F.pmod(number, F.size(names)).cast("int"))
         return F.struct(
             label["raw"].alias("raw"),
             label["name"].alias("name"),
-            F.get(names, F.pmod(number, F.size(names)).cast("int")).alias("new"),
+            F.coalesce(drawn, label["name"]).alias("new"),
         )
 
     picked = _with_rounds(prepared, rounds).withColumn("picks", F.transform("labels", pick))
@@ -99,12 +100,15 @@ def swap_joined(
         sized = F.broadcast(sized)
     rows = _with_rounds(prepared, rounds)
     number = draw(F.col("row_id"), F.col("round"), F.col("pos"), F.lit(seed))
-    spread = F.pmod(F.xxhash64("row_id", "round", "pos"), F.col("repeats"))
+    spread = F.xxhash64("row_id", "round", "pos")
+    slot = F.pmod(spread, F.col("repeats")) * F.col("n_names") + F.pmod(number, F.col("n_names"))
+    # Entities of a tag that the dictionary lacks match nothing; negative slots spread them too.
     drawn = (
         entities(rows, "row_id", "round")
-        .join(sized, "tag")
-        .withColumn("slot", spread * F.col("n_names") + F.pmod(number, F.col("n_names")))
-        .join(slots, ["tag", "slot"])
+        .join(sized, "tag", "left")
+        .withColumn("slot", F.coalesce(slot, -1 - F.pmod(spread, F.lit(MIN_SLOTS))))
+        .join(slots, ["tag", "slot"], "left")
+        .withColumn("new", F.coalesce("new", "name"))
         .groupBy("row_id", "round")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "raw", "name", "new"))).alias("picks"))
     )
@@ -123,7 +127,8 @@ def swap_entities(
 ) -> DataFrame:
     """``rounds`` augmented copies of every row: ``row_id, round, input_sentence, train_label``.
 
-    Every entity gets a name drawn from the dictionary of its tag. The draw is a hash of row,
+    Every entity gets a name drawn from the dictionary of its tag, or keeps its own if a given
+    dictionary lacks the tag. The draw is a hash of row,
     round, position and seed. The size of the dictionary decides between the two forms; both
     give the same rows.
     """

@@ -68,6 +68,14 @@ def test_rows_without_entities_and_odd_names(spark):
     assert prefixed == {1: "p:", 2: "p: 3:30:TI", 3: "p: a,b:PS", 4: "p: :LC"}
 
 
+def test_given_dictionary_may_lack_a_tag(spark):
+    rows = prepare(spark.createDataFrame([(1, "<a:PS> <b:LC>"), (2, "<c:LC>")], "row_id long, sentence string"))
+    dictionary = spark.createDataFrame([("PS", 0, "new")], "tag string, idx long, name string")
+    for inline in (1 << 20, 0):
+        found = swap_entities(rows, 1, dictionary=dictionary, inline_bytes=inline).collect()
+        assert {r.row_id: (r.input_sentence, r.train_label) for r in found} == {1: ("new b", "new:PS b:LC"), 2: ("c", "c:LC")}
+
+
 def test_vocabulary_order_and_cap(spark):
     texts = spark.createDataFrame([("b a b x:PSy",), ("a b :PS",)], "text string")
     full = {r.token: r.id for r in build_vocabulary(texts, ["text"]).collect()}
