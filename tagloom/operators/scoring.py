@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.ngrams import BLEU_COLUMNS, MAX_ORDER, bleu_counts
+from tagloom.functions.ngrams import BLEU_COLUMNS, MAX_ORDER, ORDERS, bleu_counts
 from tagloom.functions.segments import accuracy, f1_score, recalled, segments, true_positives
 from tagloom.functions.text import without_prefix
 
-ORDERS = range(1, MAX_ORDER + 1)
 
 def strip_label_prefix(pairs: DataFrame, label_prefix: str) -> DataFrame:
     return pairs.withColumns({c: without_prefix(F.col(c), label_prefix) for c in ("pred", "label")})
