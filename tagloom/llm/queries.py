@@ -4,16 +4,86 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tagloom.llm.chat_format import format_turns, read_back
+from tagloom.llm.decontaminate import contamination
 from tagloom.llm.sharding import assign_shards
 from tagloom.llm.tables import table
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+CONTROL_TURNS = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_turns(turns.unionByName(added)))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op5_decontaminate": op5_decontaminate,
+    "op8_chat_format": op8_chat_format,
     "op10_sharding": op10_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+OP5_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'i', item_id, text FROM benchmark
+), words AS (
+  SELECT kind, id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM texts
+), sizes AS (SELECT DISTINCT least(13, len(ws)) AS k FROM words WHERE kind = 'i' AND len(ws) > 0),
+item_windows AS (
+  SELECT DISTINCT id AS item_id, k, array_to_string(ws[p:p + k - 1], ' ') AS g
+  FROM (SELECT id, ws, least(13, len(ws)) AS k, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS p
+        FROM words WHERE kind = 'i' AND len(ws) > 0)
+), doc_windows AS (
+  SELECT id AS doc_id, k, p, array_to_string(ws[p:p + k - 1], ' ') AS g
+  FROM (SELECT id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p
+        FROM words CROSS JOIN sizes WHERE kind = 'd' AND len(ws) >= k)
+), found AS (SELECT doc_id, k, p, item_id FROM doc_windows JOIN item_windows USING (k, g)),
+hits AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(range(p, p + k)) AS pos FROM (SELECT DISTINCT doc_id, k, p FROM found)) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM words LEFT JOIN hits ON hits.doc_id = id LEFT JOIN items ON items.doc_id = id WHERE kind = 'd'
+"""
+
+OP8_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length(role) + length(text) + length(replace(role || text, '\', '\\')) - length(role || text)
+    + length(role) - length(replace(role, chr(10), ''))
+    + 10 * length(text) - length(replace(text, '<|', '<')) - length(replace(text, '<s', '<'))
+    - length(replace(text, '</', '<')) - length(replace(text, '[I', '[')) - length(replace(text, '[/', '['))
+    - 5 * length(text) + length('<|turn|>') + 1 + length('<|end|>') + 1 AS chars
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+ORACLE: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op8_chat_format": OP8_SQL}
