@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.llm.workers import ship
+
 HEAD, SEPARATOR, TAIL = b"<|turn|>", b"\n", b"<|end|>\n"
 ESCAPE = ord("\\")
 # Second bytes, by first byte, of the strings that must not appear in a text.
@@ -117,6 +119,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
                 columns += [pa.array(np.where(masked, x, 0)) for x in (start, end)]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in FORMATTED.split(", ")])
 
+    ship(turns.sparkSession)
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
@@ -181,5 +184,6 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if now is not None:
             yield made([now.row()])
 
+    ship(formatted.sparkSession)
     rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, READ_BACK)

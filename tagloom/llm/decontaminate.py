@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.llm.workers import ship
 from tagloom.session import materialise
 
 WINDOW = 13
@@ -172,6 +173,7 @@ def find_benchmark(
 ) -> DataFrame:
     """``docs`` with a struct column ``out``: number of words, merged spans of hit words, items found."""
     spark = docs.sparkSession
+    ship(spark)
     body = F.coalesce(F.col("text"), F.lit(""))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), body.alias("text"))
     # An upper bound of an item's words is half its bytes.

@@ -6,14 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.llm.chat_format import format_turns, read_back
 from tagloom.llm.decontaminate import contamination
+from tagloom.llm.fertility import fertility_rules
 from tagloom.llm.sharding import assign_shards
 from tagloom.llm.tables import table
+from tagloom.llm.token_counts import token_counts
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility_rules(table(spark, sf_dir, "documents"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 CONTROL_TURNS = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
 
 
@@ -28,7 +38,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
     "op5_decontaminate": op5_decontaminate,
+    "op6_token_counts": op6_token_counts,
     "op8_chat_format": op8_chat_format,
     "op10_sharding": op10_sharding,
 }
