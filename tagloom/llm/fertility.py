@@ -31,7 +31,8 @@ from tagloom.llm.workers import ship
 from tagloom.session import materialise
 
 PAIRS, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-WIDTH = 10.0
+WIDTH = 3.6
+SHORT = 150.0  # words at which the band is wider by the root of two; short texts vary more
 ENOUGH = 100
 LEAST_DEVIATION = 0.02  # of the median; a tight corpus must not reject its own ordinary spread
 MEMO = 200_000
@@ -159,20 +160,20 @@ def _group(docs: DataFrame) -> Column:
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """``group_name, <measure>_low, <measure>_high``; the row of a null name is for all documents."""
+    """``group_name, <measure>_mid, <measure>_dev``; the row of a null name is for all documents."""
     passed = measured.where(~base_failed())
 
-    def spread(prefix: str, m: str) -> list[Column]:
-        low, mid, high = (F.col(f"{prefix}{m}")[i] for i in range(3))
+    def spread(m: str) -> list[Column]:
+        low, mid, high = (F.col(f"q_{m}")[i] for i in range(3))
         # Half the middle half is 0.6745 standard deviations of a normal spread.
-        deviation = F.greatest((high - low) / 2 / 0.6745, F.abs(mid) * LEAST_DEVIATION, F.lit(0.005))
-        return [(mid - WIDTH * deviation).alias(f"{m}_low"), (mid + WIDTH * deviation).alias(f"{m}_high")]
+        deviation = F.greatest((high - low) / 2 / 0.6745, F.abs(mid) * LEAST_DEVIATION, F.lit(LEAST_DEVIATION / 4))
+        return [mid.alias(f"{m}_mid"), deviation.alias(f"{m}_dev")]
 
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(f"q_{m}") for m in MEASURES]
     grouped = passed.rollup("group_name").agg(
         F.count(F.lit(1)).alias("docs"), F.grouping("group_name").alias("whole"), *quartiles
     )
-    limits = [c for m in MEASURES for c in spread("q_", m)]
+    limits = [c for m in MEASURES for c in spread(m)]
     return grouped.where((F.col("whole") == 1) | (F.col("docs") >= ENOUGH)).select(
         F.when(F.col("whole") == 0, F.col("group_name")).alias("group_name"), *limits
     )
@@ -185,14 +186,15 @@ def base_failed() -> Column:
 def fertility_rules(docs: DataFrame) -> DataFrame:
     """Counts, measures and verdict for each document."""
     measured = materialise(measure(docs), "fertility")
-    limits = bands(measured)
+    limits = materialise(bands(measured), "fertility-bands")
     own = limits.where(F.col("group_name").isNotNull()).withColumnRenamed("group_name", "band_name")
     whole = limits.where(F.col("group_name").isNull()).first()
     judged = measured.join(own, F.col("group_name") == F.col("band_name"), "left")
     outside = F.lit(False)
     for m in MEASURES:
-        low, high = (F.coalesce(F.col(f"{m}_{side}"), F.lit(whole and whole[f"{m}_{side}"])) for side in ("low", "high"))
-        outside = outside | F.coalesce(~F.col(m).between(low, high), F.lit(False))
+        mid, dev = (F.coalesce(F.col(f"{m}_{part}"), F.lit(whole and whole[f"{m}_{part}"])) for part in ("mid", "dev"))
+        allowed = WIDTH * dev * F.sqrt(1 + F.lit(SHORT) / F.col("n_words"))
+        outside = outside | F.coalesce(F.abs(F.col(m) - mid) > allowed, F.lit(False))
     return judged.select(
         "doc_id",
         "n_words",

@@ -7,11 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tagloom.llm.chat_format import format_turns, read_back
 from tagloom.llm.decontaminate import contamination
 from tagloom.llm.fertility import fertility_rules
+from tagloom.llm.quality_knn import quality_scores
 from tagloom.llm.sharding import assign_shards
 from tagloom.llm.tables import table
 from tagloom.llm.token_counts import token_counts
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_rules(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_quality_rules": op3_quality_rules,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_counts": op6_token_counts,
