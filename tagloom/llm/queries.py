@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tagloom.llm.chat_format import format_turns, read_back
 from tagloom.llm.decontaminate import contamination
 from tagloom.llm.fertility import fertility_rules
+from tagloom.llm.near_dedup import near_duplicates
+from tagloom.llm.pii import personal_data
 from tagloom.llm.quality_knn import quality_scores
 from tagloom.llm.sharding import assign_shards
 from tagloom.llm.tables import table
@@ -17,6 +19,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_rules(table(spark, sf_dir, "documents"))
 
@@ -29,6 +35,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 CONTROL_TURNS = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
 
 
@@ -44,13 +54,39 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_counts": op6_token_counts,
+    "op7_pii": op7_pii,
     "op8_chat_format": op8_chat_format,
     "op10_sharding": op10_sharding,
 }
 
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, md5_number(array_to_string(ws[p:p + 4], ' ')) AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS p FROM words WHERE len(ws) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common >= 75 * (x.n + y.n - common)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS seen FROM documents
+  UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.seen
+), least AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN least USING (doc_id)
+"""
+
 OP5_SQL = r"""
 WITH texts AS (
   SELECT 'd' AS kind, doc_id AS id, text FROM documents
@@ -104,4 +140,4 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op8_chat_format": OP8_SQL}
+ORACLE: dict[str, str] = {"op2_near_dedup": OP2_SQL, "op5_decontaminate": OP5_SQL, "op8_chat_format": OP8_SQL}
