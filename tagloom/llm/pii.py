@@ -286,6 +286,10 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), one), ",")
 
 
+def _number(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """Counts and digest of the base spans, and all spans, for each document."""
     found = materialise(candidates(docs), "pii-candidates")
@@ -298,7 +302,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     rows = found.select("doc_id", "spans", base.alias("base")).select("doc_id", "base", added.alias("added"))
     return rows.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)],
+        *[_number("base", k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.concat("base", "added")).alias("spans"),
     )
