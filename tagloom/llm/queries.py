@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tagloom.llm.chat_format import format_turns, read_back
 from tagloom.llm.decontaminate import contamination
 from tagloom.llm.fertility import fertility_rules
+from tagloom.llm.html_content import main_text
+from tagloom.llm.mixing import mixture
 from tagloom.llm.near_dedup import near_duplicates
 from tagloom.llm.pii import personal_data
 from tagloom.llm.quality_knn import quality_scores
@@ -27,6 +29,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +54,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(turns.unionByName(added)))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
@@ -56,10 +66,12 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_html": op4_html,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_counts": op6_token_counts,
     "op7_pii": op7_pii,
     "op8_chat_format": op8_chat_format,
+    "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }
 
