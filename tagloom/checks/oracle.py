@@ -6,13 +6,14 @@ windows, cross joins and recursive list folds are fine here, where data is small
 
 from __future__ import annotations
 
-from tagloom.checks.queries import ROUNDS, VOCAB_SIZE
+from tagloom.checks.queries import ROUNDS
 from tagloom.checks.stub_model import RULES
-from tagloom.functions.text import WHITESPACE_CLASS
-from tagloom.operators.vocab import INPUT_LIMIT, LABEL_LIMIT, RESERVED, SPECIALS
-from tagloom.plans.prepare import LABEL_PREFIX, PREFIX
-
-WS = WHITESPACE_CLASS
+# Fixed values, spelled out here so that a wrong one in the package does not pass on both sides.
+WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+SPECIALS = ("<pad>", "</s>", "<unk>")
+RESERVED = (":DT", ":LC", ":OG", ":PS", ":QT", ":TI")
+INPUT_LIMIT, LABEL_LIMIT = 100, 90
+PREFIX, LABEL_PREFIX = "extract entity:", "extracted entity:"
 
 TAGGED = """
 tagged as (
@@ -229,23 +230,28 @@ def vocab_tokens(text: str) -> str:
     return f"list_filter(string_split_regex({text}, '{WS}+'), lambda t: t <> '')"
 
 
-def vocab(source: str, columns: list[str], size: int | None = None) -> str:
+def vocab(source: str, columns: list[str]) -> str:
     fixed = [*SPECIALS, *RESERVED]
     tokens = ", ".join(vocab_tokens(c) for c in columns)
     quoted = ", ".join(f"'{t}'" for t in fixed)
-    cut = f"where r <= {size - len(fixed)}" if size else ""
     given = " union all ".join(f"select '{t}', {i}" for i, t in enumerate(fixed))
     return f"""
 vtoks as (select unnest(list_concat({tokens}{', []' if len(columns) == 1 else ''})) as token from {source}),
 vranked as (select token, row_number() over (order by n desc, token) as r
   from (select token, count(*) as n from vtoks where token not in ({quoted}) group by token)),
-vocab(token, id) as ({given} union all select token, cast(r + {len(fixed) - 1} as integer) from vranked {cut})"""
+vocab(token, id) as ({given} union all select token, cast(r + {len(fixed) - 1} as integer) from vranked)"""
+
 
+def decoded(column: str) -> str:
+    """Text of an encoded and decoded column: its tokens up to the limit."""
+    return f"array_to_string(({vocab_tokens(column)})[1:{LABEL_LIMIT - 1}], ' ')"
 
-def encoded(source: str, key: str, column: str, limit: int) -> str:
+
+def encoded(source: str, key: str, column: str, limit: int | None) -> str:
+    cut = "" if limit is None else f"[1:{limit - 1}]"
     return f"""
 pieces as (select {key} as row_id, unnest(toks) as token, unnest(range(len(toks))) as pos
-  from (select {key}, ({vocab_tokens(column)})[1:{limit - 1}] as toks from {source})),
+  from (select {key}, ({vocab_tokens(column)}){cut} as toks from {source})),
 coded as (
  select s.row_id, list(c.id order by c.pos) filter (c.pos is not null) as ids
  from (select {key} as row_id from {source}) s
@@ -346,6 +352,11 @@ EXACT_ROWS = "select vec_id, label as cluster, round(a, 6) as a, round(b, 6) as
 SQUARED_ROWS = "select vec_id, label, round(a, 6) as a, round(b, 6) as b, round(s, 6) as s from scored"
 
 
+PROFILE = (
+    "select '{name}' as labelling, label as cluster, row_number() over (partition by label order by round(s, 6), vec_id) - 1 "
+    "as position, vec_id, round(s, 6) as s, count(*) over (partition by label) as cluster_size from scored"
+)
+
 ORACLE = {
     "tag_extract": with_(PLAIN, "select row_id, len(raw) as n_tags, array_to_string(raw, '|') as raw from prep"),
     "tag_split": with_(f"{PLAIN},{ENTITIES}", "select row_id, pos, raw, name, tag from ents"),
@@ -420,21 +431,34 @@ ORACLE = {
     ),
     "vocab_build": with_(f"{PREFIXED},{vocab('prep', ['input_sentence', 'train_label'])}", "select token, id from vocab"),
     "encode_ids": with_(
-        f"{PREFIXED},{vocab('prep', ['input_sentence', 'train_label'], VOCAB_SIZE)},"
+        f"{PREFIXED},{vocab('prep', ['input_sentence', 'train_label'])},"
         f"{encoded('prep', 'row_id', 'input_sentence', INPUT_LIMIT)}",
         "select row_id, array_to_string(list_append(coalesce(ids, []), 1), ' ') as ids from coded",
     ),
+    "encode_augmented": with_(
+        f"{PREFIXED},{ENTITIES},{DICTIONARY},{SWAPPED}, aug as ("
+        f"select row_id, round, input_sentence, {strip(f"""concat('{LABEL_PREFIX}', ' ', train_label)""")} as train_label from swapped "
+        "union all select row_id, 0, input_sentence, train_label from prep), keyed as ("
+        "select row_id * 10 + round as key, input_sentence, train_label from aug),"
+        f"{vocab('keyed', ['input_sentence', 'train_label'])},"
+        f"{encoded('keyed', 'key', 'input_sentence', INPUT_LIMIT)}, inputs as (select * from coded),"
+        f"{encoded('keyed', 'key', 'train_label', LABEL_LIMIT).replace('pieces', 'label_pieces').replace('coded as', 'label_coded as')}",
+        "select i.row_id // 10 as row_id, i.row_id % 10 as round, "
+        "array_to_string(list_append(coalesce(i.ids, []), 1), ' ') as input_ids, "
+        "array_to_string(list_append(coalesce(l.ids, []), 1), ' ') as label_ids "
+        "from inputs i join label_coded l using (row_id)",
+    ),
     "encode_documents": with_(
-        f"{vocab('documents', ['text'], 5000)},{encoded('documents', 'doc_id', 'text', INPUT_LIMIT)}",
+        f"{vocab('documents', ['text'])},{encoded('documents', 'doc_id', 'text', None)}",
         "select row_id, array_to_string(list_append(coalesce(ids, []), 1), ' ') as ids from coded",
     ),
     "mask_restore": with_(
-        f"{PREFIXED},{vocab('prep', ['input_sentence', 'train_label'], VOCAB_SIZE)},"
+        f"{PREFIXED},{vocab('prep', ['input_sentence', 'train_label'])},"
         f"{encoded('prep', 'row_id', 'train_label', LABEL_LIMIT)}",
         "select row_id, array_to_string(list_concat(coalesce(ids, []), [1, 0, 0, 0]), ' ') as ids from coded",
     ),
     "decode_ids": with_(
-        f"{PREFIXED},{vocab('prep', ['input_sentence', 'train_label'], VOCAB_SIZE)},"
+        f"{PREFIXED},{vocab('prep', ['input_sentence', 'train_label'])},"
         f"{encoded('prep', 'row_id', 'train_label', LABEL_LIMIT)}",
         "select s.row_id, coalesce(string_agg(v.token, ' ' order by p.pos), '') as text from prep s "
         "left join pieces p on p.row_id = s.row_id left join vocab v on v.token = p.token and v.id > 2 group by 1",
@@ -460,6 +484,10 @@ ORACLE = {
         f"select round({bleu_value()}, 6) as bleu from sums",
     ),
     "evaluation_report": REPORT,
+    "evaluation_missing": REPORT.replace("case when row_id % 11 = 0", "case when row_id % 13 = 0 then '' when row_id % 11 = 0"),
+    "evaluation_from_ids": REPORT.replace("pairs as (", "raw_pairs as (", 1).replace(
+        "from prep))", f"from prep)), pairs as (select row_id, {decoded('label')} as label, {decoded('pred')} as pred from raw_pairs)", 1
+    ),
     "run_metrics": with_(RUNS, "select run_id, round(bleu, 6) as bleu, round(f1, 6) as f1, round(acc, 6) as acc from metrics"),
     "best_run": with_(
         RUNS,
@@ -479,8 +507,11 @@ ORACLE = {
     "text_lines": with_(TAGGED, "select row_number() over (order by row_id) - 1 as row_id, sentence from tagged"),
     "document_lines": r"select sentence, count(*) as n_lines from (select unnest(string_split_regex(text, '\r\n|\n|\r')) as sentence "
     "from documents) group by 1",
+    "tagged_csv": with_(TAGGED, "select row_id, sentence from tagged"),
     "noun_csv": with_(
-        NOUNS, "select doc_id, analyzer, len(nouns) as n_nouns, array_to_string(nouns, ' ') as text from nouns"
+        NOUNS,
+        "select doc_id, analyzer, len(nouns) as n_nouns, array_to_string(list_transform(range(1, len(nouns) + 1), "
+        "lambda i: case when i % 4 = 2 then concat(nouns[i], chr(39), 's') else nouns[i] end), ' ') as text from nouns",
     ),
     "noun_documents": with_(NOUNS, "select doc_id, analyzer, array_to_string(nouns, ' ') as text from nouns"),
     "flattened_nouns": with_(
@@ -498,6 +529,15 @@ centres as (select label, list(x order by dim) as c from means group by label),
 ranked as (select v.vec_id, v.label, c.label as cluster,
   row_number() over (partition by v.vec_id order by list_distance(v.e, c.c), c.label) as r from vecs v cross join centres c)
 select vec_id, label, cluster from ranked where r = 1""",
+    "centre_update": """
+with vecs as (select vec_id, label, embedding::double[] as e from embeddings),
+dims as (select label, unnest(e) as x, unnest(range(len(e))) as dim from vecs),
+means as (select label, dim, avg(x) as x from dims group by all),
+centres as (select label, list(x order by dim) as c from means group by label),
+ranked as (select v.vec_id, v.e, c.label as cluster,
+  row_number() over (partition by v.vec_id order by list_distance(v.e, c.c), c.label) as r from vecs v cross join centres c),
+moved as (select cluster, unnest(e) as x, unnest(range(len(e))) as dim from ranked where r = 1)
+select cluster, dim, round(avg(x), 6) as x from moved group by cluster, dim""",
     "silhouette_rows": with_(EXACT, EXACT_ROWS),
     "silhouette_mean": with_(EXACT, "select round(avg(s), 6) as silhouette from scored"),
     "silhouette_sq_rows": with_(SQUARED, SQUARED_ROWS),
@@ -507,6 +547,13 @@ select vec_id, label, cluster from ranked where r = 1""",
         "select label as cluster, row_number() over (partition by label order by round(s, 6), vec_id) - 1 as position, "
         "vec_id, round(s, 6) as s, count(*) over (partition by label) as cluster_size from scored",
     ),
+    "silhouette_profile_sq": " union all ".join(
+        f"select * from ({with_(SQUARED, PROFILE.format(name=name))})".replace("from embeddings", source)
+        for name, source in (
+            ("label", "from embeddings"),
+            ("halves", "from (select vec_id, embedding, label % 2 as label from embeddings)"),
+        )
+    ),
     "cluster_rows": with_(SQUARED, f"{SQUARED_ROWS} where label = 3"),
 }
 ORACLE["entity_swap_joined"] = ORACLE["entity_swap"]

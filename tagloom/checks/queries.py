@@ -53,17 +53,17 @@ from tagloom.operators.vocab import (
     build_vocabulary,
     decode,
     encode,
+    encode_columns,
     restore_mask,
 )
-from tagloom.plans.evaluate import best_runs, evaluate
-from tagloom.plans.explore import documents_2d, sweep_means, sweep_scores
+from tagloom.plans.evaluate import best_runs, evaluate, evaluate_ids
+from tagloom.plans.explore import documents_2d, sweep_by_analyzer, sweep_means, sweep_scores
 from tagloom.plans.prepare import LABEL_PREFIX, PREFIX, prepare, prepare_basic
 from tagloom.session import materialise, new_path
 from tagloom.sources.sinks import pred_label_rows, submission_rows, write_csv, write_metrics
-from tagloom.sources.tables import noun_documents, read_csv, read_noun_csv
+from tagloom.sources.tables import noun_documents, read_csv, read_noun_csv, read_tagged_csv
 from tagloom.sources.text import read_tagged_text
 
-VOCAB_SIZE = 1000
 ROUNDS = 2
 
 
@@ -275,9 +275,8 @@ def vocab_build(spark, sf_dir):
     return build_vocabulary(prefixed_rows(spark, sf_dir), ["input_sentence", "train_label"])
 
 
-def capped_vocabulary(spark, rows):
-    vocab = build_vocabulary(rows, ["input_sentence", "train_label"], max_size=VOCAB_SIZE)
-    return materialise(vocab, "vocab")
+def full_vocabulary(rows):
+    return materialise(build_vocabulary(rows, ["input_sentence", "train_label"]), "vocab")
 
 
 def ids_text(coded: DataFrame) -> DataFrame:
@@ -286,18 +285,28 @@ def ids_text(coded: DataFrame) -> DataFrame:
 
 def encode_ids(spark, sf_dir):
     rows = stored(prefixed_rows(spark, sf_dir))
-    return ids_text(encode(rows, capped_vocabulary(spark, rows), "input_sentence", INPUT_LIMIT))
+    return ids_text(encode(rows, full_vocabulary(rows), "input_sentence", INPUT_LIMIT))
+
+
+def encode_augmented(spark, sf_dir):
+    """Both model columns of all rounds; a row occurs once per round."""
+    rows = augment(stored(prefixed_rows(spark, sf_dir)), ROUNDS, label_prefix=LABEL_PREFIX)
+    rows = materialise(rows, "augmented")
+    limits = {"input_ids": ("input_sentence", INPUT_LIMIT), "label_ids": ("train_label", LABEL_LIMIT)}
+    coded = encode_columns(rows, full_vocabulary(rows), limits)
+    texts = [joined(F.col(c).cast("array<string>"), " ").alias(c) for c in limits]
+    return coded.select("row_id", F.col("round").cast("bigint").alias("round"), *texts)
 
 
 def encode_documents(spark, sf_dir):
     docs = fx.documents(spark, sf_dir).select(F.col("doc_id").alias("row_id"), "text")
-    vocab = materialise(build_vocabulary(docs, ["text"], max_size=5000), "vocab")
-    return ids_text(encode(docs, vocab, "text", INPUT_LIMIT))
+    vocab = materialise(build_vocabulary(docs, ["text"]), "vocab")
+    return ids_text(encode(docs, vocab, "text", None))
 
 
 def masked_labels(spark, sf_dir):
     rows = stored(prefixed_rows(spark, sf_dir))
-    vocab = capped_vocabulary(spark, rows)
+    vocab = full_vocabulary(rows)
     coded = encode(rows, vocab, "train_label", LABEL_LIMIT)
     return coded.withColumn("ids", F.concat("ids", F.array_repeat(F.lit(LABEL_MASK), 3))), vocab
 
@@ -355,6 +364,22 @@ def bleu_score(spark, sf_dir):
     return bleu(fx.bleu_pairs(spark, sf_dir)).select(six("bleu"))
 
 
+def evaluation_missing(spark, sf_dir):
+    """A prediction that is missing counts as empty."""
+    lost = F.when(F.col("row_id") % 13 != 0, F.col("pred"))
+    return evaluate(fx.predictions(spark, sf_dir).withColumn("pred", lost)).select(six("bleu"), six("f1"), six("acc"))
+
+
+def evaluation_from_ids(spark, sf_dir):
+    """Metrics of id batches, labels padded by the mask."""
+    pairs = stored(fx.predictions(spark, sf_dir).select("row_id", "pred", "label"))
+    vocab = materialise(build_vocabulary(pairs, ["pred", "label"]), "vocab")
+    limits = {"pred_ids": ("pred", LABEL_LIMIT), "label_ids": ("label", LABEL_LIMIT)}
+    coded = encode_columns(pairs, vocab, limits).select("row_id", *limits)
+    coded = coded.withColumn("label_ids", F.concat("label_ids", F.array_repeat(F.lit(LABEL_MASK), 3)))
+    return evaluate_ids(coded, vocab).select(six("bleu"), six("f1"), six("acc"))
+
+
 def evaluation_report(spark, sf_dir):
     return evaluate(fx.predictions(spark, sf_dir)).select(six("bleu"), six("f1"), six("acc"))
 
@@ -441,12 +466,27 @@ def document_lines(spark, sf_dir):
     return lines.groupBy("sentence").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+def tagged_csv(spark, sf_dir):
+    """Columns in another order, with others between; the key comes from the file."""
+    path = new_path(spark, "tagged-csv")
+    rows = fx.tagged(spark, sf_dir).select(F.lit("x").alias("note"), "sentence", (F.col("row_id") % 3).alias("part"), "row_id")
+    write_csv(rows, path)
+    return read_tagged_csv(spark, path)
+
+
 def noun_csv(spark, sf_dir):
     path = new_path(spark, "nouns")
     wide = fx.noun_table(spark, sf_dir)
 
     def printed(column: str) -> Column:
-        return F.concat(F.lit("['"), joined(F.col(column), "', '"), F.lit("']")).alias(column)
+        """Every fourth noun gets a quote inside, and so the other kind around it."""
+        quoted = F.transform(
+            column,
+            lambda x, i: F.when(i % 4 == 1, F.concat(F.lit('"'), x, F.lit("'s\""))).otherwise(
+                F.concat(F.lit("'"), x, F.lit("'"))
+            ),
+        )
+        return F.concat(F.lit("["), joined(quoted, ", "), F.lit("]")).alias(column)
 
     write_csv(wide.select("doc_id", *[printed(c) for c in wide.columns[1:]]), path)
     docs = noun_documents(read_noun_csv(spark, path))
@@ -522,6 +562,35 @@ def silhouette_profile(spark, sf_dir):
     )
 
 
+def silhouette_profile_sq(spark, sf_dir):
+    """Profiles of two labellings, from the linear form."""
+    points = fx.vectors(spark, sf_dir).withColumn("halves", F.col("label") % 2)
+    scored = [
+        silhouette.silhouette_squared(points, "vec_id", "embedding", c).select(
+            F.lit(c).alias("labelling"), F.col(c).cast("int").alias("cluster"), "vec_id", six("s")
+        )
+        for c in ("label", "halves")
+    ]
+    both = scored[0].unionByName(scored[1])
+    return silhouette.silhouette_profile(both, ["labelling", "cluster"], "vec_id").select(
+        "labelling", "cluster", "position", "vec_id", "s", "cluster_size"
+    )
+
+
+def q_centre_update(spark, sf_dir):
+    """One k-means step from the label means."""
+    points = fx.vectors(spark, sf_dir)
+    centres = cluster.cluster_means(points, "label", "embedding")
+    moved = cluster.centre_update(points, centres, "embedding")
+    return elements(moved, ["cluster"], F.col("centre"), "x", pos="dim").select(
+        "cluster", F.col("dim").cast("bigint").alias("dim"), six("x")
+    )
+
+
+def q_sweep_by_analyzer(spark, sf_dir):
+    return sweep_by_analyzer(fx.noun_table(spark, sf_dir))
+
+
 def cluster_rows(spark, sf_dir):
     """Silhouettes of one cluster only."""
     return silhouette_sq_rows(spark, sf_dir).filter(F.col("label") == 3)
@@ -532,7 +601,7 @@ def pca_2d(spark, sf_dir):
 
 
 def kmeans_sweep(spark, sf_dir):
-    return sweep_means(sweep_scores(cluster.pca_2d(fx.vectors(spark, sf_dir)), "vec_id"))
+    return sweep_means(sweep_scores(cluster.pca_2d(fx.vectors(spark, sf_dir)), "vec_id", exact=True))
 
 
 def kmeans_sweep_squared(spark, sf_dir):
@@ -580,6 +649,7 @@ QUERIES = {
     "augmented_union": augmented_union,
     "vocab_build": vocab_build,
     "encode_ids": encode_ids,
+    "encode_augmented": encode_augmented,
     "encode_documents": encode_documents,
     "mask_restore": mask_restore,
     "decode_ids": decode_ids,
@@ -593,6 +663,8 @@ QUERIES = {
     "bleu_stats": q_bleu_stats,
     "bleu_score": bleu_score,
     "evaluation_report": evaluation_report,
+    "evaluation_missing": evaluation_missing,
+    "evaluation_from_ids": evaluation_from_ids,
     "run_metrics": lambda spark, sf_dir: run_metrics(spark, sf_dir).select("run_id", six("bleu"), six("f1"), six("acc")),
     "best_run": best_run,
     "batch_map": q_batch_map,
@@ -603,6 +675,7 @@ QUERIES = {
     "metrics_json": metrics_json,
     "text_lines": text_lines,
     "document_lines": document_lines,
+    "tagged_csv": tagged_csv,
     "noun_csv": noun_csv,
     "noun_documents": q_noun_documents,
     "flattened_nouns": flattened_nouns,
@@ -615,6 +688,9 @@ QUERIES = {
     "silhouette_sq_rows": silhouette_sq_rows,
     "silhouette_sq_mean": silhouette_sq_mean,
     "silhouette_profile": silhouette_profile,
+    "silhouette_profile_sq": silhouette_profile_sq,
+    "centre_update": q_centre_update,
+    "sweep_by_analyzer": q_sweep_by_analyzer,
     "cluster_rows": cluster_rows,
     "pca_2d": pca_2d,
     "kmeans_sweep": kmeans_sweep,

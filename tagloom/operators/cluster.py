@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,6 +14,7 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.session import materialise
 
@@ -19,8 +23,7 @@ SWEEP = (2, 3, 4, 5, 6, 7)
 MAX_ITER = 500
 SEED = 0
 
-# PCA keeps a width x width matrix on the driver; wider input goes through the SVD.
-PCA_MAX_WIDTH = 4096
+BLOCK_CELLS = 1 << 20
 
 
 def pca_2d(points: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -30,25 +33,21 @@ def pca_2d(points: DataFrame, key: str = "vec_id") -> DataFrame:
     return model.transform(frame).select(key, vector_to_array("_out").alias("point"))
 
 
-def svd_2d(vectors: DataFrame, weights: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, point``: projection of sparse rows on the two leading right singular vectors.
+def svd_axes(vectors: DataFrame, width: int) -> np.ndarray:
+    """``width x 2``: the leading right singular vectors of sparse ``features``.
 
     The solver multiplies the distributed matrix by single vectors, so the driver holds two
-    columns of vocabulary length and never a width x width matrix. ``vectors`` and ``weights``
-    are the same TF-IDF in both forms. Documents without any kept term have no point: all their
-    weights are 0.
+    columns of vocabulary length and never a width x width matrix; its passes read the rows from
+    memory or disk. A matrix of rank below two leaves the other column 0.
     """
-    rows = MLUtils.convertVectorColumnsFromML(vectors.select("features"), "features")
-    right = RowMatrix(rows).computeSVD(2).V.toArray().tolist()
-    ordered = [r["term"] for r in vocab.orderBy(F.col("df").desc(), "term").select("term").collect()]
-    axes = vectors.sparkSession.createDataFrame(
-        [(term, v[0], v[1]) for term, v in zip(ordered, right)], "term string, v0 double, v1 double"
-    )
-    return (
-        weights.join(F.broadcast(axes), "term")
-        .groupBy(key)
-        .agg(F.array(*[F.sum(F.col("weight") * F.col(v)) for v in ("v0", "v1")]).alias("point"))
-    )
+    axes = np.zeros((width, 2))
+    rows = MLUtils.convertVectorColumnsFromML(vectors.select("features"), "features").persist(StorageLevel.MEMORY_AND_DISK)
+    if not width or rows.isEmpty():
+        return axes
+    found = RowMatrix(rows).computeSVD(min(2, width)).V.toArray()
+    rows.unpersist()
+    axes[:, : found.shape[1]] = found
+    return axes
 
 
 def kmeans_labels(
@@ -81,27 +80,34 @@ def cluster_means(points: DataFrame, key: str, vector: str) -> DataFrame:
     return means.groupBy(key).agg(F.transform(ordered, lambda c: c["x"]).alias("centre"))
 
 
-def assign_to_centres(points: DataFrame, centres: DataFrame, vector: str, max_centres: int = 1000) -> DataFrame:
+def assign_to_centres(points: DataFrame, centres: DataFrame, vector: str) -> DataFrame:
     """Adds ``cluster``: the nearest fixed centre, the smaller label on ties.
 
-    The centres (their number is checked) become a constant of the plan.
+    Like a k-means model, the centres are broadcast. Distances are summed by dimension in blocks of
+    bounded size, so ties do not depend on the block.
     """
-    rows = centres.limit(max_centres + 1).collect()
-    if len(rows) > max_centres:
-        raise ValueError(f"more than {max_centres} centres")
     key, value = centres.columns
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(r[key]).alias("cluster"), F.array(*[F.lit(float(x)) for x in r[value]]).alias("centre")
-            )
-            for r in rows
-        ]
-    )
-    ranked = F.transform(
-        table,
-        lambda c: F.struct(
-            squared_distance(F.col(vector), c["centre"]).alias("d"), c["cluster"].alias("cluster")
-        ),
-    )
-    return points.withColumn("cluster", F.array_min(ranked)["cluster"])
+    rows = centres.orderBy(key).collect()
+    kind = centres.schema[key].dataType
+    labels = [r[key] for r in rows]
+    shared = points.sparkSession.sparkContext.broadcast(np.asarray([r[value] for r in rows], float).reshape(len(rows), -1))
+
+    def nearest(vectors: pa.Array) -> pa.Array:
+        table = shared.value
+        x = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), float).reshape(len(vectors), table.shape[1])
+        step = max(1, BLOCK_CELLS // max(1, len(table)))
+        best = np.empty(len(x), int)
+        for i in range(0, len(x), step):
+            d = np.zeros((len(x[i : i + step]), len(table)))
+            for dim in range(table.shape[1]):
+                d += (x[i : i + step, dim, None] - table[None, :, dim]) ** 2
+            best[i : i + step] = d.argmin(axis=1)
+        return pa.array(best)
+
+    place = F.arrow_udf(nearest, "bigint")(F.col(vector)).cast("int")
+    return points.withColumn("cluster", F.get(F.lit(labels).cast(T.ArrayType(kind)), place))
+
+
+def centre_update(points: DataFrame, centres: DataFrame, vector: str) -> DataFrame:
+    """``cluster, centre``: means of the rows nearest to each given centre, one step of k-means."""
+    return cluster_means(assign_to_centres(points, centres, vector), "cluster", vector)

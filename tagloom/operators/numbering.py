@@ -21,6 +21,10 @@ from tagloom.functions.hashing import key_hash
 from tagloom.session import materialise
 
 
+# Fewest rows that a key bucket should hold on average.
+SPARSE = 1000
+
+
 def _before(count: str, window) -> Column:
     """Running total of the rows in front of this one."""
     earlier = window.rowsBetween(Window.unboundedPreceding, -1)
@@ -45,8 +49,14 @@ def number_by_bucket(
     keys = [*group, "_bucket"]
     keyed = df.withColumn("_bucket", bucket)
     counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy(*group).orderBy("_bucket") if group and restart else Window.orderBy(*keys)
+    running = Window.partitionBy(*group).orderBy("_bucket") if group else Window.orderBy(*keys)
     offsets = counts.select(*keys, _before("_n", running).alias("_offset"))
+    if group and not restart:
+        # Totals of groups are summed on their own, so no task holds groups times buckets.
+        totals = counts.groupBy(*group).agg(F.sum("_n").alias("_n"))
+        starts = totals.select(*group, _before("_n", Window.orderBy(*group)).alias("_start"))
+        offsets = offsets.join(starts, list(group)).withColumn("_offset", F.col("_offset") + F.col("_start"))
+        offsets = offsets.drop("_start")
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     return (
         keyed.withColumn("_local", local)
@@ -57,7 +67,13 @@ def number_by_bucket(
 
 
 def number_by_key(df: DataFrame, key: str, *, width: int = 1 << 20, name: str = "position") -> DataFrame:
-    """Position in the order of a unique integer key; a bucket spans ``width`` key values."""
+    """Position in the order of a unique integer key; a bucket spans ``width`` key values.
+
+    Keys too sparse for that (hashes, say) would give a bucket per row; they are numbered by range.
+    """
+    span = df.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(key).alias("n")).first()
+    if span["n"] and (span["high"] - span["low"]) / width > max(1.0, span["n"] / SPARSE):
+        return number_by_range(df, [F.col(key)], name=name)
     bucket = F.floor(F.col(key) / F.lit(width)).cast("bigint")
     return number_by_bucket(df, bucket, [F.col(key)], name=name)
 

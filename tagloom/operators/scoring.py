@@ -43,8 +43,12 @@ def macro_scores() -> list[Column]:
 
 
 def with_bleu_counts(pairs: DataFrame) -> DataFrame:
-    """Adds clipped matches and totals per order and both lengths. Row-local as well."""
-    counted = pairs.withColumn("_bleu", bleu_counts("pred", "label"))
+    """Adds clipped matches and totals per order and both lengths. Row-local as well.
+
+    A missing prediction or label counts as empty text, as in the entity scores.
+    """
+    sides = [F.coalesce(F.col(c), F.lit("")) for c in ("pred", "label")]
+    counted = pairs.withColumn("_bleu", bleu_counts(*sides))
     return counted.select(*pairs.columns, "_bleu.*")
 
 

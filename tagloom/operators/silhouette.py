@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +18,6 @@ from tagloom.operators.numbering import number_by_range
 
 BLOCK_ROWS = 2048
 
-# The cluster tables are constants of the plan; more clusters than this are refused.
-MAX_CLUSTERS = 1000
-
 
 def _score(own: Column, nearest: Column) -> Column:
     """``(b - a) / max(a, b)``; 0 for a cluster of one (``own`` is NULL) and where both are 0."""
@@ -30,14 +28,8 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _bounded(rows: list) -> list:
-    if len(rows) > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
-    return rows
-
-
-def silhouette_squared(points: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
-    """Adds ``a, b, s`` per row: mean squared distance to the own and to the nearest other cluster."""
+def _cluster_sums(points: DataFrame, vector: str, cluster: str) -> list:
+    """``cluster, n, squares, total`` of every cluster, in order: the size of a k-means model."""
     x = F.col(vector)
     sums = points.select(cluster, F.posexplode(vector).alias("dim", "x"))
     sums = sums.groupBy(cluster, "dim").agg(F.sum("x").alias("x"))
@@ -47,38 +39,48 @@ def silhouette_squared(points: DataFrame, key: str, vector: str, cluster: str) -
     sizes = points.groupBy(cluster).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(_dot(x, x)).alias("squares")
     )
-    stats = _bounded(sizes.join(vectors, cluster).limit(MAX_CLUSTERS + 1).collect())
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(r[cluster]).alias("cluster"),
-                F.lit(r["n"]).alias("n"),
-                F.lit(r["squares"]).alias("squares"),
-                F.array(*[F.lit(v) for v in r["total"]]).alias("total"),
-            )
-            for r in stats
-        ]
-    )
-    # Sum of squared distances to all members; the row itself adds 0 to its own cluster.
-    distances = F.transform(
-        table,
-        lambda c: F.struct(
-            c["cluster"].alias("cluster"),
-            c["n"].alias("n"),
-            F.greatest(
-                c["n"] * F.col("_norm") + c["squares"] - F.lit(2.0) * _dot(x, c["total"]), F.lit(0.0)
-            ).alias("d"),
-        ),
+    return sizes.join(vectors, cluster).orderBy(cluster).collect()
+
+
+def silhouette_squared(points: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
+    """Adds ``a, b, s`` per row: mean squared distance to the own and to the nearest other cluster.
+
+    The cluster table is broadcast; rows are scored in blocks against all of it.
+    """
+    stats = _cluster_sums(points, vector, cluster)
+    width = len(stats[0]["total"]) if stats else 0
+    shared = points.sparkSession.sparkContext.broadcast(
+        (
+            {r[cluster]: i for i, r in enumerate(stats)},
+            np.asarray([r["n"] for r in stats]),
+            np.asarray([r["squares"] for r in stats]),
+            np.asarray([r["total"] for r in stats]).reshape(len(stats), width),
+        )
     )
-    own = F.get(F.filter("_d", lambda c: c["cluster"] == F.col(cluster)), F.lit(0))
-    others = F.filter("_d", lambda c: c["cluster"] != F.col(cluster))
+
+    def distances(vectors: pa.Array, clusters: pa.Array) -> pa.Array:
+        place, n, squares, total = shared.value
+        x = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), float).reshape(len(vectors), width)
+        own = np.asarray([place[c] for c in clusters.to_pylist()], int)
+        a, b = np.full(len(x), np.nan), np.full(len(x), np.nan)
+        for i in range(0, len(x), BLOCK_ROWS):
+            part, mine = x[i : i + BLOCK_ROWS], own[i : i + BLOCK_ROWS]
+            rows = np.arange(len(part))
+            # Sum of squared distances to all members; the row itself adds 0 to its own cluster.
+            d = np.maximum(np.outer((part * part).sum(1), n) + squares - 2.0 * (part @ total.T), 0.0)
+            a[i : i + BLOCK_ROWS] = np.where(n[mine] > 1, d[rows, mine] / np.maximum(n[mine] - 1, 1), np.nan)
+            d /= n
+            d[rows, mine] = np.inf
+            nearest = d.min(axis=1)
+            b[i : i + BLOCK_ROWS] = np.where(np.isinf(nearest), np.nan, nearest)
+        return pa.StructArray.from_arrays([pa.array(v, from_pandas=True) for v in (a, b)], names=["a", "b"])
+
+    measured = F.arrow_udf(distances, "struct<a: double, b: double>")(F.col(vector), F.col(cluster))
     return (
-        points.withColumn("_norm", _dot(x, x))
-        .withColumn("_d", distances)
-        .withColumn("a", own["d"] / F.nullif(own["n"] - 1, F.lit(0.0)))
-        .withColumn("b", F.array_min(F.transform(others, lambda c: c["d"] / c["n"])))
+        points.withColumn("_d", measured)
+        .withColumns({"a": F.col("_d.a"), "b": F.col("_d.b")})
+        .drop("_d")
         .withColumn("s", _score(F.col("a"), F.col("b")))
-        .drop("_norm", "_d")
     )
 
 
@@ -131,7 +133,7 @@ def silhouette_exact(
         .groupBy("labelling", "cluster")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    table = sorted(_bounded(clusters.limit(MAX_CLUSTERS + 1).collect()))
+    table = sorted(clusters.collect())
     members = [[r["labelling"], r["cluster"]] for r in table]
     n_labellings = 1 + max((labelling for labelling, _ in members), default=0)
     n_blocks = max(1, -(-sum(r["n"] for r in table if r["labelling"] == 0) // block_rows))

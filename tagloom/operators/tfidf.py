@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import repeat
 
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +20,9 @@ from tagloom.session import materialise
 # Fixed value: terms kept per corpus.
 MAX_FEATURES = 25_000
 
-# Vocabularies of up to this many rows in all are broadcast.
-BROADCAST_TERMS = 1_000_000
+# Vocabularies of up to this many bytes of terms are looked up inside rows; larger ones are joined.
+BROADCAST_BYTES = 32 << 20
+TERM_OVERHEAD = 100
 
 
 def noun_text(nouns: Column) -> Column:
@@ -52,23 +56,63 @@ def vocabulary(docs: DataFrame, max_features: int = MAX_FEATURES, by: Sequence[s
     return top.select(*by, "term", "df", idf.alias("idf"))
 
 
+def fits_in_rows(vocab: DataFrame) -> bool:
+    size = vocab.agg(F.sum(F.octet_length("term") + TERM_OVERHEAD)).first()[0] or 0
+    return size <= BROADCAST_BYTES
+
+
 def weights(docs: DataFrame, vocab: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``doc_id, term, weight`` for every kept term; each document has unit length.
 
-    ``vocab`` should be a stored table: it is counted, and broadcast if it is small enough.
-    Documents are then shuffled once, as compact term arrays, and the norm reuses that
-    partitioning.
+    ``vocab`` should be a stored table. If its terms fit the bound they are looked up inside the row,
+    which also gives the norm, and nothing is shuffled. Otherwise documents are shuffled once, as
+    compact term arrays, and the norm reuses that partitioning.
     """
     keys = [*by, "doc_id"]
     kept = vocab.select(*by, "term", "idf")
-    if vocab.count() <= BROADCAST_TERMS:
-        kept = F.broadcast(kept)
+    if fits_in_rows(vocab):
+        tables: dict[tuple, dict[str, float]] = {}
+        for r in kept.collect():
+            tables.setdefault(tuple(r[c] for c in by), {})[r["term"]] = r["idf"]
+        shared = docs.sparkSession.sparkContext.broadcast(tables)
+
+        def weigh(found: pa.Array, *groups: pa.Array) -> pa.Array:
+            out = []
+            for words, group in zip(found.to_pylist(), zip(*(g.to_pylist() for g in groups)) if groups else repeat(())):
+                table = shared.value.get(group, {})
+                hits = [(w, table[w]) for w in words or () if w in table]
+                norm = math.sqrt(sum(x * x for _, x in hits))
+                out.append([{"term": w, "weight": x / norm} for w, x in hits])
+            return pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("weight", pa.float64())])))
+
+        weigh = F.arrow_udf(weigh, "array<struct<term: string, weight: double>>").asNondeterministic()
+        rows = docs.withColumn("_w", weigh("terms", *by)).select(*keys, F.explode("_w").alias("_w"))
+        return rows.select(*keys, "_w.term", "_w.weight")
     spread = docs.select(*keys, "terms").repartition("doc_id")
     hits = elements(spread, keys, F.col("terms"), "term").join(kept, [*by, "term"])
     norm = F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy(*keys)))
     return hits.select(*keys, "term", (F.col("idf") / norm).alias("weight"))
 
 
+def projected(docs: DataFrame, entries: list, axes) -> DataFrame:
+    """``doc_id, point`` of every document: its TF-IDF row times two axes, which follow ``entries``.
+
+    Row-local; a document without any kept term is at the origin.
+    """
+    table = {e["term"]: (e["idf"], float(x), float(y)) for e, (x, y) in zip(entries, axes)}
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def place(found: pa.Array) -> pa.Array:
+        out = []
+        for words in found.to_pylist():
+            hits = [shared.value[w] for w in words or () if w in shared.value]
+            norm = math.sqrt(sum(idf * idf for idf, _, _ in hits)) or 1.0
+            out.append([sum(idf * x for idf, x, _ in hits) / norm, sum(idf * y for idf, _, y in hits) / norm])
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return docs.select("doc_id", F.arrow_udf(place, "array<double>")("terms").alias("point"))
+
+
 def term_documents(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
     return docs.select(*keep, terms(text).alias("terms"))
 
@@ -82,12 +126,17 @@ def tfidf(docs: DataFrame, max_features: int = MAX_FEATURES, by: Sequence[str] =
     return weights(prepared, materialise(vocabulary(prepared, max_features, by), "vocabulary"), by)
 
 
+def vocabulary_entries(vocab: DataFrame) -> list:
+    """Terms with their idf, in the order of vector positions."""
+    return vocab.orderBy(F.col("df").desc(), "term").select("term", "idf").collect()
+
+
 def tfidf_vectors(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     """``doc_id, features``: the same weights as sparse vectors, one narrow pass.
 
     ``vocab`` (one group, bounded by ``max_features``) becomes the model.
     """
-    entries = vocab.orderBy(F.col("df").desc(), "term").select("term", "idf").collect()
+    entries = vocabulary_entries(vocab)
     counter = CountVectorizerModel.from_vocabulary(
         [e["term"] for e in entries], inputCol="terms", outputCol="_binary"
     ).setBinary(True).setMinTF(0.0)

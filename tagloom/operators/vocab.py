@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.arrays import elements
 from tagloom.functions.tags import TAGS
 from tagloom.functions.text import strip, whitespace_tokens
 from tagloom.operators.numbering import number_by_range
+from tagloom.session import materialise
 
 # Special ids, reserved tag tokens, truncation limits, the label mask.
 SPECIALS = ("<pad>", "</s>", "<unk>")
@@ -20,9 +23,11 @@ INPUT_LIMIT = 100
 LABEL_LIMIT = 90
 LABEL_MASK = -100
 
-# Ids run in order of frequency. Ids below this bound are broadcast; only rarer tokens are
-# shuffled, so no frequent token becomes a hot join key.
-HEAD_IDS = 50_000
+# The part of a vocabulary that is looked up inside the row: the smallest ids, which are the most
+# frequent tokens, up to this many entries of at most this many bytes each (32 MiB in all). Any
+# other entry is joined, and only rows that hold such a token take part.
+HEAD_ENTRIES = 500_000
+HEAD_TOKEN_BYTES = 64
 
 
 def vocab_tokens(text: Column, reserved: Sequence[str] = RESERVED) -> Column:
@@ -56,39 +61,104 @@ def build_vocabulary(
     return given.unionByName(learned)
 
 
-def _lookup(pieces: DataFrame, vocab: DataFrame, key: str, value: str, size: int) -> DataFrame:
-    """Left join on ``key``: frequent entries by broadcast, the rest (if any) by shuffle."""
-    head = vocab.filter(F.col("id") < HEAD_IDS).select(key, F.col(value).alias("_head"))
-    found = pieces.join(F.broadcast(head), key, "left")
-    if size <= HEAD_IDS:
-        return found.withColumnRenamed("_head", value)
-    # Pieces already resolved need no partner: they get a null key and are spread by a salt.
-    open_key = F.when(F.col("_head").isNull(), F.col(key))
-    salt = F.when(F.col("_head").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("row_id", "pos"), F.lit(4096)))
-    tail = vocab.filter(F.col("id") >= HEAD_IDS).select(
-        F.col(key).alias("_key"), F.lit(0).cast("bigint").alias("_salt"), F.col(value).alias("_tail")
+def _head(vocab: DataFrame) -> tuple[list, bool]:
+    """Entries ``(token, id)`` for the look-up inside rows, and whether they are all there are."""
+    short = vocab.select("token", "id").filter(F.octet_length("token") <= HEAD_TOKEN_BYTES)
+    rows = short.orderBy("id", "token").limit(HEAD_ENTRIES).collect()
+    return [(r["token"], r["id"]) for r in rows], vocab.count() == len(rows)
+
+
+def _row_lookup(entries: dict, spark: SparkSession, result: pa.DataType, ddl: str):
+    """A function of an array column: the value of every item, null where it is not an entry."""
+    shared = spark.sparkContext.broadcast(entries)
+
+    def look_up(lists: pa.Array) -> pa.Array:
+        offsets = pc.subtract(lists.offsets, lists.offsets[0])
+        coded = lists.flatten().dictionary_encode()
+        values = pa.array([shared.value.get(x) for x in coded.dictionary.to_pylist()], result)
+        return pa.ListArray.from_arrays(offsets, values.take(coded.indices))
+
+    return F.arrow_udf(look_up, f"array<{ddl}>")
+
+
+def _resolve(rows: DataFrame, arrays: dict[str, Column], vocab: DataFrame, key: str, value: str) -> DataFrame:
+    """Adds, under each name of ``arrays``, the values of that array's items; null if unknown.
+
+    Narrow when the whole vocabulary is looked up inside rows. Otherwise rows are written once with
+    what was found; the distinct open items are joined with the rest of the vocabulary, and rows
+    that hold one get their own small map of values. No key of the caller is needed, so repeated
+    rows stay apart.
+    """
+    entries, whole = _head(vocab)
+    types = {"token": (pa.string(), "string"), "id": (pa.int32(), "int")}
+    pairs = {t: i for t, i in entries} if key == "token" else {i: t for t, i in entries}
+    look_up = _row_lookup(pairs, rows.sparkSession, *types[value])
+    items = {name: F.coalesce(a, F.array().cast(f"array<{types[key][1]}>")) for name, a in arrays.items()}
+    if whole:
+        return rows.withColumns({name: look_up(a) for name, a in items.items()})
+    keys = {name: f"_keys_{name}" for name in items}
+    found = rows.withColumns({keys[name]: a for name, a in items.items()})
+    found = found.withColumns({name: look_up(F.col(keys[name])) for name in items})
+    found = materialise(found.withColumn("_row", F.monotonically_increasing_id()), "resolved")
+    missing = F.array_distinct(
+        F.flatten(
+            F.array(
+                *[
+                    F.transform(
+                        F.filter(F.arrays_zip(F.col(keys[n]).alias("k"), F.col(n).alias("v")), lambda x: x["v"].isNull()),
+                        lambda x: x["k"],
+                    )
+                    for n in items
+                ]
+            )
+        )
+    )
+    open_items = found.select("_row", F.explode(missing).alias("_key"))
+    rest = vocab.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    named = open_items.select("_key").distinct().join(rest, "_key")
+    own = open_items.join(named, "_key").groupBy("_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("_key", "_value"))).alias("_own")
     )
-    return (
-        found.withColumn("_key", open_key)
-        .withColumn("_salt", salt.cast("bigint"))
-        .join(tail, ["_key", "_salt"], "left")
-        .withColumn(value, F.coalesce("_head", "_tail"))
-        .drop("_key", "_salt", "_head", "_tail")
+    joined = found.join(own, "_row", "left")
+    filled = {
+        n: F.transform(
+            F.arrays_zip(F.col(keys[n]).alias("k"), F.col(n).alias("v")),
+            lambda x: F.coalesce(x["v"], F.try_element_at("_own", x["k"])),
+        )
+        for n in items
+    }
+    return joined.withColumns(filled).drop("_row", "_own", *keys.values())
+
+
+def encode_columns(
+    texts: DataFrame, vocab: DataFrame, columns: dict[str, tuple[str, int | None]], reserved: Sequence[str] = RESERVED
+) -> DataFrame:
+    """``texts`` with one id column per entry of ``columns``: its name -> text column, limit.
+
+    Ids end with the end mark and are at most the limit in all (None: no limit). Every row stays,
+    also repeated ones; a null text has the end mark only.
+    """
+    tokens = {}
+    for name, (column, limit) in columns.items():
+        whole = vocab_tokens(F.coalesce(F.col(column), F.lit("")), reserved)
+        tokens[name] = whole if limit is None else F.slice(whole, 1, limit - 1)
+    coded = _resolve(texts, tokens, vocab, "token", "id")
+    end = F.array(F.lit(EOS))
+    return coded.withColumns(
+        {n: F.concat(F.transform(n, lambda x: F.coalesce(x, F.lit(UNK))), end) for n in columns}
     )
 
 
 def encode(
-    texts: DataFrame, vocab: DataFrame, column: str, max_length: int, reserved: Sequence[str] = RESERVED
+    texts: DataFrame,
+    vocab: DataFrame,
+    column: str,
+    max_length: int | None,
+    reserved: Sequence[str] = RESERVED,
+    keys: Sequence[str] = ("row_id",),
 ) -> DataFrame:
-    """``row_id, ids``: token ids and a closing end mark, at most ``max_length`` in all."""
-    tokens = F.slice(vocab_tokens(F.col(column), reserved), 1, max_length - 1)
-    pieces = texts.select("row_id", F.posexplode_outer(tokens).alias("pos", "token"))
-    coded = _lookup(pieces, vocab, "token", "id", vocab.count())
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))
-    ordered = F.sort_array(F.collect_list(item))
-    return coded.groupBy("row_id").agg(
-        F.concat(F.transform(ordered, lambda x: x["id"]), F.array(F.lit(EOS))).alias("ids")
-    )
+    """The keys and ``ids`` of one column; see ``encode_columns``."""
+    return encode_columns(texts.select(*keys, column), vocab, {"ids": (column, max_length)}, reserved).select(*keys, "ids")
 
 
 def restore_mask(ids: Column, pad: int = PAD) -> Column:
@@ -96,13 +166,16 @@ def restore_mask(ids: Column, pad: int = PAD) -> Column:
     return F.transform(ids, lambda x: F.when(x == LABEL_MASK, F.lit(pad)).otherwise(x))
 
 
-def decode(coded: DataFrame, vocab: DataFrame, column: str = "ids") -> DataFrame:
-    """``row_id, text``: tokens joined by spaces without special ids, stripped."""
-    kept = F.filter(F.col(column), lambda x: ~x.isin(PAD, EOS, UNK))
-    pieces = coded.select("row_id", F.posexplode_outer(kept).alias("pos", "id"))
-    named = _lookup(pieces, vocab, "id", "token", vocab.count())
-    item = F.when(F.col("token").isNotNull(), F.struct("pos", "token"))
-    ordered = F.sort_array(F.collect_list(item))
-    return named.groupBy("row_id").agg(
-        strip(F.array_join(F.transform(ordered, lambda x: x["token"]), " ")).alias("text")
-    )
+def decode_columns(coded: DataFrame, vocab: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``coded`` with one text column per entry of ``columns``: its name -> id column.
+
+    Tokens joined by spaces without special ids, stripped. Every row stays.
+    """
+    kept = {n: F.filter(F.col(c).cast("array<int>"), lambda x: ~x.isin(PAD, EOS, UNK)) for n, c in columns.items()}
+    named = _resolve(coded, kept, vocab, "id", "token")
+    return named.withColumns({n: strip(F.array_join(F.filter(n, lambda t: t.isNotNull()), " ")) for n in columns})
+
+
+def decode(coded: DataFrame, vocab: DataFrame, column: str = "ids", keys: Sequence[str] = ("row_id",)) -> DataFrame:
+    """The keys and ``text`` of one id column."""
+    return decode_columns(coded.select(*keys, column), vocab, {"text": column}).select(*keys, "text")

@@ -15,6 +15,7 @@ from tagloom.operators.scoring import (
     with_bleu_counts,
     with_entity_scores,
 )
+from tagloom.operators.vocab import decode_columns, restore_mask
 
 
 def evaluate(pairs: DataFrame, by: Sequence[str] = (), label_prefix: str | None = None) -> DataFrame:
@@ -29,6 +30,15 @@ def evaluate(pairs: DataFrame, by: Sequence[str] = (), label_prefix: str | None
     return sums.select(*by, bleu_from_sums().alias("bleu"), "f1", "acc")
 
 
+def evaluate_ids(
+    coded: DataFrame, vocab: DataFrame, by: Sequence[str] = (), label_prefix: str | None = None
+) -> DataFrame:
+    """The same metrics from ``pred_ids, label_ids`` of a model: unmask, decode, strip, score."""
+    ids = {f"_{c}": restore_mask(F.col(f"{c}_ids")) for c in ("pred", "label")}
+    texts = decode_columns(coded.withColumns(ids), vocab, {c: f"_{c}" for c in ("pred", "label")})
+    return evaluate(texts, by, label_prefix)
+
+
 def best_runs(metrics: DataFrame, keep: int = 3) -> DataFrame:
     """The ``keep`` best runs by f1 with their ``place``; place 1 is the best. A top-k report."""
     order = [F.col("f1").desc(), F.col("run_id")]

@@ -3,38 +3,52 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.operators.cluster import SWEEP, kmeans_labels, svd_2d
+from tagloom.operators.cluster import SWEEP, kmeans_labels, svd_axes
 from tagloom.operators.silhouette import silhouette_exact, silhouette_squared
 from tagloom.operators.tfidf import (
     MAX_FEATURES,
     noun_text,
+    projected,
     term_documents,
     tfidf_vectors,
     vocabulary,
-    weights,
+    vocabulary_entries,
 )
 from tagloom.session import materialise
+from tagloom.sources.tables import ANALYZERS
 
 
 def documents_2d(docs: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """``doc_id, point`` from ``doc_id, nouns``."""
+    """``doc_id, point`` of every row of ``doc_id, nouns``."""
     terms = materialise(term_documents(docs, noun_text(F.col("nouns")), "doc_id"), "terms")
     vocab = materialise(vocabulary(terms, max_features), "vocabulary")
-    # The solver passes over the vectors many times; they are written once, sparse.
-    vectors = materialise(tfidf_vectors(terms, vocab), "vectors")
-    return svd_2d(vectors, weights(terms, vocab), vocab)
+    entries = vocabulary_entries(vocab)
+    if not entries:
+        return terms.select("doc_id", F.array(F.lit(0.0), F.lit(0.0)).alias("point"))
+    return projected(terms, entries, svd_axes(tfidf_vectors(terms, vocab), len(entries)))
+
+
+def sweep_by_analyzer(wide: DataFrame, analyzers: Sequence[str] = ANALYZERS, ks: Sequence[int] = SWEEP) -> DataFrame:
+    """``analyzer, k, silhouette, n_rows``: 2-D reduction and sweep for each noun column."""
+    parts = []
+    for name in analyzers:
+        points = documents_2d(wide.select("doc_id", F.col(f"{name}_nouns").alias("nouns")))
+        means = sweep_means(sweep_scores(points, "doc_id", ks))
+        parts.append(means.select(F.lit(name).alias("analyzer"), "k", "silhouette", "n_rows"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sweep_scores(
-    points: DataFrame, key: str, ks: Sequence[int] = SWEEP, exact: bool = True
+    points: DataFrame, key: str, ks: Sequence[int] = SWEEP, exact: bool = False
 ) -> DataFrame:
     """``k, key, cluster, a, b, s`` of ``key, point`` for every k.
 
-    ``exact`` measures Euclidean distance over all pairs; otherwise the linear squared form.
+    The squared form is linear in the rows; ``exact`` measures Euclidean distance over all pairs.
     """
     # Written once: k-means is fitted and scored on the same rows.
     labelled = materialise(kmeans_labels(points, ks), "sweep")

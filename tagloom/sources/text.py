@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagloom.session import materialise
+
+# A split row takes about 200 bytes.
+BROADCAST_SPLITS = 200_000
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """UTF-8 lines as ``sentence``; ``\\n``, ``\\r\\n`` and ``\\r`` end a line.
@@ -19,14 +24,13 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Spark may pack the splits of many files into partitions in any order, so lines are counted
     per split (file and start offset). Splits follow one another in path and offset order. Inside
-    a split the generated row ids are consecutive. Lines are not shuffled; the table of splits is
-    small and joined by key.
+    a split the generated row ids are consecutive. The table of splits has a row per split; it is
+    broadcast up to ``BROADCAST_SPLITS`` rows, so that lines are not shuffled, and joined beyond.
 
     Both reads must cut files at the same offsets. Spark derives the split size from the number
-    of cores, which may change on an elastic cluster, unless this setting fixes it.
+    of cores; should that change in between (set ``spark.sql.files.minPartitionNum`` to rule it
+    out), the job fails instead of numbering wrongly.
     """
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     lines = spark.read.text(path).select(
         F.col("value").alias("sentence"),
         F.col("_metadata.file_path").alias("_file"),
@@ -40,8 +44,14 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
     offsets = splits.select(
         "_file", "_start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
     )
+    offsets = materialise(offsets, "splits")
+    if offsets.count() <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
     row_id = (F.col("_offset") + F.col("_id") - F.col("_first")).cast("bigint")
-    return lines.join(offsets, ["_file", "_start"]).select(row_id.alias("row_id"), "sentence")
+    moved = F.raise_error(F.lit("files were cut at other offsets in the second read")).cast("bigint")
+    return lines.join(offsets, ["_file", "_start"], "left").select(
+        F.when(F.col("_offset").isNull(), moved).otherwise(row_id).alias("row_id"), "sentence"
+    )
 
 
 def read_tagged_text(spark: SparkSession, path: str) -> DataFrame:

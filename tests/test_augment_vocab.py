@@ -104,8 +104,30 @@ def test_rare_tokens_take_the_shuffled_join(prepared, monkeypatch):
     vocab = build_vocabulary(prepared, ["input_sentence", "train_label"]).persist()
     want = sorted(map(str, encode(prepared, vocab, "input_sentence", 100).collect()))
     text = sorted(map(str, decode(encode(prepared, vocab, "input_sentence", 100), vocab).collect()))
-    monkeypatch.setattr(vocab_module, "HEAD_IDS", 15)
+    monkeypatch.setattr(vocab_module, "HEAD_ENTRIES", 15)
     coded = encode(prepared, vocab, "input_sentence", 100)
     assert sorted(map(str, coded.collect())) == want
     assert sorted(map(str, decode(coded, vocab).collect())) == text
     vocab.unpersist()
+
+
+def test_sparse_ids_and_repeated_rows(spark, monkeypatch):
+    """Ids may have gaps, and rows that share a key stay apart, on both paths."""
+    vocab = spark.createDataFrame([("<unk>", 2), ("a", 7), ("b", 60_000), ("long" * 40, 70_000)], "token string, id int")
+    texts = spark.createDataFrame(
+        [(1, 0, "a b"), (1, 1, "b q"), (1, 1, "b q"), (2, 0, None), (3, 0, "long" * 40)], "row_id long, round int, text string"
+    )
+    want = [(1, 0, [7, 60_000, 1]), (1, 1, [60_000, 2, 1]), (1, 1, [60_000, 2, 1]), (2, 0, [1]), (3, 0, [70_000, 1])]
+    for head in (500_000, 2, 0):
+        monkeypatch.setattr(vocab_module, "HEAD_ENTRIES", head)
+        coded = encode(texts, vocab, "text", 100, keys=["row_id", "round"])
+        assert sorted((r.row_id, r["round"], r.ids) for r in coded.collect()) == want
+        text = decode(coded, vocab, keys=["row_id", "round"]).collect()
+        assert sorted(r.text for r in text) == ["", "a b", "b", "b", "long" * 40]
+    assert encode(texts, vocab, "text", None).count() == 5
+
+
+def test_a_vocabulary_that_fits_needs_no_shuffle(prepared):
+    vocab = build_vocabulary(prepared, ["input_sentence"])
+    plan = encode(prepared, vocab, "input_sentence", 100)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("InMemoryRelation")[0]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tagloom.checks import fixtures as fx
 from tagloom.operators import cluster
+from tagloom.operators import tfidf as tfidf_module
 from tagloom.operators.silhouette import silhouette_exact, silhouette_profile, silhouette_squared
 from tagloom.operators.tfidf import noun_text, term_documents, tfidf, tfidf_vectors, vocabulary
 from tagloom.plans.explore import documents_2d, sweep_means, sweep_scores
@@ -140,10 +141,10 @@ def test_profile_positions(points):
 def test_sweep(spark, small):
     vectors = fx.vectors(spark, small)
     points = cluster.pca_2d(vectors)
-    scores = sweep_scores(points, "vec_id", ks=(2, 3)).persist()
+    scores = sweep_scores(points, "vec_id", ks=(2, 3), exact=True).persist()
     assert {r.k: r.n_rows for r in sweep_means(scores).collect()} == {2: 500, 3: 500}
     assert {r.k: r.n for r in scores.groupBy("k").agg(F.count_distinct("cluster").alias("n")).collect()} == {2: 2, 3: 3}
-    squared = sweep_means(sweep_scores(points, "vec_id", ks=(2, 3), exact=False)).collect()
+    squared = sweep_means(sweep_scores(points, "vec_id", ks=(2, 3))).collect()
     assert all(-1 <= r.silhouette <= 1 for r in squared)
     one = {r.vec_id: (r.point, r.cluster) for r in scores.filter("k = 2").join(points, "vec_id").collect()}
     x, labels = np.array([one[i][0] for i in range(500)]), np.array([one[i][1] for i in range(500)])
@@ -159,5 +160,52 @@ def test_centres(spark, small):
     for r in rows[:100]:
         d = {c: ((np.array(r.embedding) - m) ** 2).sum() for c, m in means.items()}
         assert r.cluster == min(d, key=d.get)
-    with pytest.raises(ValueError):
-        cluster.assign_to_centres(vectors, centres, "embedding", max_centres=3)
+
+
+def test_more_than_a_thousand_clusters(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 2))
+    labels = np.arange(3000) % 1200
+    frame = spark.createDataFrame([(i, x[i].tolist(), int(labels[i])) for i in range(3000)], "vec_id long, x array<double>, c int")
+    found = {r.vec_id: r.s for r in silhouette_squared(frame, "vec_id", "x", "c").collect()}
+    assert [found[i] for i in range(3000)] == pytest.approx(brute_silhouette(x, labels, 2), abs=1e-6)
+    centres = cluster.cluster_means(frame, "c", "x")
+    table = {r.c: np.array(r.centre) for r in centres.collect()}
+    means = np.array([table[c] for c in range(1200)])
+    near = {r.vec_id: r.cluster for r in cluster.assign_to_centres(frame, centres, "x").collect()}
+    want = ((x[:, None, :] - means[None]) ** 2).sum(-1).argmin(1)
+    assert [near[i] for i in range(3000)] == want.tolist()
+    moved = {r.cluster: r.centre for r in cluster.centre_update(frame, centres, "x").collect()}
+    assert moved[int(want[0])] == pytest.approx(x[want == want[0]].mean(0).tolist())
+
+
+def test_reduction_keeps_every_document(spark):
+    rows = spark.createDataFrame([(1, ["ab"]), (2, ["ab"]), (3, ["z"]), (4, [])], "doc_id long, nouns array<string>")
+    points = {r.doc_id: r.point for r in documents_2d(rows).collect()}
+    assert [abs(v) for v in points[1]] == pytest.approx([1.0, 0.0]) and points[3] == points[4] == [0.0, 0.0]
+    rows = rows.unionByName(spark.createDataFrame([(5, ["ab", "cd"])], rows.schema))
+    assert {r.doc_id for r in documents_2d(rows).collect()} == {1, 2, 3, 4, 5}
+
+
+def test_pca_against_numpy(spark, small):
+    frame = fx.vectors(spark, small)
+    rows = sorted(cluster.pca_2d(frame).collect())
+    x = np.array([r.embedding for r in frame.orderBy("vec_id").collect()])
+    axes = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:2]
+    assert np.abs([r.point for r in rows]) == pytest.approx(np.abs(x @ axes.T), abs=1e-6)
+
+
+def test_fitted_clusters_are_a_fixed_point(spark, small):
+    points = cluster.pca_2d(fx.vectors(spark, small))
+    labelled = cluster.kmeans_labels(points, ks=(3,)).withColumn("c", F.get("labels", F.lit(0))).persist()
+    centres = cluster.cluster_means(labelled, "c", "point")
+    again = cluster.assign_to_centres(labelled, centres, "point")
+    assert again.filter("c <> cluster").count() <= 2  # the fit stops at a tolerance
+
+
+def test_weights_agree_on_both_paths(spark, small, monkeypatch):
+    docs = fx.noun_table(spark, small).select("doc_id", F.col("okt_nouns").alias("nouns"))
+    near = {(r.doc_id, r.term): r.weight for r in tfidf(docs, 300).collect()}
+    monkeypatch.setattr(tfidf_module, "BROADCAST_BYTES", 0)
+    far = {(r.doc_id, r.term): r.weight for r in tfidf(docs, 300).collect()}
+    assert near.keys() == far.keys() and all(near[k] == pytest.approx(far[k]) for k in near)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.checks import fixtures as fx
+from tagloom.operators.alignment import align
 from tagloom.operators.scoring import bleu, bleu_stats, entity_f1_macro, with_entity_scores
 from tagloom.plans.evaluate import best_runs, evaluate
 
@@ -158,3 +159,18 @@ def test_counts_do_not_depend_on_partitions(spark, small):
     frame = fx.bleu_pairs(spark, small)
     assert bleu_stats(frame.repartition(1)).first() == bleu_stats(frame.repartition(17)).first()
     assert Counter(bleu_stats(frame).columns) == Counter(set(bleu_stats(frame).columns))
+
+
+def test_missing_texts_count_as_empty(spark):
+    rows = [(1, "a:PS", "a:PS"), (2, None, "b:LC"), (3, "c:TI", None)]
+    pairs = spark.createDataFrame(rows, "row_id long, pred string, label string")
+    filled = pairs.fillna("")
+    assert evaluate(pairs).first() == evaluate(filled).first()
+
+
+def test_alignment_refuses_repeated_keys(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b")], "row_id long, pred string")
+    right = spark.createDataFrame([(1, "x"), (1, "y")], "row_id long, label string")
+    with pytest.raises(Exception, match="key occurs twice"):
+        align(left, right).collect()
+    assert align(left.limit(1), right.limit(1)).columns == ["row_id", "pred", "label"]

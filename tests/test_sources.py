@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.operators.corrections import KNOWN_CORRECTIONS
 from tagloom.plans.prepare import read_test, read_train
@@ -15,7 +16,7 @@ from tagloom.sources.sinks import (
     write_metrics,
     write_note,
 )
-from tagloom.sources.tables import noun_documents, read_csv, read_noun_csv, read_tagged_csv
+from tagloom.sources.tables import noun_documents, parse_list, read_csv, read_noun_csv, read_tagged_csv
 from tagloom.sources.text import read_lines, read_tagged_text
 
 
@@ -61,7 +62,25 @@ def test_csv_round_trip_keeps_every_character(spark, tmp_path):
     rows = [(1, ' "quoted", comma\\ '), (2, "two\nlines"), (3, "<이름:PS>"), (4, 'end"'), (5, "back\\slash")]
     frame = spark.createDataFrame(rows, "row_id long, sentence string")
     write_csv(frame, str(tmp_path / "csv"))
-    assert sorted(map(tuple, read_tagged_csv(spark, str(tmp_path / "csv")).collect())) == rows
+    assert sorted(map(tuple, read_tagged_csv(spark, str(tmp_path / "csv"), multi_line=True).collect())) == rows
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    path = tmp_path / "named.csv"
+    path.write_text("note,sentence,row_id\nx,one,7\ny,two,3\n", encoding="utf-8")
+    assert sorted(map(tuple, read_tagged_csv(spark, str(path)).collect())) == [(3, "two"), (7, "one")]
+    path = tmp_path / "bare.csv"
+    path.write_text("sentence,label\none,a\ntwo,b\n", encoding="utf-8")
+    assert sorted(map(tuple, read_tagged_csv(spark, str(path)).collect())) == [(0, "one"), (1, "two")]
+    with pytest.raises(ValueError, match="no column text"):
+        read_csv(spark, str(path), "sentence string, text string")
+
+
+def test_printed_lists(spark):
+    cells = ["""["d'or", 'b', 'c']""", r"""['it\'s', "a\"b", '']""", "[]", None]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    found = {r.i: r.v for r in rows.select("i", parse_list(F.col("c")).alias("v")).collect()}
+    assert found == {0: ["d'or", "b", "c"], 1: ["it's", 'a"b'], 2: [], 3: None}
 
 
 def test_noun_csv(spark, tmp_path):
@@ -91,4 +110,3 @@ def test_metrics_note_and_folder(spark, tmp_path):
     assert "input text: a:" in "".join(p.read_text() for p in (tmp_path / "n").glob("*.txt"))
     folder = run_folder("/base/", datetime(2024, 1, 2, 3, 4), prefix="extract entity:", n_split=10)
     assert folder == "/base/run_id=prefixextract-entity-_n_split10_date02-03-04"
-    assert read_csv(spark, str(tmp_path / "m"), "x string").columns == ["x"]

@@ -129,3 +129,15 @@ def test_alignment_is_checked(spark):
     with pytest.raises(Exception, match="without partner"):
         align(left, right.filter("row_id = 1")).collect()
     assert align(left, right.filter("row_id = 1"), strict=False).count() == 1
+
+
+def test_numbers_of_sparse_keys(spark):
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("k"))
+    rows = number_by_key(keys, "k").orderBy("k").collect()
+    assert [r.position for r in rows] == list(range(20_000))
+
+
+def test_many_signatures(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("row_id"), F.array(F.concat(F.lit("t"), F.col("id") % 10_000)).alias("entity"))
+    sizes = [r["count"] for r in stratified_folds(rows, 4).groupBy("fold").count().collect()]
+    assert sizes == [7500] * 4
