@@ -1,6 +1,6 @@
 """Quality rules from tokeniser fertility.
 
-Every word is encoded by two public vocabularies (byte-level pairs, and pieces with byte fallback).
+Every text is encoded by two public vocabularies (byte-level pairs, and pieces with byte fallback).
 Per document that gives characters per token for each, the share of byte-fallback pieces, and the
 entropy of the piece distribution relative to that of equally many different pieces. Bands of
 acceptance are set per language (per script where the language is missing), as robust quantile
@@ -16,6 +16,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import base64
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,77 +25,61 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import sentencepiece
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from tagloom.llm.workers import ship
 from tagloom.session import materialise
 
-PAIRS, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+PAIRS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 WIDTH = 3.6
 SHORT = 150.0  # words at which the band is wider by the root of two; short texts vary more
 ENOUGH = 100
 LEAST_DEVIATION = 0.02  # of the median; a tight corpus must not reject its own ordinary spread
-MEMO = 200_000
-WHITE = str.maketrans("", "", " \t\n\x0b\x0c\r")
+WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
 MEASURES = ("chars_per_pair_token", "chars_per_piece", "byte_share", "entropy")
 COUNTS = ("n_words", "word_chars", "n_dup_lines", "n_repeat_words", "n_pair_tokens", "n_pieces", "n_bytes_pieces")
 SCHEMA = ", ".join(["doc_id bigint", *(f"{c} bigint" for c in COUNTS), "piece_entropy double"])
 
 
-class WordCoder:
-    """Both encodings of single words, remembered."""
+class Coder:
+    """Both encodings of whole texts."""
 
     def __init__(self, pairs_path: str, pieces_path: str):
-        self.pairs = Tokenizer.from_file(pairs_path)
+        with open(pairs_path, "rb") as lines:
+            ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
+        self.pairs = tiktoken.Encoding("pairs", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         self.is_byte = np.asarray([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())])
-        self.memo: dict[str, tuple[int, bytes]] = {}
-
-    def codes(self, words: list[str]) -> tuple[int, np.ndarray]:
-        """Number of pair tokens, and the ids of all pieces."""
-        known = list(map(self.memo.get, words))
-        if None in known:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            new = [w for w in dict.fromkeys(words) if w not in self.memo]
-            pairs = self.pairs.encode_batch_fast([f" {w}" for w in new], add_special_tokens=False)
-            pieces = self.pieces.encode(new, num_threads=1)
-            for w, a, b in zip(new, pairs, pieces):
-                self.memo[w] = (len(a), np.asarray(b, np.uint16).tobytes())
-            known = list(map(self.memo.__getitem__, words))
-        return sum(k[0] for k in known), np.frombuffer(b"".join([k[1] for k in known]), np.uint16)
 
-
-@cache
-def coder(pairs_path: str, pieces_path: str) -> WordCoder:
-    return WordCoder(pairs_path, pieces_path)
+    def codes(self, text: str) -> tuple[int, np.ndarray]:
+        """Number of pair tokens, and the ids of all pieces; a line end counts as a space."""
+        text = text.replace("\n", " ")
+        return len(self.pairs.encode_to_numpy(text, disallowed_special=())), np.asarray(self.pieces.encode(text), np.int64)
 
 
-def split_words(text: str) -> list[str]:
-    return [w.decode() for w in text.encode().split()]
+@cache
+def coder(pairs_path: str, pieces_path: str) -> Coder:
+    return Coder(pairs_path, pieces_path)
 
 
-def repeated_words(words: list[str]) -> int:
+def repeated_words(words: list[bytes]) -> int:
     """Words inside 3-word windows that are found twice or more."""
-    n = len(words)
-    if n < 4:
+    windows = list(zip(words, words[1:], words[2:]))
+    if len(set(windows)) == len(windows):
         return 0
-    number: dict[str, int] = {}
-    ids = np.asarray([number.setdefault(w, len(number)) for w in words], np.int64)
-    pair = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)[1].ravel()
-    _, which, times = np.unique(pair[:-1] * len(number) + ids[2:], return_inverse=True, return_counts=True)
-    again = times[which.ravel()] > 1
-    inside = np.zeros(n, bool)
+    times = Counter(windows)
+    again = np.fromiter((times[w] > 1 for w in windows), bool, len(windows))
+    inside = np.zeros(len(words), bool)
     for k in range(3):
-        inside[k : n - 2 + k] |= again
+        inside[k : len(windows) + k] |= again
     return int(inside.sum())
 
 
-def repeated_lines(text: str) -> int:
-    lines = [x for x in text.encode().split(b"\n") if x.split()]
+def repeated_lines(text: bytes) -> int:
+    lines = [x for x in text.split(b"\n") if not x.isspace() and x]
     return len(lines) - len(set(lines))
 
 
@@ -113,13 +99,13 @@ def measure(docs: DataFrame) -> DataFrame:
         own = coder(*paths)
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                text = text.as_py() or ""
-                words = split_words(text)
-                pair_tokens, ids = own.codes(words)
-                chars = len(text.translate(WHITE))
-                lines = repeated_lines(text) if "\n" in text else 0
-                counts = (len(words), chars, lines, repeated_words(words), pair_tokens, len(ids))
+            for value in batch["text"]:
+                text = value.as_py() or ""
+                raw = text.encode()
+                words = raw.split()
+                pair_tokens, ids = own.codes(text)
+                chars = len(text) - sum(map(text.count, WHITE))
+                counts = (len(words), chars, repeated_lines(raw), repeated_words(words), pair_tokens, len(ids))
                 rows.append((*counts, int(own.is_byte[ids].sum()), entropy_of(ids)))
             columns = list(zip(*rows)) or [[]] * (len(COUNTS) + 1)
             kinds = [pa.int64()] * len(COUNTS) + [pa.float64()]
