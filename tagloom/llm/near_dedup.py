@@ -4,9 +4,10 @@
    signature folded into an odd sketch (a parity bitmap), and band keys. Equal sets share a set key.
 2. Equal sets are collapsed by aggregation: one representative stands for any number of copies.
 3. Representatives that share a band key form a bucket. First every member is compared with the
-   bucket's smallest id, which links large groups with work in proportion to their size. Then
-   members of a bucket that are still in different components are compared with each other; a
-   bucket of more than ``TILE`` such members is cut into tiles, so no task holds it whole.
+   bucket's hub, which links large groups with work in proportion to their size. Then
+   members of buckets with one hub that are still in different components are compared with each
+   other. Groups of more than ``SMALL`` are cut into tiles that verify inside the task and return links only,
+   so no task holds a group whole and no pairs are emitted.
 4. A candidate pair survives if set sizes allow the similarity and the odd sketches differ in at most
    ``MOST_BITS`` bits (4.6 standard deviations above the expectation at 0.75), and is then confirmed on
    full sets.
@@ -38,7 +39,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 SKETCH_WORDS = 4  # of 64 bits
 MOST_BITS = 84
-TILE = 1000
+SMALL = 32  # members of a group whose pairs are joined
+TILE = 500
 SMALL_IDS = 200_000  # ids below this count (8 bytes each) may be broadcast
 MEMO = 300_000
 
@@ -223,10 +225,17 @@ def _with_component(rows: DataFrame, found: DataFrame, key: str, out: str) -> Da
 
 
 def _bucket_members(reps: DataFrame) -> DataFrame:
-    """``band, doc_id, hub``: members of buckets of two or more, with the bucket's smallest id."""
+    """``band, doc_id, hub``: members of buckets of two or more, with the bucket's hub.
+
+    The hub is the member that meets most others over all its buckets (the smallest id of equals): in a
+    group of edited copies that is the text the others derive from, if it is there.
+    """
     members = reps.select(F.explode("bands").alias("band"), "doc_id")
-    shared = members.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"))
-    return members.join(shared.where("hub < last").drop("last"), "band")
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialise(members.join(sizes, "band"), "dedup-buckets")
+    met = members.groupBy("doc_id").agg(F.sum("n").alias("met"))
+    ranked = members.join(met, "doc_id").groupBy("band").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("id"))).alias("top"))
+    return members.select("band", "doc_id").join(ranked.select("band", (-F.col("top.id")).alias("hub")), "band")
 
 
 def _star_candidates(members: DataFrame, reps: DataFrame) -> DataFrame:
@@ -235,29 +244,87 @@ def _star_candidates(members: DataFrame, reps: DataFrame) -> DataFrame:
     return compared.where(_alike("a", "b")).select("a", "b")
 
 
-def _cross_candidates(members: DataFrame, reps: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs in one bucket, in different components, not compared before."""
-    placed = _with_component(members.select("band", "doc_id"), found, "doc_id", "component_id")
-    open_buckets = placed.groupBy("band").agg(
+def _open_groups(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``hub, doc_id, component_id, n``: groups of two or more components, and their sizes.
+
+    Documents that share a bucket share its hub, so groups by hub hold every pair of every bucket, and
+    a document is in few of them where it is in many buckets.
+    """
+    rows = members.select("hub", "doc_id").distinct()
+    placed = materialise(_with_component(rows, found, "doc_id", "component_id"), "dedup-placed")
+    sizes = placed.groupBy("hub").agg(
         F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count(F.lit(1)).alias("n")
     )
-    open_buckets = open_buckets.where("low < high").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    rows = placed.join(open_buckets.select("band", "tiles"), "band")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles").cast("long")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    sketched = rows.join(reps.select("doc_id", "n_shingles", *(f"s{i}" for i in range(SKETCH_WORDS))), "doc_id")
-    sketched = materialise(sketched, "dedup-open")
+    return placed.join(sizes.where("low < high").select("hub", "n"), "hub")
+
+
+def _cross_candidates(groups: DataFrame, reps: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs of small groups in different components, not compared before: at most ``SMALL`` a row."""
+    sketched = groups.join(reps.select("doc_id", "n_shingles", *(f"s{i}" for i in range(SKETCH_WORDS))), "doc_id")
 
-    def side(name: str, tile: str, mate: str) -> DataFrame:
+    def side(name: str) -> DataFrame:
         words = [F.col(f"s{i}").alias(f"{name}_s{i}") for i in range(SKETCH_WORDS)]
         kept = [F.col("doc_id").alias(name), F.col("component_id").alias(f"{name}_c"), F.col("n_shingles").alias(f"{name}_n")]
-        return sketched.select("band", F.col(tile).alias("x"), F.col(mate).alias("y"), *kept, *words)
+        return sketched.select("hub", *kept, *words)
 
-    met = side("a", "own", "other").join(side("b", "other", "own"), ["band", "x", "y"])
+    met = side("a").join(side("b"), "hub")
     met = met.where((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & _alike("a", "b"))
     return met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
 
 
+def _tile_links(tile: pa.Table) -> pa.Table:
+    """Links that join components of one tile; pairs already joined are passed over.
+
+    Sizes and odd sketches of all pairs are compared in arrays, full sets only of what is left.
+    """
+    ids, blocks, low, high, parts = (tile[c].to_pylist() for c in ("doc_id", "block", "low", "high", "component_id"))
+    sets = [np.asarray(x.values.to_numpy()) for x in tile["items"].combine_chunks()]
+    sizes = np.asarray([len(x) for x in sets])
+    words = np.stack([tile[f"s{i}"].to_numpy() for i in range(SKETCH_WORDS)], axis=1).view(np.uint64)
+    parent = {c: c for c in parts}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    first = [i for i, x in enumerate(blocks) if x == low[0]]
+    second = [i for i, x in enumerate(blocks) if x == high[0]]
+    links = []
+    for i in first:
+        # Within one block each pair is met once.
+        others = np.asarray([j for j in second if j > i] if low[0] == high[0] else second, int)
+        bits = np.bitwise_count(words[others] ^ words[i]).sum(axis=1)
+        lesser, greater = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        for j in others[(bits <= MOST_BITS) & (100 * lesser >= 75 * greater)].tolist():
+            x, y = root(parts[i]), root(parts[j])
+            if x == y:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= 75 * (sizes[i] + sizes[j] - both):
+                parent[max(x, y)] = min(x, y)
+                links.append((ids[i], ids[j]))
+    a, b = zip(*links) if links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _large_group_links(docs: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links that join components of large groups, compared in tiles of at most two blocks of ``TILE``.
+
+    The comparisons of a group grow with the square of its documents, as they must, but rows do not: a
+    document is sent once per block, and a tile returns fewer links than it has documents.
+    """
+    ids = materialise(groups.select("doc_id").distinct(), "dedup-ids")
+    sets = materialise(full_sets(_only(docs, ids, ids.count())).dropDuplicates(["doc_id"]), "dedup-sets")
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    rows = groups.withColumn("tiles", tiles).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("tiles").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    sketched = rows.join(reps.select("doc_id", *(f"s{i}" for i in range(SKETCH_WORDS))), "doc_id").join(sets, "doc_id")
+    return sketched.groupBy("hub", "low", "high").applyInArrow(_tile_links, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row."""
     signed = materialise(signatures(docs), "dedup-signatures")
@@ -270,8 +337,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = materialise(_star_candidates(members, reps), "dedup-stars")
     links = materialise(_confirmed(docs, stars), "dedup-links")
     found = components(links)
-    more = materialise(_cross_candidates(members, reps, found, stars), "dedup-cross")
-    links = links.unionByName(_confirmed(docs, more))
+    groups = materialise(_open_groups(members, found), "dedup-groups")
+    more = materialise(_cross_candidates(groups.where(F.col("n") <= SMALL), reps, stars), "dedup-cross")
+    large = materialise(_large_group_links(docs, groups.where(F.col("n") > SMALL), reps), "dedup-large-links")
+    links = links.unionByName(_confirmed(docs, more)).unionByName(large)
     copies = keyed.join(twins.where("rep < last"), "set_key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     found = components(links.unionByName(copies.where("a != b").distinct()))
     return _with_component(signed.select("doc_id", "n_shingles"), found, "doc_id", "component_id").select(
