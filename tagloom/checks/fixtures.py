@@ -14,13 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table read in fewer splits than there are cores is spread by its key. Large tables have
-    more splits than cores and stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``row_id, sentence``: one tagged sentence per order."""
     key = F.col("o_orderkey")
@@ -42,7 +35,7 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" 샀다~~"),
     )
     return (
-        spread(table(spark, sf_dir, "orders"), "o_orderkey")
+        table(spark, sf_dir, "orders")
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(key.alias("row_id"), sentence.alias("sentence"))
@@ -78,7 +71,7 @@ def bleu_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(row_id % 7 == 0, F.lit("a b"))
         .otherwise(label)
     )
-    return spread(table(spark, sf_dir, "conversations"), "conv_id").select(
+    return table(spark, sf_dir, "conversations").select(
         row_id.alias("row_id"), label.alias("label"), pred.alias("pred")
     )
 
@@ -96,7 +89,7 @@ def noun_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

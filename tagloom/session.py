@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     app_id = spark.sparkContext.applicationId
     if app_id not in _local_dirs:
@@ -46,8 +49,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app_id]
 
 
+# Folders of open ``intermediates`` blocks, the innermost last.
+_scopes: list[str] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables of this block go to a folder of their own, deleted when it ends.
+
+    Results must be written or collected inside the block.
+    """
+    folder = f"{shared_dir(spark)}/intermediates-{uuid.uuid4().hex}"
+    _scopes.append(folder)
+    try:
+        yield folder
+    finally:
+        _scopes.remove(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = _scopes[-1] if _scopes else shared_dir(spark)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
