@@ -191,8 +191,12 @@ def extract(page: str, weights: Weights) -> str:
 def fit_weights(pages: DataFrame) -> Weights:
     """Weights from at most ``SAMPLE`` pages, those with the smallest hashes among the labelled."""
     labelled = pages.where(F.col("html").rlike(r"(?i)<(?:article|main)\b") & (F.length("html") <= SAMPLE_CHARS))
-    rows = labelled.select("html").orderBy(F.xxhash64("page_id", "url"), "html").limit(SAMPLE).collect()
-    return learn([r["html"] for r in rows])
+    draws = labelled.select(F.xxhash64("page_id", "url", "html").alias("draw"), "html")
+    # The sample is drawn by narrow numbers, so that each task sends few bytes; copies count once.
+    chosen = draws.select("draw").distinct().orderBy("draw").limit(SAMPLE).collect()
+    picked = draws.where(F.col("draw").isin([r["draw"] for r in chosen])) if chosen else draws.limit(0)
+    rows = picked.groupBy("draw").agg(F.first("html").alias("html")).collect()
+    return learn([r["html"] for r in sorted(rows, key=lambda r: r["draw"])])
 
 
 def content_column(pages: DataFrame, weights: Weights) -> Column:
