@@ -8,10 +8,12 @@ import sys
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tagloom.checks.oracle import ORACLE
+from tagloom.checks.queries import QUERIES
 from tagloom.operators.infer import batch_map
 from tools.compare import compare
 
-ROWS_ONLY = {"pca_2d", "kmeans_sweep", "kmeans_sweep_squared", "tfidf_2d"}
+ROWS_ONLY = {"pca_2d", "kmeans_sweep", "kmeans_sweep_squared", "tfidf_2d", "sweep_by_analyzer"}
 FAST = [
     "tag_split", "clean_sentence", "prepare_train", "tag_share_mean", "entity_dictionary", "label_indicators",
     "row_numbering", "stratified_folds", "index_gather", "entity_swap", "encode_ids", "decode_ids", "segment_parse",
@@ -21,8 +23,8 @@ FAST = [
 
 
 def test_every_query_has_its_sql():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
