@@ -2,8 +2,8 @@
 
 Records are ordered by ``(hash of text, doc_id, tie)``, so copies of a text sit side by side. A
 size-weighted sample of keys gives quantile boundaries of many small ranges; ranges that turn out
-overfull are sampled again and subdivided. Consecutive ranges are then dealt to shards by their
-measured bytes. Only narrow rows (no text) are ever shuffled.
+overfull are sampled again and subdivided. Measured totals of the ranges and running totals inside them
+then place every record, so shards differ by the size of a record. Only narrow rows (no text) are ever shuffled.
 
 Defined results: a null text has size 1 and the checksum of empty text; a null ``doc_id`` sorts
 first; repeated rows are records of their own; an empty table gives an empty result; further
@@ -54,17 +54,26 @@ def assign_shards(docs: DataFrame, shards: int = 16, text: str = "text", key: st
     total, rows = narrow.agg(F.sum("size"), F.count(F.lit(1))).first()
     bounds = _boundaries(narrow, total or 0, rows)
     ranged = narrow.withColumn("range", _range_of(bounds))
-    stats = _measure(ranged, len(bounds) + 1)
-    shard_of, first_slot = _deal(stats, shards)
-    order = Window.partitionBy("range").orderBy(*KEY)
-    slot = F.row_number().over(order).cast("long") - 1 + F.get(_longs(first_slot), F.col("range"))
-    return ranged.select(
+    starts, before = [], 0
+    for r in _measure(ranged, len(bounds) + 1):
+        starts.append(before)
+        before += r.size
+    # The shard of a record is where its middle byte falls in the order of all bytes.
+    upto = F.sum("size").over(Window.partitionBy("range").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, 0))
+    middle = F.get(_longs(starts), F.col("range")) + upto - F.col("size") / 2
+    shard = F.least(F.floor(middle * shards / F.lit(float(max(1, before)))), F.lit(shards - 1)).cast("int")
+    placed = materialise(ranged.withColumn("shard", shard), "shard-places")
+    first_shard, first_slot = _offsets(placed, len(bounds) + 1, shards)
+    # Shards follow the order, so only the first shard of a range has records in earlier ranges.
+    inside = F.row_number().over(Window.partitionBy("range", "shard").orderBy(*KEY)).cast("long") - 1
+    earlier = F.when(F.col("shard") == F.get(_longs(first_shard), F.col("range")), F.get(_longs(first_slot), F.col("range")))
+    return placed.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
-        F.get(_longs(shard_of), F.col("range")).cast("int").alias("shard"),
-        slot.alias("slot"),
+        "shard",
+        (inside + F.coalesce(earlier, F.lit(0))).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
@@ -127,17 +136,15 @@ def _measure(ranged: DataFrame, n: int) -> list[Range]:
     return stats
 
 
-def _deal(stats: list[Range], shards: int) -> tuple[list[int], list[int]]:
-    """Shard of each range, by where its middle byte falls, and the first slot of each range."""
-    total = max(1, sum(s.size for s in stats))
-    shard_of, first_slot, used, before = [], [], [0] * shards, 0
-    for s in stats:
-        shard = min(shards - 1, int((before + s.size / 2) * shards / total))
-        shard_of.append(shard)
-        first_slot.append(used[shard])
-        used[shard] += s.rows
-        before += s.size
-    return shard_of, first_slot
+def _offsets(placed: DataFrame, n: int, shards: int) -> tuple[list[int], list[int]]:
+    """The first shard of each range, and how many of its records lie in earlier ranges."""
+    first_shard, first_slot, used = [-1] * n, [0] * n, [0] * shards
+    counts = placed.groupBy("range", "shard").agg(F.count(F.lit(1)).alias("rows")).collect()
+    for r in sorted(counts, key=lambda r: (r["range"], r["shard"])):
+        if first_shard[r["range"]] < 0:
+            first_shard[r["range"]], first_slot[r["range"]] = r["shard"], used[r["shard"]]
+        used[r["shard"]] += r["rows"]
+    return first_shard, first_slot
 
 
 def _longs(values: list[int]) -> Column:
