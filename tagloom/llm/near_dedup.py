@@ -42,7 +42,7 @@ MOST_BITS = 84
 SMALL = 32  # members of a group whose pairs are joined
 TILE = 500
 SMALL_IDS = 200_000  # ids below this count (8 bytes each) may be broadcast
-MEMO = 300_000
+MEMO = 120_000  # words remembered by a worker
 
 SAMPLES = BANDS * ROWS
 BITS = 64 * SKETCH_WORDS

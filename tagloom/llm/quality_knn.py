@@ -37,6 +37,7 @@ RANK = 64
 NEIGHBOURS = 25
 SHARPNESS = 8.0  # votes weigh similarity to this power
 BLOCK = 256
+MEMO = 120_000  # words remembered by a worker
 
 TERMS = PAIR_TERMS + WORD_TERMS + REPEAT_TERMS
 DIGITS_ALIKE = bytes(48 if 48 <= b <= 57 else b for b in range(256))
@@ -62,7 +63,7 @@ def term_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     pairs = ((codes[:-1] * 256 + codes[1:]) * np.uint32(2654435761)) >> np.uint32(20)
     counts = np.bincount(pairs, minlength=TERMS).astype(np.float32)
     known = _word_terms()
-    if len(known) > 300_000:
+    if len(known) > MEMO:
         known.clear()
     words = text.lower().split()
     terms = list(map(known.get, words))
