@@ -5,7 +5,12 @@ Per document that gives characters per token for each, the share of byte-fallbac
 entropy of the piece distribution relative to that of equally many different pieces. Bands of
 acceptance are set per language (per script where the language is missing), as robust quantile
 bands over all documents that pass the base rules: median plus or minus ``WIDTH`` robust deviations.
-Languages with fewer than ``ENOUGH`` such documents use the bands of all documents.
+
+No number of documents switches bands. A language's median leans on that of its main script, and a
+script's on that of all documents, less and less as documents are more: by ``v / (v + distance^2)``, where
+``v`` is ``PRIOR`` squared deviations of the wider group over the number of documents. The language's squared
+deviation grows by the same ``v``. So its own median is always well inside its band, however few
+documents it has and however far other languages are, and large languages keep to their own values.
 
 Base rules: fewer than 50 words fail, or more than half of the words in repeated 3-word windows.
 
@@ -35,7 +40,7 @@ from tagloom.session import materialise
 PAIRS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 WIDTH = 3.6
 SHORT = 150.0  # words at which the band is wider by the root of two; short texts vary more
-ENOUGH = 100
+PRIOR = 20.0  # documents that the wider group counts for in the band of a language
 LEAST_DEVIATION = 0.02  # of the median; a tight corpus must not reject its own ordinary spread
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
@@ -112,19 +117,20 @@ def measure(docs: DataFrame) -> DataFrame:
             arrays = [batch["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds)), *extra(batch)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    names = ["doc_id", *COUNTS, "piece_entropy", "n_symbols", "group_name"]
+    names = ["doc_id", *COUNTS, "piece_entropy", "n_symbols", "script", "lang"]
 
     def extra(batch: pa.RecordBatch) -> list[pa.Array]:
-        return [batch["n_symbols"], batch["group_name"]]
+        return [batch["n_symbols"], batch["script"], batch["lang"]]
 
     ship(docs.sparkSession)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(SYMBOLS)), F.lit(0)).cast("long").alias("n_symbols"),
-        _group(docs).alias("group_name"),
+        _script().alias("script"),
+        (F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang"),
     )
-    found = rows.mapInArrow(run, f"{SCHEMA}, n_symbols bigint, group_name string")
+    found = rows.mapInArrow(run, f"{SCHEMA}, n_symbols bigint, script string, lang string")
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return found.withColumns(
         {
@@ -132,37 +138,63 @@ def measure(docs: DataFrame) -> DataFrame:
             "chars_per_piece": ratio("word_chars", "n_pieces"),
             "byte_share": ratio("n_bytes_pieces", "n_pieces"),
             "entropy": F.col("piece_entropy"),
+            "group_name": F.coalesce("lang", "script"),
         }
     )
 
 
-def _group(docs: DataFrame) -> Column:
-    """The language, or else the script of the first letter."""
+def _script() -> Column:
+    """The script of the first letter."""
     letter = F.regexp_extract(F.coalesce("text", F.lit("")), r"\p{L}", 0)
     script = F.lit("other")
     for name in ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hangul", "Hiragana", "Katakana"):
         script = F.when(letter.rlike(rf"\p{{Is{name}}}"), name).otherwise(script)
-    return F.coalesce(F.col("lang"), script) if "lang" in docs.columns else script
+    return script
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """``group_name, <measure>_mid, <measure>_dev``; the row of a null name is for all documents."""
+    """``band_name, <measure>_mid, <measure>_dev`` of each language, or script where that is missing."""
     passed = measured.where(~base_failed())
+    # The script that most of a group's documents begin in; documents keep to their group's script.
+    scripts = passed.groupBy("group_name").agg(F.mode("script", deterministic=True).alias("main_script"))
+    scripts = materialise(scripts, "fertility-scripts")
 
     def spread(m: str) -> list[Column]:
         low, mid, high = (F.col(f"q_{m}")[i] for i in range(3))
         # Half the middle half is 0.6745 standard deviations of a normal spread.
         deviation = F.greatest((high - low) / 2 / 0.6745, F.abs(mid) * LEAST_DEVIATION, F.lit(LEAST_DEVIATION / 4))
-        return [mid.alias(f"{m}_mid"), deviation.alias(f"{m}_dev")]
+        return [F.col(f"n_{m}"), mid.alias(f"{m}_mid"), F.when(mid.isNotNull(), deviation).alias(f"{m}_dev")]
 
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(f"q_{m}") for m in MEASURES]
-    grouped = passed.rollup("group_name").agg(
-        F.count(F.lit(1)).alias("docs"), F.grouping("group_name").alias("whole"), *quartiles
-    )
-    limits = [c for m in MEASURES for c in spread(m)]
-    return grouped.where((F.col("whole") == 1) | (F.col("docs") >= ENOUGH)).select(
-        F.when(F.col("whole") == 0, F.col("group_name")).alias("group_name"), *limits
+    counts = [F.count(m).alias(f"n_{m}") for m in MEASURES]
+    grouped = passed.join(scripts, "group_name").rollup("main_script", "group_name").agg(
+        F.grouping_id().alias("level"), *quartiles, *counts
     )
+    levels = materialise(grouped.select("level", "main_script", "group_name", *[c for m in MEASURES for c in spread(m)]), "fertility-levels")
+    own, script, whole = (levels.where(F.col("level") == k) for k in (0, 1, 3))
+    script = _leaning(script, whole.drop("main_script"), F.lit(True), widen=False)
+    own = _leaning(own, script.select("main_script", *_limits()), "main_script", widen=True)
+    return own.select(F.col("group_name").alias("band_name"), *_limits())
+
+
+def _limits() -> list[str]:
+    return [f"{m}_{part}" for m in MEASURES for part in ("mid", "dev")]
+
+
+def _leaning(rows: DataFrame, wider: DataFrame, on: Column | str, widen: bool) -> DataFrame:
+    """Bands of ``rows`` that lean on those of their ``wider`` groups the more, the fewer documents they have."""
+    wider = wider.select(*([on] if isinstance(on, str) else []), *[F.col(c).alias(f"wide_{c}") for c in _limits()])
+    changed = {}
+    for m in MEASURES:
+        n, mid, dev = F.col(f"n_{m}"), F.col(f"{m}_mid"), F.col(f"{m}_dev")
+        wide_mid, wide_dev = F.col(f"wide_{m}_mid"), F.col(f"wide_{m}_dev")
+        v = PRIOR * wide_dev * wide_dev / n
+        lean = v / (v + (mid - wide_mid) * (mid - wide_mid))
+        squared = dev * dev + v
+        changed[f"{m}_mid"] = F.when(n > 0, mid + lean * (wide_mid - mid)).otherwise(wide_mid)
+        # Without widening it is the mean of the squares by number of documents.
+        changed[f"{m}_dev"] = F.when(n > 0, F.sqrt(squared if widen else squared * n / (n + PRIOR))).otherwise(wide_dev)
+    return rows.join(F.broadcast(wider), on).withColumns(changed)
 
 
 def base_failed() -> Column:
@@ -173,12 +205,10 @@ def fertility_rules(docs: DataFrame) -> DataFrame:
     """Counts, measures and verdict for each document."""
     measured = materialise(measure(docs), "fertility")
     limits = materialise(bands(measured), "fertility-bands")
-    own = limits.where(F.col("group_name").isNotNull()).withColumnRenamed("group_name", "band_name")
-    whole = limits.where(F.col("group_name").isNull()).first()
-    judged = measured.join(own, F.col("group_name") == F.col("band_name"), "left")
+    judged = measured.join(limits, F.col("group_name") == F.col("band_name"), "left")
     outside = F.lit(False)
     for m in MEASURES:
-        mid, dev = (F.coalesce(F.col(f"{m}_{part}"), F.lit(whole and whole[f"{m}_{part}"])) for part in ("mid", "dev"))
+        mid, dev = F.col(f"{m}_mid"), F.col(f"{m}_dev")
         allowed = WIDTH * dev * F.sqrt(1 + F.lit(SHORT) / F.col("n_words"))
         outside = outside | F.coalesce(F.abs(F.col(m) - mid) > allowed, F.lit(False))
     return judged.select(

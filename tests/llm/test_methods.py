@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from tagloom.llm import decontaminate as dc
 from tagloom.llm import near_dedup as nd
 from tagloom.llm.chat_format import assemble, format_turns, read_back, unescape
-from tagloom.llm.fertility import repeated_words
+from tagloom.llm.fertility import fertility_rules, repeated_words
 from tagloom.llm.html_content import Item, Weights, best_region, extract, learn
 from tagloom.llm.mixing import find_alpha, mix, mixture
 from tagloom.llm.pii import estimate, personal_data
@@ -275,3 +275,25 @@ def test_shards_are_even_and_gapless(spark):
         slots.setdefault(r.shard, []).append(r.slot)
     assert len(sizes) == 16 and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(sizes.values()) < 1.02 * min(sizes.values())
+
+
+def test_small_languages_are_judged_by_their_own_values(spark):
+    """A language is kept below 100 documents as above; junk in it is not."""
+    rng = random.Random(11)
+
+    def prose(words):
+        return " ".join(rng.choice(words) for _ in range(220))
+
+    def vocabulary(letters):
+        return ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+
+    latin, greek, hindi = vocabulary("etaoinshrdlu"), vocabulary("αβγδεζηθικλμνξοπ"), vocabulary("कखगघचछजझटठडढतथ")
+    rows = [("en", prose(latin)) for _ in range(600)] + [("el", prose(greek)) for _ in range(99)]
+    rows += [("hi", prose(hindi)) for _ in range(4)] + [(None, prose(hindi)) for _ in range(7)] + [("fr", prose(latin))]
+    rows += [("el", "#$%& " * 40 + " ".join(f"#{i}$" for i in range(300)))]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
+    kept = {r.doc_id for r in fertility_rules(frame).where("kept").collect()}
+    share = lambda lang: np.mean([i in kept for i, r in enumerate(rows[:-1]) if r[0] == lang])
+    assert [share(lang) for lang in ("hi", "fr", None)] == [1, 1, 1]
+    assert share("el") > 0.95 and share("en") > 0.95
+    assert len(rows) - 1 not in kept
