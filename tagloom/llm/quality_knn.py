@@ -5,7 +5,8 @@ themselves, hashed into a fixed number of columns. A bounded sample of labelled
 singular value decomposition of their weighted matrix gives the latent space. The labelled vectors
 and the projection are broadcast (their size is fixed by the parameters). Every document is
 projected, its cosines to all labelled vectors are computed in blocks, and the most similar
-``NEIGHBOURS`` vote with their labels, weighted by similarity.
+``NEIGHBOURS`` vote with their labels, weighted by similarity and by how many labelled rows of its label
+a neighbour stands for, so the sample's bound on each label does not shift the odds of the labels.
 
 The sample: at most ``SAMPLE`` labelled rows of each label, those with the smallest hashes of
 ``doc_id``; rows whose ``crc32(doc_id) mod 3`` is 1 are never learnt from.
@@ -49,6 +50,7 @@ class Model:
     axes: np.ndarray  # terms x rank
     vectors: np.ndarray  # labelled documents x rank, unit length
     labels: np.ndarray
+    stands_for: np.ndarray  # labelled rows of its label per sampled row
     prior: float
 
 
@@ -107,7 +109,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for i, r in enumerate(sample):
         columns, counts = np.frombuffer(r["terms"], np.float32).reshape(2, -1)
         matrix[i, columns.astype(np.int64)] = _dampened(counts)
-    return _decompose(matrix, np.asarray([r["quality"] for r in sample], np.float32), prior)
+    picked_labels = np.asarray([r["quality"] for r in sample], np.int64)
+    whole = np.zeros(2)
+    for r in shares:
+        whole[r["quality"]] = r["count"]
+    stands_for = (whole / np.maximum(np.bincount(picked_labels, minlength=2), 1))[picked_labels]
+    return _decompose(matrix, picked_labels.astype(np.float32), stands_for, prior)
 
 
 def _sample_terms():
@@ -118,10 +125,10 @@ def _sample_terms():
     return F.arrow_udf(terms, "binary")
 
 
-def _decompose(matrix: np.ndarray, labels: np.ndarray, prior: float) -> Model:
+def _decompose(matrix: np.ndarray, labels: np.ndarray, stands_for: np.ndarray, prior: float) -> Model:
     n = len(matrix)
     if not n:
-        return Model(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, prior)
+        return Model(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, stands_for, prior)
     weights = np.log((1 + n) / (1 + (matrix > 0).sum(0))).astype(np.float32) + 0.1
     weights[PAIR_TERMS + WORD_TERMS :] *= REPEAT_WEIGHT
     matrix *= weights
@@ -134,7 +141,7 @@ def _decompose(matrix: np.ndarray, labels: np.ndarray, prior: float) -> Model:
         basis = np.linalg.qr(matrix @ np.linalg.qr(matrix.T @ basis)[0])[0]
     axes = np.linalg.svd(basis.T @ matrix, full_matrices=False)[2][:rank].T.astype(np.float32)
     vectors = _unit(matrix @ axes)
-    return Model(weights, np.ascontiguousarray(axes), vectors, labels, prior)
+    return Model(weights, np.ascontiguousarray(axes), vectors, labels, stands_for, prior)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -162,7 +169,7 @@ def vote(model: Model, texts: list[bytes]) -> np.ndarray:
         voting = above | (tied & (np.cumsum(tied, axis=1) <= room))
     else:
         voting = np.ones_like(cosines, bool)
-    weight = np.where(voting, np.maximum(cosines, 0) ** SHARPNESS, 0).astype(np.float64)
+    weight = np.where(voting, np.maximum(cosines, 0) ** SHARPNESS, 0).astype(np.float64) * model.stands_for
     sums = weight.sum(1)
     scores[known] = np.where(sums > 0, (weight @ model.labels) / np.where(sums > 0, sums, 1), model.prior)
     return scores

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from tagloom.llm import decontaminate as dc
 from tagloom.llm import near_dedup as nd
+from tagloom.llm import quality_knn as qk
 from tagloom.llm.chat_format import assemble, format_turns, read_back, unescape
 from tagloom.llm.fertility import fertility_rules, repeated_words
 from tagloom.llm.html_content import Item, Weights, best_region, extract, learn
@@ -297,3 +298,20 @@ def test_small_languages_are_judged_by_their_own_values(spark):
     assert [share(lang) for lang in ("hi", "fr", None)] == [1, 1, 1]
     assert share("el") > 0.95 and share("en") > 0.95
     assert len(rows) - 1 not in kept
+
+
+def test_votes_do_not_depend_on_the_bound_of_the_sample(spark, monkeypatch):
+    """Texts that say nothing of their label go by the whole table's odds, whichever label is cut.
+
+    Fewer votes are noisier, so the share predicted 1 is not quite the same; without weights it halves.
+    """
+    rng = random.Random(12)
+    words = [f"{rng.choice('abcdef')}{rng.choice('aeiou')}{rng.choice('lmnrst')}" for _ in range(60)]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(700)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(700)], "doc_id long, quality int")
+    shares = {}
+    for size in (1500, 60):  # 60 cuts label 1 to the number of label 0
+        monkeypatch.setattr(qk, "SAMPLE", size)
+        shares[size] = np.mean([r.predicted for r in quality_scores(docs, labels).where("held_out").collect()])
+    assert shares[1500] > 0.9 and abs(shares[60] - shares[1500]) < 0.25, shares
