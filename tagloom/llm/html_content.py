@@ -3,14 +3,17 @@
 A page is read as a sequence of words and tags. Words score positive, tags negative; a linear scan
 finds the contiguous region of the highest total, and the text of its blocks is the result. Words
 inside elements that are not content by their meaning (menus, forms, adverts, comments and the like) score
-slightly negative, so the region may reach across them, and they are left out of its text.
+slightly negative, so the region may reach across them, and they are left out of its text. A form, or an
+element that only a class, id or role names so, is content after all if its best region at
+``NAMED_WORD`` a word still beats the best region outside such elements: a wrapper of the whole text is.
+Omitted end tags are implied by the next block, item or cell and by the parent's end.
 
 Tag weights come from labelled pages: a bounded sample of pages whose markup names the article element.
 A tag's cost is how much rarer it is inside the article than outside (log odds), times a scale chosen
 for the best word F1 on those pages; without labelled pages every tag costs one word.
 
-Defined results: a null or empty page, or one without content words, gives an empty text; a missing end tag
-closes with the page; repeated rows are read alike; an empty table gives no rows; other columns are
+Defined results: a null or empty page, or one without content words, gives an empty text; an element without end
+tag closes with its parent; repeated rows are read alike; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -32,6 +35,7 @@ SAMPLE = 400
 SAMPLE_CHARS = 200_000  # longer pages are not used for learning
 SCALES = (0.25, 0.5, 1.0, 2.0, 4.0)
 ASIDE_WORD = -0.1
+NAMED_WORD = 0.25
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -57,6 +61,45 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
+# Open elements that a start tag ends, and the elements that this does not reach across.
+CELLS = frozenset("td th".split())
+SCOPE = frozenset("table td th caption button object template".split())
+LISTS = frozenset("ul ol menu dl table td th section article main div".split()) - {"div"}
+BLOCKS = frozenset(
+    "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hr li dt dd main menu nav ol p pre section table ul".split()
+)
+ROWS = frozenset(("tr",))
+GROUPS = frozenset("tbody thead tfoot caption".split())
+IMPLIED = {
+    "li": (frozenset(("li",)), LISTS),
+    **dict.fromkeys(("dt", "dd"), (frozenset(("dt", "dd")), LISTS)),
+    **dict.fromkeys(("td", "th"), (CELLS, frozenset(("table",)))),
+    "tr": (CELLS | ROWS, frozenset(("table",))),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (CELLS | ROWS | GROUPS, frozenset(("table",)))),
+}
+IN_HEAD = frozenset("base link meta".split())
+
+
+@dataclass(eq=False)
+class Mark:
+    """An open element that is not content; ``soft``: only by a name, or a form."""
+
+    soft: bool
+    parent: Mark | None
+    cleared: bool = False
+    hidden: bool = True
+    top: Mark | None = None  # the outermost that hides
+    hard: bool = False  # a hard one hides within ``top``
+
+    def settle(self) -> None:
+        above = self.parent
+        if above and above.hidden:
+            self.top, self.hidden, self.hard = above.top, True, above.hard or not self.soft
+        else:
+            self.hidden = not self.cleared
+            self.top, self.hard = (self if self.hidden else None), not self.soft
+
 
 @dataclass
 class Item:
@@ -67,6 +110,7 @@ class Item:
     tag: str
     aside: bool
     inside: bool  # of the article element
+    mark: Mark | None = None
 
 
 @dataclass
@@ -84,47 +128,133 @@ class Weights:
 def _is_aside(name: str, rest: str, in_article: bool) -> bool:
     if name in ASIDE_TAGS:
         return not (name == "header" and in_article)
-    if name in ("html", "body", *ARTICLE) or not rest:
+    if name in ("html", "body", "main") or not rest:
         return False
     for m in NAMED.finditer(rest):
-        for word in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()):
-            if word in ASIDE_NAMES:
+        value = (m[1] or m[2] or m[3] or "").lower()
+        if name == "article":
+            # Articles are named for what they are about; only a whole name counts.
+            if any(w in ASIDE_NAMES or w.startswith("comment-") for w in value.split()):
                 return True
+        elif any(w in ASIDE_NAMES for w in re.split(r"[^a-z]+", value)):
+            return True
     return False
 
 
+class Elements:
+    """Open elements of a page, outermost first."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.marks: list[Mark | None] = []  # the innermost mark at each
+        self.articles: list[bool] = []
+        self.open: Counter = Counter()
+        self.article = 0
+
+    @property
+    def mark(self) -> Mark | None:
+        return self.marks[-1] if self.marks else None
+
+    def push(self, name: str, mark: Mark | None, article: bool) -> None:
+        self.names.append(name)
+        self.marks.append(mark)
+        self.articles.append(article)
+        self.open[name] += 1
+        self.article += article
+
+    def cut(self, at: int) -> None:
+        """End the elements from ``at`` on."""
+        for name, article in zip(self.names[at:], self.articles[at:]):
+            self.open[name] -= 1
+            self.article -= article
+        del self.names[at:], self.marks[at:], self.articles[at:]
+
+    def close(self, names: frozenset, stops: frozenset) -> None:
+        """End the outermost of ``names`` that is not beyond one of ``stops``."""
+        if not any(self.open[n] for n in names):
+            return
+        found = None
+        for i in range(len(self.names) - 1, -1, -1):
+            if self.names[i] in names:
+                found = i
+            elif self.names[i] in stops:
+                break
+        if found is not None:
+            self.cut(found)
+
+    def end(self, name: str) -> None:
+        if not self.open[name]:
+            return
+        stops = frozenset(("table",)) if name in CELLS | ROWS | GROUPS else SCOPE | {"ul", "ol"} if name == "li" else SCOPE
+        for i in range(len(self.names) - 1, -1, -1):
+            if self.names[i] == name:
+                return self.cut(i)
+            if self.names[i] in stops or name in INLINE and self.names[i] not in INLINE:
+                return None
+
+
 def items_of(page: str) -> list[Item]:
     out: list[Item] = []
-    open_aside, depth, article = "", 0, 0
+    tree = Elements()
     for m in TOKEN.finditer(page):
         text, name = m["text"], m["name"]
         if text is not None:
             text = html.unescape(text)
             words = len(text.split())
-            out.append(Item(text, words, "", bool(open_aside), article > 0))
+            out.append(Item(text, words, "", tree.mark is not None, tree.article > 0, tree.mark))
         elif name:
             name, end = name.lower(), bool(m["end"])
-            if name in ARTICLE:
-                if end:
-                    article = max(0, article - 1)
-                else:
-                    # The article never lies inside an element that someone forgot to close.
-                    open_aside, depth, article = "", 0, article + 1
-            elif open_aside:
-                if name == open_aside and name not in VOID:
-                    depth += -1 if end else 1
-                    if not depth:
-                        open_aside = ""
-            elif not end and name not in VOID and _is_aside(name, m["rest"], article > 0):
-                open_aside, depth = name, 1
+            if end:
+                tree.end(name)
             elif name == "body":
-                open_aside, depth = "", 0
-            out.append(Item(None, 0, "/" + name if end else name, bool(open_aside), article > 0))
+                tree.cut(0)
+            else:
+                if tree.names and tree.names[-1] == "head" and name not in IN_HEAD:
+                    tree.cut(len(tree.names) - 1)
+                if name in BLOCKS and tree.open["p"]:
+                    tree.close(frozenset(("p",)), SCOPE)
+                if name in IMPLIED:
+                    tree.close(*IMPLIED[name])
+                aside = name not in VOID and _is_aside(name, m["rest"], tree.article > 0)
+                if name in ARTICLE and not aside:
+                    # The article never lies inside an element that someone forgot to close.
+                    tree.marks = [None] * len(tree.marks)
+                mark = Mark(name == "form" or name not in ASIDE_TAGS, tree.mark) if aside else tree.mark
+                # Inline elements matter only inside what may be left out.
+                if name not in VOID and name != "html" and (mark or name not in INLINE):
+                    tree.push(name, mark, name in ARTICLE and not aside)
+            mark = tree.mark
+            out.append(Item(None, 0, "/" + name if end else name, mark is not None, tree.article > 0, mark))
         elif m["raw"]:
-            out.append(Item(None, 0, m["raw"].lower(), bool(open_aside), article > 0))
+            out.append(Item(None, 0, m["raw"].lower(), tree.mark is not None, tree.article > 0, tree.mark))
     return out
 
 
+def settle(items: list[Item], weights: Weights) -> None:
+    """Clear the named elements that hold more than what is outside of them; sets ``aside``."""
+    marks = list(dict.fromkeys(i.mark for i in items if i.mark))
+    while marks:
+        for mark in marks:
+            mark.settle()
+        for item in items:
+            item.aside = item.mark is not None and item.mark.hidden
+        first, end = best_region(items, weights)
+        base = sum(weights.of(i) for i in items[first:end])
+        totals: dict[Mark, list[float]] = {}
+        for item in items:
+            top = item.mark.top if item.mark else None
+            if top and top.soft:
+                run = totals.setdefault(top, [0.0, 0.0])
+                value = item.words * (ASIDE_WORD if item.mark.hard else NAMED_WORD) if item.text is not None else weights.of(item)
+                run[0] = max(0.0, run[0]) + value
+                run[1] = max(run)
+        won = [mark for mark, run in totals.items() if run[1] > base]
+        if not won:
+            return
+        for mark in won:
+            mark.cleared = True
+
+
 def best_region(items: list[Item], weights: Weights) -> tuple[int, int]:
     """Ends of the contiguous run of the highest total; the earlier, then the shorter of equals."""
     best, where = 0.0, (0, 0)
@@ -173,6 +303,7 @@ def learn(pages: list[str]) -> Weights:
 def _f1(parsed: list[list[Item]], weights: Weights) -> float:
     right = found = wanted = 0
     for items in parsed:
+        settle(items, weights)
         first, end = best_region(items, weights)
         for i, item in enumerate(items):
             chosen, true = first <= i < end and not item.aside, item.inside and not item.aside
@@ -184,6 +315,7 @@ def _f1(parsed: list[list[Item]], weights: Weights) -> float:
 
 def extract(page: str, weights: Weights) -> str:
     items = items_of(page)
+    settle(items, weights)
     first, end = best_region(items, weights)
     return text_of(items[first:end])
 

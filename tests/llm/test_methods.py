@@ -315,3 +315,16 @@ def test_votes_do_not_depend_on_the_bound_of_the_sample(spark, monkeypatch):
         monkeypatch.setattr(qk, "SAMPLE", size)
         shares[size] = np.mean([r.predicted for r in quality_scores(docs, labels).where("held_out").collect()])
     assert shares[1500] > 0.9 and abs(shares[60] - shares[1500]) < 0.25, shares
+
+
+def test_asides_end_where_html_says():
+    text = "some words of the text " * 5
+    for page, wanted in [
+        ('<article><p>A<p class="notice">N<p>B</p><p>C</p></article>', "A B C"),
+        ('<article><ul><li>A<li class="ad">N<li>B</ul><div><span class="ad">N</div>C</article>', "A B C"),
+        ('<article><table><tr><td>A<td class="ad">N<tr><td>B</table>C</article>', "A B C"),
+        ('<article>A B C</article><article class="comment">N n</article>', "A B C"),
+        (f'<div class="content with-sidebar"><p>{text}</p><div class="sidebar">N</div></div>', text.strip()),
+        (f"<form action=x><div><p>{text}</p></div></form>", text.strip()),
+    ]:
+        assert extract(page, Weights({}, unknown=0.1)) == wanted
