@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tagloom.llm.chat_format import format_turns, read_back
 from tagloom.llm.decontaminate import contamination
@@ -10,6 +11,7 @@ from tagloom.llm.fertility import fertility_rules
 from tagloom.llm.html_content import main_text
 from tagloom.llm.mixing import mixture
 from tagloom.llm.near_dedup import near_duplicates
+from tagloom.llm.periodic_runs import periodic_runs, plant_repeats, run_digest
 from tagloom.llm.pii import personal_data
 from tagloom.llm.quality_knn import quality_scores
 from tagloom.llm.sharding import assign_shards
@@ -62,6 +64,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    planted = docs.withColumn("text", plant_repeats(F.col("doc_id"), F.col("text")))
+    return run_digest(periodic_runs(planted))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
@@ -73,6 +81,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 OP2_SQL = r"""
