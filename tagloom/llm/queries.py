@@ -17,6 +17,7 @@ from tagloom.llm.quality_knn import quality_scores
 from tagloom.llm.sharding import assign_shards
 from tagloom.llm.tables import table
 from tagloom.llm.token_counts import token_counts
+from tagloom.llm.turn_repair import damage_turns, repair_digest, repair_turns
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(periodic_runs(planted))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair_digest(repair_turns(damage_turns(turns)), turns)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
@@ -82,6 +88,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_turn_repair": op12_turn_repair,
 }
 
 OP2_SQL = r"""
