@@ -14,6 +14,7 @@ from tagloom.llm.near_dedup import near_duplicates
 from tagloom.llm.periodic_runs import periodic_runs, plant_repeats, run_digest
 from tagloom.llm.pii import personal_data
 from tagloom.llm.quality_knn import quality_scores
+from tagloom.llm.recurrent_lm import language_scores
 from tagloom.llm.sharding import assign_shards
 from tagloom.llm.tables import table
 from tagloom.llm.token_counts import token_counts
@@ -76,6 +77,10 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digest(repair_turns(damage_turns(turns)), turns)
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
@@ -89,6 +94,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_turn_repair": op12_turn_repair,
+    "op13_lm_score": op13_lm_score,
 }
 
 OP2_SQL = r"""
