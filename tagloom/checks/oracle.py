@@ -330,6 +330,30 @@ def share(source: str) -> str:
 COUNTS = "counts as (select tag, count(*) as n from ents group by tag)"
 TEST_PART = "substring(md5(concat(row_id, '|split')), 1, 1) < '3'"
 
+SETS = """
+sets as (select row_id, list_sort(list_distinct(entity)) as tags from prep)"""
+
+BALANCE = """
+counted as (
+ select 'label' as kind, tag as name, count(*) as n_rows from (select unnest(tags) as tag from sets) group by tag
+ union all select 'set', array_to_string(tags, ' '), count(*) from sets group by tags
+ union all select 'all', '', count(*) from sets)"""
+
+
+def quantiles(source: str, column: str) -> str:
+    """One row per quantile; the quantiles are the fixed values of the query."""
+    return " union all ".join(
+        f"select '{column}' as \"column\", {q}::double as quantile, count({column}) as n, "
+        f"round(quantile_cont({column}::double, {q}), 6) as value from {source}"
+        for q in (0.0, 0.01, 0.25, 0.5, 0.95, 0.99, 1.0)
+    )
+
+
+LONG_ROWS = PREDICTIONS.replace("pairs as (", "single as (", 1) + """,
+pairs as (
+ select o_custkey as row_id, string_agg(pred, ' ' order by row_id) as pred, string_agg(label, ' ' order by row_id) as label
+ from single join orders on o_orderkey = row_id group by o_custkey)"""
+
 RULE_HITS = ", ".join(
     f"list_transform(regexp_extract_all(input_sentence, '{pattern}'), lambda m: concat(m, ':{tag}'))" for pattern, tag in RULES
 )
@@ -421,6 +445,37 @@ ORACLE = {
         "select case when fold = 0 then 'valid' else 'train' end as split, count(*) as n_rows, 3::bigint as n_columns "
         "from folds group by 1",
     ),
+    "label_fold_quotas": with_(
+        f"{PLAIN},{SETS}",
+        "select array_to_string(tags, ' ') as signature, count(*) as n, count(*) // 10 as base, count(*) % 10 as leftover "
+        "from sets group by tags",
+    ),
+    "label_fold_balance": with_(
+        f"{PLAIN},{SETS},{BALANCE}",
+        "select kind, name, n_rows, n_rows // 10 as least, (n_rows + 9) // 10 as most, "
+        "case when n_rows % 10 = 0 then 10 else n_rows % 10 end as n_most from counted",
+    ),
+    "value_quantiles": f"with lengths as (select len(list_filter(string_split_regex(coalesce(text, ''), '{WS}+'), lambda t: t <> '')) "
+    "as n_words, length(coalesce(text, '')) as n_chars from documents), prices as (select l_extendedprice as price from lineitem) "
+    + " union all ".join([quantiles("lengths", "n_words"), quantiles("lengths", "n_chars"), quantiles("prices", "price")]),
+    "subword_round_trip": "select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n_chars from documents",
+    "subword_reserved": with_(
+        PREFIXED,
+        "select tag, count(*) as n from (select unnest(regexp_extract_all(train_label, '"
+        + "|".join(RESERVED)
+        + "')) as tag from prep) group by tag",
+    ),
+    "run_notes": with_(
+        "runs as (select o_orderpriority as p, row_number() over (order by o_orderpriority) - 1 as run_id from (select distinct o_orderpriority from orders))",
+        f"select run_id, unnest([concat('input text: {PREFIX}', run_id, ': '), concat(', label text: {LABEL_PREFIX} ', p)]) as line from runs",
+    ),
+    "quoted_csv": "select doc_id, replace(text, 'the', '\"the\"') as text, lang from documents",
+    "top_terms": with_(
+        NOUNS,
+        "select term, count(*) as df from (select distinct doc_id, unnest(nouns) as term from nouns where analyzer = 'kkma') "
+        "group by term order by df desc, term limit 500",
+    ),
+    "silhouette_sampled_rows": with_(EXACT, EXACT_ROWS),
     "entity_swap": with_(
         f"{PREFIXED},{ENTITIES},{DICTIONARY},{SWAPPED}", "select row_id, round, input_sentence, train_label from swapped"
     ),
@@ -474,6 +529,7 @@ ORACLE = {
     "entity_f1_acc": with_(
         f"{PREDICTIONS},{SCORED}", "select row_id, round(f1, 6) as f1, round(acc, 6) as acc from scored"
     ),
+    "entity_counts_long_rows": with_(f"{LONG_ROWS},{SCORED}", "select row_id, n_pred, n_gold, tp, recalled from scored"),
     "entity_f1_macro": with_(
         f"{PREDICTIONS},{SCORED}", "select round(avg(f1), 6) as f1, round(avg(acc), 6) as acc from scored"
     ),

@@ -12,14 +12,17 @@ from tagloom.functions.arrays import elements
 from tagloom.functions.cleaning import clean_sentence
 from tagloom.functions.segments import segments
 from tagloom.functions.tags import tag_structs
-from tagloom.functions.text import strip, without_prefix
-from tagloom.operators import cluster, silhouette
+from tagloom.functions.text import strip, whitespace_tokens, without_prefix
+from tagloom.operators import cluster, coreset, silhouette, silhouette_sampled
 from tagloom.operators.alignment import align
 from tagloom.operators.augment import augment, swap_entities
 from tagloom.operators.corrections import apply_corrections
 from tagloom.operators.dictionary import dictionary_sizes, distinct_names, entities, entity_dictionary
+from tagloom.operators.heavy_hitters import heavy_hitters
 from tagloom.operators.infer import batch_map, batch_predict
+from tagloom.operators.label_folds import fold_balance, fold_quotas, label_folds
 from tagloom.operators.numbering import number_by_key
+from tagloom.operators.order_stats import exact_quantiles
 from tagloom.operators.profile import (
     indicator_tags,
     label_indicators,
@@ -42,14 +45,17 @@ from tagloom.operators.split import (
     model_columns,
     rows_in,
     rows_not_in,
+    signature,
     split_train_valid,
     stratified_folds,
 )
+from tagloom.operators.subword import SubwordVocabulary, decode_subwords, encode_subwords
 from tagloom.operators.tfidf import noun_text, term_documents, tfidf, vocabulary
 from tagloom.operators.vocab import (
     INPUT_LIMIT,
     LABEL_LIMIT,
     LABEL_MASK,
+    SPECIALS,
     build_vocabulary,
     decode,
     encode,
@@ -60,11 +66,14 @@ from tagloom.plans.evaluate import best_runs, evaluate, evaluate_ids
 from tagloom.plans.explore import documents_2d, sweep_by_analyzer, sweep_means, sweep_scores
 from tagloom.plans.prepare import LABEL_PREFIX, PREFIX, prepare, prepare_basic
 from tagloom.session import materialise, new_path
-from tagloom.sources.sinks import pred_label_rows, submission_rows, write_csv, write_metrics
+from tagloom.sources.quoted_csv import read_quoted_csv
+from tagloom.sources.sinks import pred_label_rows, run_note, submission_rows, write_csv, write_metrics, write_note
 from tagloom.sources.tables import noun_documents, read_csv, read_noun_csv, read_tagged_csv
 from tagloom.sources.text import read_tagged_text
 
 ROUNDS = 2
+QUANTILES = (0.0, 0.01, 0.25, 0.5, 0.95, 0.99, 1.0)
+TOP_TERMS, TERM_COUNTERS = 500, 2_000
 
 
 def joined(items: Column, separator: str = "|") -> Column:
@@ -214,6 +223,19 @@ def label_length_profile(spark, sf_dir):
     return length_profile(prefixed_rows(spark, sf_dir), "train_label", LABEL_LIMIT)
 
 
+def value_quantiles(spark, sf_dir):
+    """Exact quantiles of document lengths and of prices."""
+    text = F.coalesce("text", F.lit(""))
+    lengths = fx.documents(spark, sf_dir).select(
+        F.size(whitespace_tokens(text)).alias("n_words"), F.char_length(text).alias("n_chars")
+    )
+    prices = fx.table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").cast("double").alias("price"))
+    found = exact_quantiles(lengths, ["n_words", "n_chars"], QUANTILES).unionByName(
+        exact_quantiles(prices, ["price"], QUANTILES)
+    )
+    return found.select("column", "quantile", "n", six("value"))
+
+
 # --- numbering and splitting -------------------------------------------------------------------
 
 
@@ -253,6 +275,19 @@ def q_split_counts(spark, sf_dir):
     return split_counts(labelled_split(stored(prefixed_rows(spark, sf_dir)), 10))
 
 
+def label_fold_quotas(spark, sf_dir):
+    rows = plain(spark, sf_dir).groupBy(signature(F.col("entity")).alias("signature")).agg(F.count(F.lit(1)).alias("n"))
+    labels = F.filter(F.split("signature", " "), lambda x: x != "")
+    quotas = fold_quotas(materialise(rows.withColumn("labels", labels), "sets"), 10)
+    return quotas.select("signature", "n", "base", F.size("extra").cast("bigint").alias("leftover"))
+
+
+def label_fold_balance(spark, sf_dir):
+    """How many rows of every label, label set and in all the ten folds hold."""
+    rows = stored(plain(spark, sf_dir).select("row_id", "entity"))
+    return fold_balance(rows.join(label_folds(rows, 10), "row_id"), 10)
+
+
 # --- augmentation ------------------------------------------------------------------------------
 
 
@@ -321,6 +356,40 @@ def decode_ids(spark, sf_dir):
     return decode(coded.withColumn("ids", restore_mask(F.col("ids"))), vocab)
 
 
+def subwords() -> SubwordVocabulary:
+    import public_tokenizers
+
+    return SubwordVocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def subword_round_trip(spark, sf_dir):
+    """Whole documents, encoded and decoded; the last offset is the end of the text."""
+    vocab = subwords()
+    docs = fx.documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = materialise(encode_subwords(docs, vocab, {"coded": ("text", None)}).select("doc_id", "coded"), "subwords")
+    back = decode_subwords(coded.withColumn("ids", F.col("coded.ids")), vocab, {"text": "ids"})
+    return back.select("doc_id", "text", F.element_at("coded.ends", -1).cast("bigint").alias("n_chars"))
+
+
+def subword_reserved(spark, sf_dir):
+    """How often each tag token is one id in the labels."""
+    vocab = subwords()
+    coded = encode_subwords(prefixed_rows(spark, sf_dir).select("row_id", "train_label"), vocab, {"all": ("train_label", None)})
+    ids = elements(coded, ["row_id"], F.col("all.ids"), "id")
+    tags = F.array(*map(F.lit, vocab.reserved))
+    own = ids.filter(F.col("id").between(len(SPECIALS), vocab.first_rank - 1))
+    return own.groupBy(F.get(tags, F.col("id") - len(SPECIALS)).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def subword_encode(spark, sf_dir):
+    """Model columns cut at 100 and 90 subwords, with the characters that each id covers."""
+    rows = stored(prefixed_rows(spark, sf_dir).select("row_id", "input_sentence", "train_label"))
+    limits = {"input": ("input_sentence", INPUT_LIMIT), "label": ("train_label", LABEL_LIMIT)}
+    coded = encode_subwords(rows, subwords(), limits)
+    parts = [joined(F.col(f"{n}.{p}").cast("array<string>"), " ").alias(f"{n}_{p}") for n in limits for p in ("ids", "starts", "ends")]
+    return coded.select("row_id", *parts)
+
+
 # --- scoring -----------------------------------------------------------------------------------
 
 
@@ -348,6 +417,16 @@ def entity_f1_acc(spark, sf_dir):
     return with_entity_scores(fx.predictions(spark, sf_dir)).select("row_id", six("f1"), six("acc"))
 
 
+def entity_counts_long_rows(spark, sf_dir):
+    """All predictions of a customer as one row, which holds dozens of entities."""
+    owners = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("owner"))
+    parts = fx.predictions(spark, sf_dir).join(owners, "row_id")
+    listed = F.array_sort(F.collect_list(F.struct("row_id", "pred", "label")))
+    rows = parts.groupBy(F.col("owner").alias("row_id")).agg(listed.alias("rows"))
+    long = rows.select("row_id", *[joined(F.col(f"rows.{c}"), " ").alias(c) for c in ("pred", "label")])
+    return with_entity_counts(long).select("row_id", "n_pred", "n_gold", "tp", "recalled")
+
+
 def q_entity_f1_macro(spark, sf_dir):
     return entity_f1_macro(fx.predictions(spark, sf_dir)).select(six("f1"), six("acc"))
 
@@ -450,6 +529,25 @@ def metrics_json(spark, sf_dir):
     return spark.read.schema("bleu double, f1 double, acc double").json(path)
 
 
+def run_notes(spark, sf_dir):
+    """Notes of runs named after order priorities, written to their folders and read back."""
+    runs = fx.table(spark, sf_dir, "orders").select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()
+    base = new_path(spark, "runs")
+    for k, row in enumerate(runs):
+        write_note(spark, run_note(f"{PREFIX}{k}", f"{LABEL_PREFIX} {row[0]}"), f"{base}/run_id={k}")
+    lines = spark.read.text(f"{base}/run_id=*").select("value", F.col("_metadata.file_path").alias("path"))
+    run_id = F.regexp_extract("path", r"run_id=(\d+)", 1).cast("bigint")
+    return lines.select(run_id.alias("run_id"), F.col("value").alias("line"))
+
+
+def quoted_csv(spark, sf_dir):
+    """Whole documents in CSV fields, line breaks and quotes included, read split by split."""
+    path = new_path(spark, "quoted-csv")
+    docs = fx.documents(spark, sf_dir).select("doc_id", "lang", F.replace(F.col("text"), F.lit("the"), F.lit('"the"')).alias("text"))
+    write_csv(docs, path)
+    return read_quoted_csv(spark, path, "doc_id long, text string, lang string")
+
+
 def text_lines(spark, sf_dir):
     """Sentences written in key order come back numbered in that order."""
     path = new_path(spark, "lines")
@@ -515,6 +613,13 @@ def tfidf_vocab(spark, sf_dir):
     return vocabulary(docs).select("term", "df", six("idf"))
 
 
+def top_terms(spark, sf_dir):
+    """The most frequent terms, by bounded summaries and an exact second count."""
+    docs = term_documents(kkma_documents(spark, sf_dir), noun_text(F.col("nouns")), "doc_id")
+    found = heavy_hitters(materialise(docs, "terms"), F.col("terms"), TOP_TERMS, TERM_COUNTERS)
+    return found.select(F.col("item").alias("term"), F.col("n").alias("df"))
+
+
 def tfidf_weights(spark, sf_dir):
     return tfidf(kkma_documents(spark, sf_dir)).select("doc_id", "term", six("weight"))
 
@@ -577,6 +682,20 @@ def silhouette_profile_sq(spark, sf_dir):
     )
 
 
+def silhouette_sampled_rows(spark, sf_dir):
+    """The sampled form, whose samples hold small clusters whole."""
+    return silhouette_sampled.silhouette_sampled(fx.vectors(spark, sf_dir), "vec_id", "embedding", "label").select(
+        "vec_id", F.col("label").alias("cluster"), six("a"), six("b"), six("s")
+    )
+
+
+def coreset_sweep(spark, sf_dir):
+    """Costs over all rows of centres fitted to one weighted sample."""
+    points = materialise(fx.vectors(spark, sf_dir), "points")
+    fits = coreset.fit_centres(coreset.coreset(points, "vec_id", "embedding"))
+    return coreset.sweep_costs(coreset.label_all(points, "embedding", fits))
+
+
 def q_centre_update(spark, sf_dir):
     """One k-means step from the label means."""
     points = fx.vectors(spark, sf_dir)
@@ -637,6 +756,7 @@ QUERIES = {
     "label_indicators": q_label_indicators,
     "length_profile": q_length_profile,
     "label_length_profile": label_length_profile,
+    "value_quantiles": value_quantiles,
     "row_numbering": row_numbering,
     "stratified_folds": folds,
     "fold_signatures": folds_default,
@@ -644,6 +764,8 @@ QUERIES = {
     "first_fold": first_fold,
     "index_gather": index_gather,
     "split_counts": q_split_counts,
+    "label_fold_quotas": label_fold_quotas,
+    "label_fold_balance": label_fold_balance,
     "entity_swap": entity_swap,
     "entity_swap_joined": entity_swap_joined,
     "augmented_union": augmented_union,
@@ -653,11 +775,15 @@ QUERIES = {
     "encode_documents": encode_documents,
     "mask_restore": mask_restore,
     "decode_ids": decode_ids,
+    "subword_round_trip": subword_round_trip,
+    "subword_reserved": subword_reserved,
+    "subword_encode": subword_encode,
     "align_predictions": align_predictions,
     "segment_parse": segment_parse,
     "entity_precision": entity_precision,
     "entity_recall": entity_recall,
     "entity_f1_acc": entity_f1_acc,
+    "entity_counts_long_rows": entity_counts_long_rows,
     "entity_f1_macro": q_entity_f1_macro,
     "bleu_rows": bleu_rows,
     "bleu_stats": q_bleu_stats,
@@ -673,6 +799,8 @@ QUERIES = {
     "submission_rows": q_submission_rows,
     "submission_csv": submission_csv,
     "metrics_json": metrics_json,
+    "run_notes": run_notes,
+    "quoted_csv": quoted_csv,
     "text_lines": text_lines,
     "document_lines": document_lines,
     "tagged_csv": tagged_csv,
@@ -680,6 +808,7 @@ QUERIES = {
     "noun_documents": q_noun_documents,
     "flattened_nouns": flattened_nouns,
     "tfidf_vocab": tfidf_vocab,
+    "top_terms": top_terms,
     "tfidf_weights": tfidf_weights,
     "tfidf_by_analyzer": tfidf_by_analyzer,
     "centre_assignment": centre_assignment,
@@ -689,6 +818,8 @@ QUERIES = {
     "silhouette_sq_mean": silhouette_sq_mean,
     "silhouette_profile": silhouette_profile,
     "silhouette_profile_sq": silhouette_profile_sq,
+    "silhouette_sampled_rows": silhouette_sampled_rows,
+    "coreset_sweep": coreset_sweep,
     "centre_update": q_centre_update,
     "sweep_by_analyzer": q_sweep_by_analyzer,
     "cluster_rows": cluster_rows,

@@ -14,7 +14,8 @@ from tagloom.session import materialise
 # A dictionary up to this many bytes travels inside the plan; a larger one is joined.
 INLINE_BYTES = 1 << 20
 
-# Distinct join keys that every tag gets at least, however few names it has.
+# A tag gets a join key for so many uses of it, up to ``MIN_SLOTS`` of them, however few names it has.
+USES_PER_SLOT = 1000
 MIN_SLOTS = 1024
 
 # The table of dictionary sizes has one row per tag; up to this many it is broadcast.
@@ -80,11 +81,13 @@ def swap_joined(
 ) -> DataFrame:
     """Join form for dictionaries of any size.
 
-    Entities meet the dictionary on (tag, slot). A tag with few names gets its names repeated
-    until it has ``MIN_SLOTS`` slots, so that no join key of a frequent tag runs hot.
+    Entities meet the dictionary on (tag, slot). A frequent tag with few names gets its names repeated,
+    so that no join key runs hot; a rare tag does not.
     """
-    sizes = dictionary.groupBy("tag").agg(F.count(F.lit(1)).alias("n_names"))
-    repeats = F.ceil(F.lit(MIN_SLOTS) / F.col("n_names")).cast("bigint")
+    uses = entities(prepared, "row_id").groupBy("tag").agg((F.count(F.lit(1)) * rounds).alias("uses"))
+    sizes = dictionary.groupBy("tag").agg(F.count(F.lit(1)).alias("n_names")).join(uses, "tag", "left")
+    wanted = F.least(F.lit(MIN_SLOTS), F.ceil(F.coalesce("uses", F.lit(0)) / USES_PER_SLOT))
+    repeats = F.greatest(F.lit(1), F.ceil(wanted / F.col("n_names"))).cast("bigint")
     sized = sizes.select("tag", "n_names", repeats.alias("repeats"))
     slots = dictionary.join(sized, "tag").select(
         "tag",

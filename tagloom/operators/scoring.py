@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions.entity_index import is_long, match_counts
 from tagloom.functions.ngrams import BLEU_COLUMNS, MAX_ORDER, ORDERS, bleu_counts
 from tagloom.functions.segments import accuracy, f1_score, recalled, segments, true_positives
 from tagloom.functions.text import without_prefix
@@ -15,17 +16,22 @@ def strip_label_prefix(pairs: DataFrame, label_prefix: str) -> DataFrame:
 
 
 def with_entity_counts(pairs: DataFrame) -> DataFrame:
-    """Adds ``n_pred, n_gold, tp, recalled``. Row-local, nothing is shuffled."""
+    """Adds ``n_pred, n_gold, tp, recalled``. Row-local, nothing is shuffled.
+
+    Rows with many entities are matched through an index, all others by expressions.
+    """
     pred, gold = F.col("_pred"), F.col("_gold")
     parsed = pairs.withColumns({"_pred": segments(F.col("pred")), "_gold": segments(F.col("label"))})
-    return parsed.withColumns(
+    indexed = parsed.withColumn("_indexed", match_counts(pred, gold))
+    long = is_long(pred, gold)
+    return indexed.withColumns(
         {
             "n_pred": F.size(pred).cast("bigint"),
             "n_gold": F.size(gold).cast("bigint"),
-            "tp": true_positives(pred, gold).cast("bigint"),
-            "recalled": recalled(pred, gold).cast("bigint"),
+            "tp": F.when(long, F.col("_indexed.tp")).otherwise(true_positives(pred, gold).cast("bigint")),
+            "recalled": F.when(long, F.col("_indexed.recalled")).otherwise(recalled(pred, gold).cast("bigint")),
         }
-    ).drop("_pred", "_gold")
+    ).drop("_pred", "_gold", "_indexed")
 
 
 def with_entity_scores(pairs: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
@@ -77,13 +78,23 @@ def weights(docs: DataFrame, vocab: DataFrame, by: Sequence[str] = ()) -> DataFr
         shared = docs.sparkSession.sparkContext.broadcast(tables)
 
         def weigh(found: pa.Array, *groups: pa.Array) -> pa.Array:
-            out = []
-            for words, group in zip(found.to_pylist(), zip(*(g.to_pylist() for g in groups)) if groups else repeat(())):
-                table = shared.value.get(group, {})
-                hits = [(w, table[w]) for w in words or () if w in table]
-                norm = math.sqrt(sum(x * x for _, x in hits))
-                out.append([{"term": w, "weight": x / norm} for w, x in hits])
-            return pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("weight", pa.float64())])))
+            # One look-up per distinct term and group of the batch; everything else is arithmetic on columns.
+            sizes = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+            coded = found.flatten().dictionary_encode()
+            words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+            keys = list(zip(*(g.to_pylist() for g in groups))) if groups else [()] * len(found)
+            place = {key: i for i, key in enumerate(dict.fromkeys(keys))}
+            idf = np.zeros((len(place), max(len(words), 1)))
+            for key, i in place.items():
+                get = shared.value.get(key, {}).get
+                idf[i, : len(words)] = [get(w, 0.0) for w in words]
+            rows = np.repeat(np.arange(len(sizes)), sizes)
+            own = idf[np.fromiter(map(place.get, keys), np.int64, len(keys))[rows], codes] if len(codes) else np.empty(0)
+            norm = np.sqrt(np.bincount(rows, own * own, len(sizes)))
+            kept = np.flatnonzero(own > 0)  # every idf is at least 1
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(rows[kept], minlength=len(sizes)))))
+            parts = [coded.take(pa.array(kept)).cast(pa.string()), pa.array(own[kept] / norm[rows[kept]])]
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, names=["term", "weight"]))
 
         weigh = F.arrow_udf(weigh, "array<struct<term: string, weight: double>>").asNondeterministic()
         rows = docs.withColumn("_w", weigh("terms", *by)).select(*keys, F.explode("_w").alias("_w"))

@@ -13,6 +13,7 @@ from tagloom.functions.arrays import elements
 from tagloom.functions.tags import TAGS
 from tagloom.functions.text import strip, whitespace_tokens
 from tagloom.operators.numbering import number_by_range
+from tagloom.operators.topk import top_n
 from tagloom.session import materialise
 
 # Special ids, reserved tag tokens, truncation limits, the label mask.
@@ -52,11 +53,12 @@ def build_vocabulary(
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    if max_size is not None:
+        # Only the tokens that are kept are sorted and written.
+        counts = top_n(counts, max(max_size - len(fixed), 0), [F.col("n").desc(), F.col("token")], ["token"])
     learned = number_by_range(counts, [F.col("n").desc(), F.col("token")], name="rank").select(
         "token", (F.col("rank") + len(fixed)).cast("int").alias("id")
     )
-    if max_size is not None:
-        learned = learned.filter(F.col("id") < max_size)
     given = texts.sparkSession.createDataFrame(list(zip(fixed, range(len(fixed)))), "token string, id int")
     return given.unionByName(learned)
 

@@ -13,7 +13,7 @@ from tagloom.checks.queries import QUERIES
 from tagloom.operators.infer import batch_map
 from tools.compare import compare
 
-ROWS_ONLY = {"pca_2d", "kmeans_sweep", "kmeans_sweep_squared", "tfidf_2d", "sweep_by_analyzer"}
+ROWS_ONLY = {"pca_2d", "kmeans_sweep", "kmeans_sweep_squared", "tfidf_2d", "sweep_by_analyzer", "coreset_sweep", "subword_encode"}
 FAST = [
     "tag_split", "clean_sentence", "prepare_train", "tag_share_mean", "entity_dictionary", "label_indicators",
     "row_numbering", "stratified_folds", "index_gather", "entity_swap", "encode_ids", "decode_ids", "segment_parse",
