@@ -23,15 +23,13 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import repeat
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +38,10 @@ from tagloom.llm.workers import ship
 from tagloom.session import materialise
 
 # Sizes of the classes of frequent words, by falling count: the most frequent have few words to choose from.
-SIZES = np.repeat([16, 32, 64, 128], 8)
+SIZES = np.repeat([16, 32, 64, 128], 6)
 CLASSES, HEAD = len(SIZES), int(SIZES.sum())
-TAILS = 32  # classes of other words
-HIDDEN = 16
+TAILS = 31  # classes of other words, a prime
+HIDDEN = 12
 END = 0
 WINDOW, LANES = 16, 256  # of training
 SCORE_WINDOW, SCORE_LANES = 32, 256
@@ -52,8 +50,7 @@ ROUNDS = 3  # of averaging in a pass over the training rows
 LEAST_TOKENS, MOST_PASSES = 4_000_000, 4  # small corpora are passed more than once
 KNOWN, KNOWN_BYTES = 200_000, 64  # broadcast counts: words, and the longest of them
 PIECE = 2048  # tokens of a long text that one lane learns from
-SLICE_TOKENS = 1 << 20
-HELD = 300_000  # distinct words that a task counts before it hands them on
+SLICE_BYTES = 6 << 20  # of texts that a worker codes at once, about a million words
 FLOATS = 4096  # parameters of a block
 SMOOTHING = 0.1  # fixed value of the base score
 
@@ -63,23 +60,37 @@ BLOCK = 1024  # rows of a block of class shares, which then stay in cache
 MOST_WEIGHT, MOST_BIAS = 4.0, 10.0  # of outputs, so that no exponential overflows
 
 
-def tail_of(word: bytes) -> int:
-    return crc32(word[-2:]) % TAILS
+def tail_column(word: Column) -> Column:
+    return (F.conv(F.hex(F.substring(word.cast("binary"), -2, 2)), 16, 10).cast("bigint") % TAILS).cast("int")
 
 
-def tail_column(word: Column) -> Column:
-    return F.crc32(F.substring(word.cast("binary"), -2, 2)) % TAILS
+def tails_of(words: pa.Array) -> np.ndarray:
+    """The same for a column of words: the last two bytes as one number."""
+    words = words.cast(pa.large_binary())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    if not len(words):
+        return np.empty(0, np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    last, before = (data[np.maximum(offsets[1:] - k, 0)].astype(np.int64) for k in (1, 2))
+    before[np.diff(offsets) < 2] = 0
+    return (256 * before + last) % TAILS
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of a column of texts, lower-cased, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    filled = pc.greater(pc.binary_length(words), 0)  # space at the ends of a text gives empty words
+    rows = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    sizes = np.bincount(rows[filled.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    return words.filter(filled), sizes
 
 
 @dataclass
 class Lexicon:
     """The frequent words by falling count, their counts, and totals of each tail class."""
 
-    words: list[bytes]
+    words: list[str]
     counts: np.ndarray
     tokens: int
     distinct: int
@@ -88,34 +99,26 @@ class Lexicon:
     tail_distinct: np.ndarray
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("place", "heads", "own_ids", "tail_total")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "tail_total")}
 
     @cached_property
-    def place(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words)}
+    def known(self) -> pa.Array:
+        return pa.array(self.words, pa.string())
 
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word and the end: its place among the frequent words (-1: none), and its network id."""
-        places = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
-        ids = self.own_ids[places]
-        for i in np.flatnonzero(places < 0).tolist():
-            ids[i] = HEAD + tail_of(words[i])
-        return places, np.append(ids, END)
+    def places(self, words: pa.Array, most: int | None = None) -> np.ndarray:
+        """Of each word its place among the frequent words (the first ``most``), -1 if it is not there."""
+        known = self.known if most is None else self.known[:most]
+        return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False)
 
-    @cached_property
-    def heads(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words[: HEAD - 1], start=1)}
+    def ids(self, words: pa.Array, places: np.ndarray | None = None) -> np.ndarray:
+        """Network ids."""
+        places = self.places(words, HEAD - 1) if places is None else places
+        return np.where((places >= 0) & (places < HEAD - 1), places + 1, HEAD + tails_of(words))
 
-    def network_ids(self, words: list[bytes]) -> np.ndarray:
-        """The second part of ``ids`` alone."""
-        known = self.heads.get
-        return np.array([known(w) or HEAD + crc32(w[-2:]) % TAILS for w in words] + [END])
-
-    @cached_property
-    def own_ids(self) -> np.ndarray:
-        """Network ids of the frequent words; the last one stands for a word that is not among them."""
-        tails = [HEAD + tail_of(w) for w in self.words[HEAD - 1 :]]
-        return np.array([*range(1, len(self.words) - len(tails) + 1), *tails, 0])
+    def texts(self, ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text, with the end."""
+        bounds = np.concatenate(([0], np.cumsum(sizes))).tolist()
+        return [np.append(ids[a:b], END) for a, b in zip(bounds, bounds[1:])]
 
     @cached_property
     def tail_total(self) -> np.ndarray:
@@ -343,19 +346,16 @@ def log_likelihood(network: Network, texts: list[np.ndarray]) -> np.ndarray:
     return score
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows with their words, up to ``SLICE_TOKENS`` words at a time; a longer text comes alone."""
-    held, size = [], 0
-    for batch in batches:
-        for *keys, text in zip(*[c.to_pylist() for c in batch.columns]):
-            words = words_of(text)
-            if held and size + len(words) > SLICE_TOKENS:
-                yield held
-                held, size = [], 0
-            held.append((*keys, words))
-            size += len(words) + 1
-    if held:
-        yield held
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows with texts of ``SLICE_BYTES`` at a time; a longer text comes alone."""
+    first, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch["text"]), 0).to_pylist()):
+        if i > first and held + n > SLICE_BYTES:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if len(batch) > first:
+        yield batch.slice(first)
 
 
 def _held_out(doc_id: Column) -> Column:
@@ -367,20 +367,10 @@ def count_words(texts: DataFrame) -> DataFrame:
     """``word, n`` over all rows, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
         for batch in batches:
-            for text in batch["text"]:
-                counts.update(words_of(text.as_py()))
-                if len(counts) >= HELD:
-                    yield handed(counts)
-        if counts:
-            yield handed(counts)
-
-    def handed(counts: Counter) -> pa.RecordBatch:
-        words = pa.array(counts.keys(), pa.binary()).cast(pa.string())
-        made = pa.RecordBatch.from_arrays([words, pa.array(counts.values(), pa.int64())], names=["word", "n"])
-        counts.clear()
-        return made
+            for part in _slices(batch):
+                found = pc.value_counts(words_of(part["text"])[0])
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
 
     partial = texts.select("text").mapInArrow(run, "word string, n bigint")
     return materialise(partial.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
@@ -389,15 +379,15 @@ def count_words(texts: DataFrame) -> DataFrame:
 def build_lexicon(counts: DataFrame, ends: int) -> Lexicon:
     short = counts.filter(F.octet_length("word") <= KNOWN_BYTES)
     top = short.orderBy(F.col("n").desc(), "word").limit(KNOWN).toArrow()
-    words = top["word"].cast(pa.binary()).to_pylist()
+    words = top["word"].to_pylist()
     own = top["n"].to_numpy().astype(np.int64)
     tokens, distinct = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
     for tail, n, v in counts.groupBy(tail_column(F.col("word"))).agg(F.sum("n"), F.count(F.lit(1))).collect():
         tokens[tail], distinct[tail] = n, v
     total, kinds = int(tokens.sum()) + ends, int(distinct.sum()) + (ends > 0)
-    for word, n in zip(words[: HEAD - 1], own.tolist()):
-        tokens[tail_of(word)] -= n
-        distinct[tail_of(word)] -= 1
+    tails = tails_of(pa.array(words[: HEAD - 1], pa.string()))
+    tokens -= np.bincount(tails, own[: HEAD - 1], TAILS).astype(np.int64)
+    distinct -= np.bincount(tails, minlength=TAILS)
     return Lexicon(words, own, total, kinds, ends, tokens, distinct)
 
 
@@ -405,34 +395,35 @@ def _learnt(rows: DataFrame, lexicon, network: Network) -> Network:
     """Average of the networks that all tasks learnt from their rows."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(network)
-    schema = "lane int, block int, tokens double, total binary"
+    schema = "lane int, block int, tokens double, mean binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tokens = shared.value.filled(shared.value.flat()), 0
-        for held in _slices(batches):
-            texts = [lexicon.value.network_ids(words) for (words,) in held]
-            train(own, texts)
-            tokens += sum(map(len, texts))
+        for batch in batches:
+            for part in _slices(batch):
+                words, sizes = words_of(part["text"])
+                train(own, lexicon.value.texts(lexicon.value.ids(words), sizes))
+                tokens += len(words) + len(sizes)
         if tokens:
-            flat = own.flat() * np.float64(tokens)
+            flat = own.flat()
             blocks = [flat[i : i + FLOATS].tobytes() for i in range(0, len(flat), FLOATS)]
             n = len(blocks)
             lane = TaskContext.get().partitionId() % 64
             columns = [pa.array([lane] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([float(tokens)] * n), pa.array(blocks, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lane", "block", "tokens", "total"])
+            yield pa.RecordBatch.from_arrays(columns, names=["lane", "block", "tokens", "mean"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, np.float64) for x in group["total"].to_pylist()], axis=0)
-        row = {"lane": [0], "block": [group["block"][0].as_py()], "tokens": [sum(group["tokens"].to_pylist())], "total": [total.tobytes()]}
-        return pa.table(row, schema=pa.schema([("lane", pa.int32()), ("block", pa.int32()), ("tokens", pa.float64()), ("total", pa.binary())]))
+        tokens = group["tokens"].to_pylist()
+        mean = sum(np.frombuffer(x.as_py(), np.float32) * np.float64(n) for x, n in zip(group["mean"], tokens)) / sum(tokens)
+        row = {"lane": [0], "block": [group["block"][0].as_py()], "tokens": [sum(tokens)], "mean": [mean.astype(np.float32).tobytes()]}
+        return pa.table(row, schema=pa.schema([("lane", pa.int32()), ("block", pa.int32()), ("tokens", pa.float64()), ("mean", pa.binary())]))
 
     learnt = rows.select("text").mapInArrow(run, schema)
     by_lane = learnt.groupBy("lane", "block").applyInArrow(add, schema)
     blocks = by_lane.groupBy("block").applyInArrow(add, schema).collect()
     if not blocks:
         return network
-    flat = np.concatenate([np.frombuffer(r["total"]) / r["tokens"] for r in sorted(blocks, key=lambda r: r["block"])])
-    return network.filled(flat.astype(np.float32))
+    return network.filled(np.concatenate([np.frombuffer(r["mean"], np.float32) for r in sorted(blocks, key=lambda r: r["block"])]))
 
 
 def fit(rows: DataFrame, lexicon, passes: int) -> Network:
@@ -460,32 +451,35 @@ def _scored(rows: DataFrame, lexicon, network: Network) -> DataFrame:
         own_log = np.append(np.log10(lex.counts + SMOOTHING), 0.0)  # an open word adds its part later
         tail_log = np.log10(lex.tail_total)
         end_log = math.log10(lex.ends + SMOOTHING)
-        for held in _slices(batches):
-            coded = [lex.ids(words) for *_, words in held]
-            steps = log_likelihood(shared.value, [ids for _, ids in coded]) / math.log(10)
-            at, rows_out = 0, []
-            for (doc_id, held_out, words), (places, ids) in zip(held, coded):
-                n = len(ids)
+        for batch in batches:
+            for part in _slices(batch):
+                words, sizes = words_of(part["text"])
+                places, n = lex.places(words), len(sizes)
+                ids, line = lex.ids(words, places), np.repeat(np.arange(n), sizes)
+                steps = log_likelihood(shared.value, lex.texts(ids, sizes)) / math.log(10)
                 counted = own_log[places]
-                base = float(counted.sum() + end_log - n * all_log)
-                tail = ids[:-1] >= HEAD
-                model = float(steps[at : at + n].sum() + counted[tail].sum() - tail_log[ids[:-1][tail] - HEAD].sum())
-                at += n
-                unknown = np.flatnonzero(places < 0).tolist()
-                open_words = [{"word": w.decode(), "n": k} for w, k in Counter([words[i] for i in unknown]).items()]
-                rows_out.append((doc_id, held_out, n, n - len(unknown) - (lex.ends == 0), base, model, open_words))
-            kinds = [batch_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), open_type]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows_out), kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in names])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    batch_type = to_arrow_type(rows.schema["doc_id"].dataType)
-    open_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+                base = np.bincount(line, counted, n) + end_log - (sizes + 1) * all_log
+                tail = np.flatnonzero(ids >= HEAD)
+                model = np.add.reduceat(steps, np.concatenate(([0], np.cumsum(sizes + 1)[:-1])))
+                model += np.bincount(line[tail], counted[tail] - tail_log[ids[tail] - HEAD], n)
+                unknown = np.flatnonzero(places < 0)
+                known = sizes + (lex.ends > 0) - np.bincount(line[unknown], minlength=n)
+                found = [sizes + 1, known, base, model]
+                columns = [part["doc_id"], part["held_out"], *map(pa.array, found), _listed(line[unknown], words.take(pa.array(unknown)), n)]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in names])
+
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "open"]
     return rows.select("doc_id", "held_out", "text").mapInArrow(run, SCORED.replace("doc_id string", f"doc_id {kind}"))
 
 
+def _listed(line: np.ndarray, words: pa.Array, n: int) -> pa.Array:
+    """Per row its distinct words with their numbers."""
+    table = pa.table({"line": line, "word": words}).group_by(["line", "word"]).aggregate([("word", "count")]).sort_by("line")
+    offsets = np.searchsorted(table["line"].to_numpy(), np.arange(n + 1))
+    parts = [table["word"].combine_chunks(), table["word_count"].combine_chunks()]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, names=["word", "n"]))
+
+
 def language_scores(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
     spark = docs.sparkSession

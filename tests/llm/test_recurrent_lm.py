@@ -6,6 +6,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tagloom.llm import recurrent_lm as lm
@@ -17,8 +18,9 @@ def lexicon(texts):
     tokens, distinct = np.zeros(lm.TAILS, np.int64), np.zeros(lm.TAILS, np.int64)
     for w, n in list(counts.items()):
         if w not in dict(top[: lm.HEAD - 1]):
-            tokens[lm.tail_of(w)] += n
-            distinct[lm.tail_of(w)] += 1
+            tail = int.from_bytes(w.encode()[-2:], "big") % lm.TAILS
+            tokens[tail] += n
+            distinct[tail] += 1
     total = sum(counts.values()) + len(texts)
     return lm.Lexicon([w for w, _ in top], np.array([n for _, n in top]), total, len(counts) + 1, len(texts), tokens, distinct)
 
@@ -26,15 +28,13 @@ def lexicon(texts):
 @pytest.fixture(scope="module")
 def model():
     rng = random.Random(1)
-    texts = [[b"w%d" % int(rng.paretovariate(0.6)) for _ in range(rng.randrange(80))] for _ in range(50)]
+    texts = [[f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(80))] for _ in range(50)]
     lex = lexicon(texts)
-    return lex, lm.Network.start(lex), [lex.ids(t)[1] for t in texts]
+    return lex, lm.Network.start(lex), [lex.texts(lex.ids(pa.array(t, pa.string())), [len(t)])[0] for t in texts]
 
 
 def test_probabilities_sum_to_one(model):
     _, network, _ = model
-    lex, _, texts = model
-    assert all((lex.network_ids(lex.words[i : i + 9]) == lex.ids(lex.words[i : i + 9])[1]).all() for i in (0, 40))
     h = np.random.default_rng(0).normal(0, 1, (3, lm.HIDDEN)).astype(np.float32)
     every = np.arange(lm.HEAD + lm.TAILS)
     for row in h:
@@ -135,4 +135,14 @@ def test_tail_classes_agree_between_python_and_spark(spark):
 
     words = ["a", "é", "ab", "naïve", "漢", "tion.", "🙂"]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", lm.tail_column(F.col("w")).alias("t")).collect()
-    assert all(r.t == lm.tail_of(r.w.encode()) for r in rows)
+    assert [r.t for r in rows] == lm.tails_of(pa.array([r.w for r in rows])).tolist()
+    assert [r.t for r in rows] == [int.from_bytes(r.w.encode()[-2:], "big") % lm.TAILS for r in rows]
+
+
+def test_words_are_those_of_the_contract():
+    texts = [" A b\x0b\tÉ ", None, "", "\x0c", "x", "é\u00a0y\u2003Z"]
+    words, sizes = lm.words_of(pa.array(texts))
+    assert words.to_pylist() == ["a", "b", "É", "x", "é\u00a0y\u2003z"] and sizes.tolist() == [3, 0, 0, 0, 1, 1]
+    sliced = lm.words_of(pa.array(["q q", *texts]).slice(1))
+    assert sliced[0].equals(words) and sliced[1].tolist() == sizes.tolist()
+    assert lm.tails_of(words).tolist() == [int.from_bytes(w.encode()[-2:], "big") % lm.TAILS for w in words.to_pylist()]
