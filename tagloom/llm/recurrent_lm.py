@@ -182,36 +182,40 @@ class Network:
             parts.append(made)
         return Network(*parts)
 
-    def states(self, read: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Hidden states after reading ``read`` (steps x lanes); zero before the first word of a text."""
+    def states(self, read: np.ndarray, h: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden states after reading ``read`` (steps x lanes), and the last one; zero before the first word of a text.
+
+        States are hidden x lanes, so that gates are contiguous; the first result is steps x lanes x hidden.
+        """
         v = self.values
         steps, lanes = read.shape
-        embedded = v["embedding"][read.ravel()]
-        x = (embedded @ v["input"] + v["bias"]).reshape(steps, lanes, -1)
-        inner = (read != END).astype(np.float32)[:, :, None]
-        out = np.empty((steps, lanes, HIDDEN), np.float32)
-        saved = {n: np.empty((steps, lanes, HIDDEN), np.float32) for n in ("h", "z", "r", "n")} if keep is not None else None
+        table = np.ascontiguousarray((v["embedding"] @ v["input"] + v["bias"]).T)
+        x = table[:, read]
+        inner = (read != END).astype(table.dtype)
+        gates, candidate = (np.ascontiguousarray(v[k].T) for k in ("gates", "candidate"))
+        out = np.empty((steps, HIDDEN, lanes), table.dtype)
+        saved = {k: np.empty((steps, HIDDEN, lanes), table.dtype) for k in ("h", "z", "r", "n")} if keep is not None else None
+        half = table.dtype.type(0.5)
         for t in range(steps):
             h = h * inner[t]
-            gate = h @ v["gates"]
-            gate += x[t, :, : 2 * HIDDEN]
-            gate *= np.float32(0.5)
+            gate = gates @ h
+            gate += x[: 2 * HIDDEN, t]
+            gate *= half
             np.tanh(gate, out=gate)
             gate += 1
-            gate *= np.float32(0.5)
-            z, r = gate[:, :HIDDEN], gate[:, HIDDEN:]
-            n = (r * h) @ v["candidate"]
-            n += x[t, :, 2 * HIDDEN :]
+            gate *= half
+            z, r = gate[:HIDDEN], gate[HIDDEN:]
+            n = candidate @ (r * h)
+            n += x[2 * HIDDEN :, t]
             np.tanh(n, out=n)
             if saved is not None:
                 saved["h"][t], saved["z"][t], saved["r"][t], saved["n"][t] = h, z, r, n
-            h = h - n
+            h = np.subtract(h, n, out=out[t])
             h *= z
             h += n
-            out[t] = h
         if keep is not None:
-            keep.update(saved, embedded=embedded, inner=inner)
-        return out
+            keep.update(saved, inner=inner)
+        return out.transpose(0, 2, 1), h
 
     def predict(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log-probability of each target (tail words: of their class), and the gradient for ``h``.
@@ -259,32 +263,45 @@ class Network:
     def learn(self, read: np.ndarray, target: np.ndarray, used: np.ndarray, h: np.ndarray) -> np.ndarray:
         """One step on a window; returns the state after it."""
         v, keep, grads = self.values, {}, {}
-        out = self.states(read, h, keep)
-        chosen = used.ravel()
-        dout = np.zeros((chosen.size, HIDDEN), np.float32)
-        dout[chosen] = self.predict(out.reshape(-1, HIDDEN)[chosen], target.ravel()[chosen], grads)[1]
-        dout = dout.reshape(out.shape)
+        out, last = self.states(read, h, keep)
         steps, lanes = read.shape
-        dx = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
-        carry = np.zeros((lanes, HIDDEN), np.float32)
+        dout = np.zeros((steps, lanes, HIDDEN), out.dtype)
+        dout[used] = self.predict(out[used], target[used], grads)[1]
+        dout = np.ascontiguousarray(dout.transpose(0, 2, 1))
+        dx = np.empty((steps, 3 * HIDDEN, lanes), out.dtype)
+        carry = np.zeros((HIDDEN, lanes), out.dtype)
         for t in range(steps - 1, -1, -1):
             before, z, r, n = (keep[k][t] for k in ("h", "z", "r", "n"))
-            dh = dout[t] + carry
-            dn = dh * (1 - z) * (1 - n * n)
-            dmixed = dn @ v["candidate"].T
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dmixed * before * r * (1 - r)
-            dx[t, :, :HIDDEN], dx[t, :, HIDDEN : 2 * HIDDEN], dx[t, :, 2 * HIDDEN :] = dz, dr, dn
-            carry = (dh * z + dmixed * r + dx[t, :, : 2 * HIDDEN] @ v["gates"].T) * keep["inner"][t]
-        flat = dx.reshape(-1, 3 * HIDDEN)
-        grads["gates"] = keep["h"].reshape(-1, HIDDEN).T @ flat[:, : 2 * HIDDEN]
-        grads["candidate"] = (keep["r"] * keep["h"]).reshape(-1, HIDDEN).T @ flat[:, 2 * HIDDEN :]
-        grads["input"], grads["bias"] = keep["embedded"].T @ flat, flat.sum(0)
+            dh = dout[t]
+            dh += carry
+            dz, dr, dn = dx[t, :HIDDEN], dx[t, HIDDEN : 2 * HIDDEN], dx[t, 2 * HIDDEN :]
+            np.multiply(dh, 1 - z, out=dn)
+            dn *= 1 - n * n
+            dmixed = v["candidate"] @ dn
+            np.subtract(before, n, out=dz)
+            dz *= dh
+            dz *= z
+            dz *= 1 - z
+            np.multiply(dmixed, before, out=dr)
+            dr *= r
+            dr *= 1 - r
+            carry = v["gates"] @ dx[t, : 2 * HIDDEN]
+            dmixed *= r
+            carry += dmixed
+            dh *= z
+            carry += dh
+            carry *= keep["inner"][t]
+        turned = dx.transpose(0, 2, 1)
+        grads["gates"] = (keep["h"] @ turned[:, :, : 2 * HIDDEN]).sum(0)
+        grads["candidate"] = ((keep["r"] * keep["h"]) @ turned[:, :, 2 * HIDDEN :]).sum(0)
+        # All reads of a word share its embedding, so their gradients are added first.
         ids = read.ravel()
         order = np.argsort(ids, kind="stable")
         starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
         rows = ids[order][starts]
-        deep = np.add.reduceat((flat @ v["input"].T)[order], starts)
+        per_word = np.add.reduceat(turned.reshape(-1, 3 * HIDDEN)[order], starts)
+        grads["input"], grads["bias"] = v["embedding"][rows].T @ per_word, per_word.sum(0)
+        deep = per_word @ v["input"].T
         for name, grad in grads.items():
             self.squares[name] += grad * grad
             v[name] -= RATE * grad / np.sqrt(self.squares[name])
@@ -293,7 +310,7 @@ class Network:
             np.minimum(v[name][:, HIDDEN], MOST_BIAS, out=v[name][:, HIDDEN])
         self.squares["embedding"][rows] += deep * deep
         v["embedding"][rows] -= RATE * deep / np.sqrt(self.squares["embedding"][rows])
-        return out[-1]
+        return last
 
 
 def lay_out(sizes: list[int], lanes: int) -> list[list[int]]:
@@ -329,18 +346,17 @@ def _windows(texts: list[np.ndarray], lanes: int, window: int) -> Iterator[tuple
 
 def train(network: Network, texts: list[np.ndarray]) -> None:
     pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
-    h = np.zeros((min(LANES, len(pieces)), HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, min(LANES, len(pieces))), np.float32)
     for read, target, place in _windows(pieces, LANES, WINDOW):
-        h = network.learn(read, target, place >= 0, h[: read.shape[1]])
+        h = network.learn(read, target, place >= 0, h[:, : read.shape[1]])
 
 
 def log_likelihood(network: Network, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log-probability of every id, given those before it in its text, laid end to end."""
     score = np.zeros(sum(map(len, texts)))
-    h = np.zeros((min(SCORE_LANES, len(texts)), HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, min(SCORE_LANES, len(texts))), np.float32)
     for read, target, place in _windows(texts, SCORE_LANES, SCORE_WINDOW):
-        out = network.states(read, h[: read.shape[1]])
-        h = out[-1]
+        out, h = network.states(read, h[:, : read.shape[1]])
         inside = place >= 0
         score[place[inside]] = network.predict(out[inside], target[inside])[0]
     return score

@@ -56,11 +56,11 @@ def test_gradients_against_differences(model, monkeypatch):
     _, start, texts = model
     read, target, place = next(lm._windows(texts[:6], 4, 5))
     used = place >= 0
-    h = np.random.default_rng(2).normal(0, 0.5, (read.shape[1], lm.HIDDEN))
+    h = np.random.default_rng(2).normal(0, 0.5, (lm.HIDDEN, read.shape[1]))
     exact = lm.Network({k: v.astype(np.float64) for k, v in start.values.items()}, {})
 
     def loss():
-        out = exact.states(read, h)
+        out, _ = exact.states(read, h)
         return -exact.predict(out[used].astype(np.float64), target[used])[0].sum()
 
     moved = lm.Network({k: v.copy() for k, v in start.values.items()}, {k: np.zeros_like(v) for k, v in start.values.items()})
