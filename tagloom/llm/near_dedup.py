@@ -312,8 +312,8 @@ def _tile_links(tile: pa.Table) -> pa.Table:
 def _large_group_links(docs: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
     """Links that join components of large groups, compared in tiles of at most two blocks of ``TILE``.
 
-    The comparisons of a group grow with the square of its documents, as they must, but rows do not: a
-    document is sent once per block, and a tile returns fewer links than it has documents.
+    A document is sent once per block of its group, so rows and comparisons of an open group grow with the
+    square of its documents over ``TILE``; a tile returns fewer links than it has documents.
     """
     ids = materialise(groups.select("doc_id").distinct(), "dedup-ids")
     sets = materialise(full_sets(_only(docs, ids, ids.count())).dropDuplicates(["doc_id"]), "dedup-sets")
@@ -327,6 +327,7 @@ def _large_group_links(docs: DataFrame, groups: DataFrame, reps: DataFrame) -> D
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row."""
+    docs = _narrow(docs)  # columns of the caller meet no names of this module
     signed = materialise(signatures(docs), "dedup-signatures")
     keyed = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     twins = keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
@@ -353,8 +354,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stand for their groups, with their own columns."""
-    dropped = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    name = "_dropped"
+    while name in docs.columns:
+        name += "_"
+    dropped = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
     dropped = materialise(dropped, "dedup-dropped")
     if dropped.count() <= SMALL_IDS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col(name), "left_anti")

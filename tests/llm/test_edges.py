@@ -17,16 +17,16 @@ from tagloom.llm.token_counts import token_counts
 
 LONG = "lorem ipsum dolor 12.5 " * 40_000
 # Columns whose names the operators use for themselves.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, hit string, k int, _score int, block int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, hit string, k int, _score int, block int, _id int, _dropped int, row int, runs int"
 ROWS = [
-    (1, None, None, None, None, 1, 1, "h", 1, 1, 1),
-    (2, "", "en", "a", 0, 1, 1, "h", 1, 1, 1),
-    (3, LONG, "en", "a", len(LONG), 1, 1, "h", 1, 1, 1),
-    (4, "a a a a a", "en", "a", 9, 1, 1, "h", 1, 1, 1),
-    (4, "a a a a a", "en", "a", 9, 1, 1, "h", 1, 1, 1),
-    (5, "\n\t ", "fr", "b", 3, 1, 1, "h", 1, 1, 1),
-    (None, "mail me at x.y@example.com or +1 (555) 123-4567", None, "b", 4, 1, 1, "h", 1, 1, 1),
-    (6, "漢字かな交じり文 🙂 é", "ja", None, 14, 1, 1, "h", 1, 1, 1),
+    (1, None, None, None, None, 1, 1, "h", 1, 1, 1, 1, 1, 1, 1),
+    (2, "", "en", "a", 0, 1, 1, "h", 1, 1, 1, 1, 1, 1, 1),
+    (3, LONG, "en", "a", len(LONG), 1, 1, "h", 1, 1, 1, 1, 1, 1, 1),
+    (4, "a a a a a", "en", "a", 9, 1, 1, "h", 1, 1, 1, 1, 1, 1, 1),
+    (4, "a a a a a", "en", "a", 9, 1, 1, "h", 1, 1, 1, 1, 1, 1, 1),
+    (5, "\n\t ", "fr", "b", 3, 1, 1, "h", 1, 1, 1, 1, 1, 1, 1),
+    (None, "mail me at x.y@example.com or +1 (555) 123-4567", None, "b", 4, 1, 1, "h", 1, 1, 1, 1, 1, 1, 1),
+    (6, "漢字かな交じり文 🙂 é", "ja", None, 14, 1, 1, "h", 1, 1, 1, 1, 1, 1, 1),
 ]
 LABELS = [(3, 1, 0), (4, 0, 0), (6, 1, 0), (2, None, 0), (1, 1, 0), (99, 1, 0), (4, 1, 0)]
 ITEMS = [(1, "lorem ipsum dolor 12 5 lorem ipsum dolor 12 5 lorem ipsum dolor 12"), (2, None), (3, ""), (None, "é")]
@@ -112,5 +112,14 @@ def test_pipeline_runs_from_end_to_end(spark, small):
     result = corpus_pipeline.run(spark, small).persist()
     slots = result.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("last")).collect()
     assert all(r["n"] == r["last"] + 1 for r in slots)
-    assert result.select("doc_id").exceptAll(result.select("doc_id")).count() == 0
-    assert 0 < result.select("doc_id").distinct().count() < docs.count()
+    kept = result.select("doc_id").distinct()
+    assert kept.join(docs, "doc_id", "left_anti").count() == 0
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, left, small).persist()
+        # Filters drop whole documents and the mixture shows each of the others at least once.
+        assert after.join(left, "doc_id", "left_anti").count() == 0
+        lost = left.join(after, "doc_id", "left_anti").count()
+        assert lost == 0 if name == "mix_sources" else 0 <= lost < left.count() / 2
+        left = after
+    assert left.select("doc_id").distinct().count() == kept.count() < docs.count()
