@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions.arrays import let, positions
 from tagloom.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -58,6 +59,7 @@ GAZETTEER = {
 LABELERS = 6
 SURE = 0.9
 CONTEXT = 24
+RUNNING = 128  # matches of a block of running totals
 
 
 def _found(text: Column, pattern: str, hint: Column) -> Column:
@@ -71,25 +73,42 @@ def _spans(matches: Column, pieces: Column, kind: int, source: int) -> Column:
     parts = F.arrays_zip(
         matches.alias("word"), F.slice(pieces, 1, n).alias("left"), F.slice(pieces, 2, F.greatest(n, F.lit(0))).alias("right")
     )
-    nothing = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    ends = _running(F.transform(parts, lambda p: (F.char_length(p["left"]) + F.char_length(p["word"])).cast("bigint")))
 
-    def add(done: Column, part: Column) -> Column:
-        start = done["at"] + F.char_length(part["left"])
-        end = start + F.char_length(part["word"])
-        span = F.struct(
+    def span(found: Column) -> Column:
+        part, end = found["part"], found["end"]
+        return F.struct(
             F.lit(kind).alias("kind"),
-            start.cast("bigint").alias("start"),
-            end.cast("bigint").alias("end"),
+            (end - F.char_length(part["word"])).alias("start"),
+            end.alias("end"),
             part["word"].alias("word"),
             F.right(part["left"], F.lit(CONTEXT)).alias("left"),
             F.left(part["right"], F.lit(1)).alias("right"),
             F.lit(source).alias("source"),
         )
-        return F.struct(end.cast("bigint").alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
 
-    return F.when(n > 0, F.aggregate(parts, nothing, add, lambda done: done["spans"])).otherwise(
-        F.array().cast(f"array<{SPAN}>")
-    )
+    spans = F.transform(F.arrays_zip(parts.alias("part"), ends.alias("end")), span)
+    return F.when(n > 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _running(lengths: Column) -> Column:
+    """Running totals of an array; arrays are only ever grown inside blocks, so the work follows the length."""
+    empty = F.array().cast("array<bigint>")
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(0).cast("bigint"))
+
+    def inside(block: Column) -> Column:
+        return F.aggregate(block, empty, lambda done, x: F.concat(done, F.array(x + last(done))))
+
+    def joined(own: Column) -> Column:
+        before = F.aggregate(own, F.array(F.lit(0).cast("bigint")), lambda done, x: F.concat(done, F.array(last(done) + last(x))))
+        return F.flatten(
+            F.transform(F.arrays_zip(own.alias("own"), F.slice(before, 1, F.size(own)).alias("before")), lambda b: F.transform(b["own"], lambda x: x + b["before"]))
+        )
+
+    def blocks(whole: Column) -> Column:
+        return F.transform(positions(F.ceil(F.size(whole) / RUNNING).cast("int")), lambda i: inside(F.slice(whole, i * RUNNING + 1, F.lit(RUNNING))))
+
+    return let(lengths, lambda whole: let(blocks(whole), joined))
 
 
 def _digits(word: Column) -> Column:
