@@ -16,6 +16,7 @@ from tagloom.llm.pii import personal_data
 from tagloom.llm.quality_knn import quality_scores
 from tagloom.llm.recurrent_lm import language_scores
 from tagloom.llm.sharding import assign_shards
+from tagloom.llm.structure_sql import OP11_SQL, OP12_SQL
 from tagloom.llm.tables import table
 from tagloom.llm.token_counts import token_counts
 from tagloom.llm.turn_repair import damage_turns, repair_digest, repair_turns
@@ -174,4 +175,10 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op2_near_dedup": OP2_SQL, "op5_decontaminate": OP5_SQL, "op8_chat_format": OP8_SQL}
+ORACLE: dict[str, str] = {
+    "op2_near_dedup": OP2_SQL,
+    "op5_decontaminate": OP5_SQL,
+    "op8_chat_format": OP8_SQL,
+    "op11_periodic_runs": OP11_SQL,
+    "op12_turn_repair": OP12_SQL,
+}
