@@ -21,6 +21,7 @@ from tagloom.operators.dictionary import dictionary_sizes, distinct_names, entit
 from tagloom.operators.heavy_hitters import heavy_hitters
 from tagloom.operators.infer import batch_map, batch_predict
 from tagloom.operators.label_folds import fold_balance, fold_quotas, label_folds
+from tagloom.operators.neighbours import neighbour_graph, neighbour_layout
 from tagloom.operators.numbering import number_by_key
 from tagloom.operators.order_stats import exact_quantiles
 from tagloom.operators.profile import (
@@ -719,6 +720,17 @@ def pca_2d(spark, sf_dir):
     return cluster.pca_2d(fx.vectors(spark, sf_dir)).select("vec_id", *[F.get("point", F.lit(i)).alias(n) for i, n in enumerate("xy")])
 
 
+def neighbour_links(spark, sf_dir):
+    return neighbour_graph(fx.vectors(spark, sf_dir), "vec_id", "embedding").select("vec_id", "neighbour", six("distance"))
+
+
+def layout_2d(spark, sf_dir):
+    """Two coordinates that keep neighbourhoods, where ``pca_2d`` is linear."""
+    return neighbour_layout(fx.vectors(spark, sf_dir), "vec_id", "embedding").select(
+        "vec_id", *[F.get("point", F.lit(i)).alias(n) for i, n in enumerate("xy")]
+    )
+
+
 def kmeans_sweep(spark, sf_dir):
     return sweep_means(sweep_scores(cluster.pca_2d(fx.vectors(spark, sf_dir)), "vec_id", exact=True))
 
@@ -824,6 +836,8 @@ QUERIES = {
     "sweep_by_analyzer": q_sweep_by_analyzer,
     "cluster_rows": cluster_rows,
     "pca_2d": pca_2d,
+    "neighbour_links": neighbour_links,
+    "layout_2d": layout_2d,
     "kmeans_sweep": kmeans_sweep,
     "kmeans_sweep_squared": kmeans_sweep_squared,
     "tfidf_2d": tfidf_2d,

@@ -24,6 +24,7 @@ MAX_ITER = 500
 SEED = 0
 
 BLOCK_CELLS = 1 << 20
+MOST_BYTES = 256 << 20  # of a table of centres
 
 
 def pca_2d(points: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -83,10 +84,13 @@ def cluster_means(points: DataFrame, key: str, vector: str) -> DataFrame:
 def assign_to_centres(points: DataFrame, centres: DataFrame, vector: str) -> DataFrame:
     """Adds ``cluster``: the nearest fixed centre, the smaller label on ties.
 
-    Like a k-means model, the centres are broadcast. Distances are summed by dimension in blocks of
+    Like a k-means model, the centres are broadcast, after their size was checked. Distances are summed by dimension in blocks of
     bounded size, so ties do not depend on the block.
     """
     key, value = centres.columns
+    size = centres.agg(F.sum(F.size(value)) * 8).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"centres of {size} bytes exceed {MOST_BYTES}")
     rows = centres.orderBy(key).collect()
     kind = centres.schema[key].dataType
     labels = [r[key] for r in rows]

@@ -11,12 +11,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators.numbering import number_by_range
 
 BLOCK_ROWS = 2048
+MOST_BYTES = 256 << 20  # of the table of clusters
 
 
 def _score(own: Column, nearest: Column) -> Column:
@@ -45,10 +47,13 @@ def _cluster_sums(points: DataFrame, vector: str, cluster: str) -> list:
 def silhouette_squared(points: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
     """Adds ``a, b, s`` per row: mean squared distance to the own and to the nearest other cluster.
 
-    The cluster table is broadcast; rows are scored in blocks against all of it.
+    Rows with a NULL vector or cluster have NULL scores and are part of no cluster. The cluster table is
+    broadcast after its size was checked; rows are scored in blocks against all of it.
     """
-    stats = _cluster_sums(points, vector, cluster)
+    stats = _cluster_sums(points.dropna(subset=[vector, cluster]), vector, cluster)
     width = len(stats[0]["total"]) if stats else 0
+    if len(stats) * (width + 2) * 8 > MOST_BYTES:
+        raise ValueError(f"{len(stats)} clusters of {width} dimensions exceed {MOST_BYTES} bytes")
     shared = points.sparkSession.sparkContext.broadcast(
         (
             {r[cluster]: i for i, r in enumerate(stats)},
@@ -60,6 +65,9 @@ def silhouette_squared(points: DataFrame, key: str, vector: str, cluster: str) -
 
     def distances(vectors: pa.Array, clusters: pa.Array) -> pa.Array:
         place, n, squares, total = shared.value
+        rows_in = len(vectors)
+        usable = np.flatnonzero(pc.and_(vectors.is_valid(), clusters.is_valid()).to_numpy(zero_copy_only=False))
+        vectors, clusters = vectors.take(pa.array(usable)), clusters.take(pa.array(usable))
         x = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), float).reshape(len(vectors), width)
         own = np.asarray([place[c] for c in clusters.to_pylist()], int)
         a, b = np.full(len(x), np.nan), np.full(len(x), np.nan)
@@ -73,14 +81,17 @@ def silhouette_squared(points: DataFrame, key: str, vector: str, cluster: str) -
             d[rows, mine] = np.inf
             nearest = d.min(axis=1)
             b[i : i + BLOCK_ROWS] = np.where(np.isinf(nearest), np.nan, nearest)
-        return pa.StructArray.from_arrays([pa.array(v, from_pandas=True) for v in (a, b)], names=["a", "b"])
+        whole = np.full((2, rows_in), np.nan)
+        whole[:, usable] = a, b
+        return pa.StructArray.from_arrays([pa.array(v, from_pandas=True) for v in whole], names=["a", "b"])
 
     measured = F.arrow_udf(distances, "struct<a: double, b: double>")(F.col(vector), F.col(cluster))
+    scored = F.col(vector).isNotNull() & F.col(cluster).isNotNull()
     return (
         points.withColumn("_d", measured)
         .withColumns({"a": F.col("_d.a"), "b": F.col("_d.b")})
         .drop("_d")
-        .withColumn("s", _score(F.col("a"), F.col("b")))
+        .withColumn("s", F.when(scored, _score(F.col("a"), F.col("b"))))
     )
 
 

@@ -138,7 +138,9 @@ def tfidf(docs: DataFrame, max_features: int = MAX_FEATURES, by: Sequence[str] =
 
 
 def vocabulary_entries(vocab: DataFrame) -> list:
-    """Terms with their idf, in the order of vector positions."""
+    """Terms with their idf, in the order of vector positions; a model of checked size."""
+    if not fits_in_rows(vocab):
+        raise ValueError(f"the terms exceed {BROADCAST_BYTES} bytes; choose fewer features")
     return vocab.orderBy(F.col("df").desc(), "term").select("term", "idf").collect()
 
 

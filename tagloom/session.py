@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,8 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app_id]
 
 
-# Folders of open ``intermediates`` blocks, the innermost last.
-_scopes: list[str] = []
+# Applications and folders of open ``intermediates`` blocks, the innermost last; each thread has its own.
+_scopes: ContextVar[tuple[tuple[str, str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
@@ -60,18 +61,18 @@ def intermediates(spark: SparkSession) -> Iterator[str]:
     Results must be written or collected inside the block.
     """
     folder = f"{shared_dir(spark)}/intermediates-{uuid.uuid4().hex}"
-    _scopes.append(folder)
+    token = _scopes.set((*_scopes.get(), (spark.sparkContext.applicationId, folder)))
     try:
         yield folder
     finally:
-        _scopes.remove(folder)
+        _scopes.reset(token)
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    base = _scopes[-1] if _scopes else shared_dir(spark)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    own = [folder for app, folder in _scopes.get() if app == spark.sparkContext.applicationId]
+    return f"{own[-1] if own else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -64,3 +64,26 @@ def test_frequent_tag_and_copies(spark):
     assert inline.exceptAll(joined).count() == 0 and joined.exceptAll(inline).count() == 0
     drawn = joined.filter("round = 1 and row_id % 50 = 0").agg(F.count_distinct("train_label")).first()[0]
     assert drawn > 25
+
+
+def test_silhouettes_of_missing_vectors(spark):
+    """Rows without a vector or a cluster have no score and do not count for others."""
+    rows = [(1, 0, [0.0]), (2, 0, [1.0]), (3, 1, [9.0]), (4, None, [5.0]), (5, 1, None), (6, None, None)]
+    points = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    whole = {r.vec_id: r.s for r in silhouette_squared(points, "vec_id", "embedding", "label").collect()}
+    usable = {r.vec_id: r.s for r in silhouette_squared(points.dropna(), "vec_id", "embedding", "label").collect()}
+    assert usable.keys() == {1, 2, 3} and whole == {**usable, 4: None, 5: None, 6: None}
+
+
+def test_intermediates_of_threads_stay_apart(spark):
+    from threading import Thread
+
+    from tagloom.session import intermediates, new_path
+
+    seen = []
+    with intermediates(spark) as folder:
+        worker = Thread(target=lambda: seen.append(new_path(spark, "x")))
+        worker.start()
+        worker.join()
+        assert new_path(spark, "x").startswith(folder) and not seen[0].startswith(folder)
+    assert not new_path(spark, "x").startswith(folder)

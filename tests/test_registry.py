@@ -13,12 +13,15 @@ from tagloom.checks.queries import QUERIES
 from tagloom.operators.infer import batch_map
 from tools.compare import compare
 
-ROWS_ONLY = {"pca_2d", "kmeans_sweep", "kmeans_sweep_squared", "tfidf_2d", "sweep_by_analyzer", "coreset_sweep", "subword_encode"}
+ROWS_ONLY = {"pca_2d", "kmeans_sweep", "kmeans_sweep_squared", "tfidf_2d", "sweep_by_analyzer", "coreset_sweep", "subword_encode",
+             "neighbour_links", "layout_2d"}
 FAST = [
     "tag_split", "clean_sentence", "prepare_train", "tag_share_mean", "entity_dictionary", "label_indicators",
     "row_numbering", "stratified_folds", "index_gather", "entity_swap", "encode_ids", "decode_ids", "segment_parse",
     "entity_f1_acc", "bleu_rows", "evaluation_report", "batch_predict", "submission_csv", "text_lines", "noun_csv",
-    "tfidf_weights", "silhouette_rows", "silhouette_sq_rows", "silhouette_profile",
+    "tfidf_weights", "silhouette_rows", "silhouette_sq_rows", "silhouette_profile", "label_fold_quotas",
+    "label_fold_balance", "value_quantiles", "subword_round_trip", "subword_reserved", "run_notes", "quoted_csv", "top_terms",
+    "silhouette_sampled_rows", "entity_counts_long_rows",
 ]
 
 
