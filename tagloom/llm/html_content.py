@@ -6,7 +6,8 @@ inside elements that are not content by their meaning (menus, forms, adverts, co
 slightly negative, so the region may reach across them, and they are left out of its text. A form, or an
 element that only a class, id or role names so, is content after all if its best region at
 ``NAMED_WORD`` a word still beats the best region outside such elements: a wrapper of the whole text is.
-Omitted end tags are implied by the next block, item or cell and by the parent's end.
+An article element inside one that is not content is judged in the same way. Omitted end tags are implied
+by the next block, item or cell and by the parent's end.
 
 Tag weights come from labelled pages: a bounded sample of pages whose markup names the article element.
 A tag's cost is how much rarer it is inside the article than outside (log odds), times a scale chosen
@@ -37,10 +38,12 @@ SCALES = (0.25, 0.5, 1.0, 2.0, 4.0)
 ASIDE_WORD = -0.1
 NAMED_WORD = 0.25
 
+# Attributes; a value in quotes may hold < and >.
+REST = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|textarea|title)\b[^<>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9-]*)(?P<rest>[^<>]*)>"
+    rf"|<(?P<raw>script|style|noscript|template|svg|textarea|title)\b(?:{REST}|[^<>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-z][a-z0-9-]*)(?P<rest>{REST}|[^<>]*)>"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
@@ -83,15 +86,28 @@ IN_HEAD = frozenset("base link meta".split())
 
 @dataclass(eq=False)
 class Mark:
-    """An open element that is not content; ``soft``: only by a name, or a form."""
+    """An open element that is not content; ``soft``: only by a name, or a form.
+
+    ``word``: what its words weigh against the region outside of such elements.
+    """
 
     soft: bool
     parent: Mark | None
+    word: float = NAMED_WORD
     cleared: bool = False
     hidden: bool = True
     top: Mark | None = None  # the outermost that hides
     hard: bool = False  # a hard one hides within ``top``
 
+    def firm(self) -> bool:
+        """Whether this or an outer element is no content by its tag."""
+        mark: Mark | None = self
+        while mark:
+            if not mark.soft:
+                return True
+            mark = mark.parent
+        return False
+
     def settle(self) -> None:
         above = self.parent
         if above and above.hidden:
@@ -216,10 +232,14 @@ def items_of(page: str) -> list[Item]:
                 if name in IMPLIED:
                     tree.close(*IMPLIED[name])
                 aside = name not in VOID and _is_aside(name, m["rest"], tree.article > 0)
-                if name in ARTICLE and not aside:
-                    # The article never lies inside an element that someone forgot to close.
-                    tree.marks = [None] * len(tree.marks)
-                mark = Mark(name == "form" or name not in ASIDE_TAGS, tree.mark) if aside else tree.mark
+                if aside:
+                    mark = Mark(name == "form" or name not in ASIDE_TAGS, tree.mark)
+                elif name in ARTICLE and tree.mark:
+                    # The article may lie inside an element that someone forgot to close, but a teaser or a
+                    # card is an article inside one as well: what holds more counts, full words if names alone hide it.
+                    mark = Mark(True, None, NAMED_WORD if tree.mark.firm() else 1.0)
+                else:
+                    mark = tree.mark
                 # Inline elements matter only inside what may be left out.
                 if name not in VOID and name != "html" and (mark or name not in INLINE):
                     tree.push(name, mark, name in ARTICLE and not aside)
@@ -245,7 +265,7 @@ def settle(items: list[Item], weights: Weights) -> None:
             top = item.mark.top if item.mark else None
             if top and top.soft:
                 run = totals.setdefault(top, [0.0, 0.0])
-                value = item.words * (ASIDE_WORD if item.mark.hard else NAMED_WORD) if item.text is not None else weights.of(item)
+                value = item.words * (ASIDE_WORD if item.mark.hard else top.word) if item.text is not None else weights.of(item)
                 run[0] = max(0.0, run[0]) + value
                 run[1] = max(run)
         won = [mark for mark, run in totals.items() if run[1] > base]

@@ -344,3 +344,21 @@ def test_personal_data_of_many_numbers_takes_linear_time(spark):
         assert (found.n_email, found.n_card, found.n_ip) == (1, 1, 0)
         assert f"email:{text.index('a@b')}:" in found.spans
     assert took[1] < 6 * took[0] + 5
+
+
+STORY = "the whole story has many words in it and goes on for quite a while"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<article>{STORY}</article><aside class="related"><article>Other story teaser</article><p>more promo</p></aside>', STORY),
+        (f"<article>{STORY}</article><footer><article class=card>copyright line</article></footer>", STORY),
+        (f"<aside>menu<article>{STORY}</article>", STORY),
+        (f'<div class="notice"><article>{STORY}</article></div>', STORY),
+        ('<article>see <a title="a > b">this</a> <b data-x=\'<i>\'>one</b></article>', "see this one"),
+        ('<article>an <a title="open>odd</a> <b>quote</b></article>', "an odd quote"),
+    ],
+)
+def test_articles_inside_other_elements_and_quoted_attributes(page, text):
+    assert extract(page, Weights(scale=0.1)) == text
