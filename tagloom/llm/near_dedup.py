@@ -7,11 +7,13 @@
    bucket's hub, which links large groups with work in proportion to their size. Then
    members of buckets with one hub that are still in different components are compared with each
    other. Groups of more than ``SMALL`` are cut into tiles that verify inside the task and return links only,
-   so no task holds a group whole and no pairs are emitted.
+   so no task holds a group whole and no pairs are emitted; members of a group's largest component
+   only answer, so a group of copies with few others is compared in linear work.
 4. A candidate pair survives if set sizes allow the similarity and the odd sketches differ in at most
    ``MOST_BITS`` bits (4.6 standard deviations above the expectation at 0.75), and is then confirmed on
    full sets.
-5. Components are found by star contraction over links, all in tables.
+5. Components are found by star contraction over links, all in tables; copies follow their representative
+   afterwards, so that large groups of copies put no edges on one vertex.
 
 A pair of similarity 0.75 shares none of the 32 bands of 4 with a chance of 5e-6.
 
@@ -273,11 +275,11 @@ def _cross_candidates(groups: DataFrame, reps: DataFrame, tried: DataFrame) -> D
 
 
 def _tile_links(tile: pa.Table) -> pa.Table:
-    """Links that join components of one tile; pairs already joined are passed over.
+    """Links between the outsiders and the members of one tile; pairs already joined are passed over.
 
     Sizes and odd sketches of all pairs are compared in arrays, full sets only of what is left.
     """
-    ids, blocks, low, high, parts = (tile[c].to_pylist() for c in ("doc_id", "block", "low", "high", "component_id"))
+    ids, asks, outside, parts = (tile[c].to_pylist() for c in ("doc_id", "asks", "outside", "component_id"))
     sets = [np.asarray(x.values.to_numpy()) for x in tile["items"].combine_chunks()]
     sizes = np.asarray([len(x) for x in sets])
     words = np.stack([tile[f"s{i}"].to_numpy() for i in range(SKETCH_WORDS)], axis=1).view(np.uint64)
@@ -289,12 +291,11 @@ def _tile_links(tile: pa.Table) -> pa.Table:
             c = parent[c]
         return c
 
-    first = [i for i, x in enumerate(blocks) if x == low[0]]
-    second = [i for i, x in enumerate(blocks) if x == high[0]]
     links = []
-    for i in first:
-        # Within one block each pair is met once.
-        others = np.asarray([j for j in second if j > i] if low[0] == high[0] else second, int)
+    second = np.flatnonzero(~np.asarray(asks, bool))
+    numbers, outsiders = np.asarray(ids)[second], np.asarray(outside, bool)[second]
+    for i in np.flatnonzero(asks).tolist():
+        others = second[~outsiders | (numbers > ids[i])]  # two outsiders are compared once
         bits = np.bitwise_count(words[others] ^ words[i]).sum(axis=1)
         lesser, greater = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
         for j in others[(bits <= MOST_BITS) & (100 * lesser >= 75 * greater)].tolist():
@@ -309,20 +310,36 @@ def _tile_links(tile: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _large_group_links(docs: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links that join components of large groups, compared in tiles of at most two blocks of ``TILE``.
+def _tiles(groups: DataFrame) -> DataFrame:
+    """``hub, ask, answer, asks, outside, doc_id, component_id``: members of tiles, ``2 * TILE`` about.
 
-    A document is sent once per block of its group, so rows and comparisons of an open group grow with the
-    square of its documents over ``TILE``; a tile returns fewer links than it has documents.
+    Members of the largest component of a group are one component already, so only the others, the
+    outsiders, ask. They form blocks of about ``TILE``, and so do all members, which answer; a tile is a pair of blocks.
+    A group of ``n`` members with ``o`` outsiders sends about ``n * ceil(o / TILE) + o * ceil(n / TILE)`` rows.
     """
+    parts = groups.groupBy("hub", "component_id").agg(F.count(F.lit(1)).alias("m"))
+    largest = F.max(F.struct("m", "component_id"))
+    main = parts.groupBy("hub").agg(largest.alias("top"), F.sum("m").alias("all"))
+    blocks = lambda n: F.greatest(F.ceil(n / TILE), F.lit(1)).cast("int")
+    main = main.select(
+        "hub", F.col("top.component_id").alias("main"), blocks(F.col("all")).alias("answers"), blocks(F.col("all") - F.col("top.m")).alias("asked")
+    )
+    rows = groups.join(main, "hub").withColumn("outside", F.col("component_id") != F.col("main"))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ["hub", "doc_id", "component_id", "outside"]
+    asking = rows.where("outside").select(*kept, F.lit(True).alias("asks"), own("asked").alias("ask"), every("answers").alias("answer"))
+    answering = rows.select(*kept, F.lit(False).alias("asks"), own("answers").alias("answer"), every("asked").alias("ask"))
+    return asking.unionByName(answering)
+
+
+def _large_group_links(docs: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links that join components of large groups, compared in tiles; a tile returns fewer links than it has rows."""
     ids = materialise(groups.select("doc_id").distinct(), "dedup-ids")
-    sets = materialise(full_sets(_only(docs, ids, ids.count())).dropDuplicates(["doc_id"]), "dedup-sets")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    rows = groups.withColumn("tiles", tiles).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("tiles").cast("long")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    sketched = rows.join(reps.select("doc_id", *(f"s{i}" for i in range(SKETCH_WORDS))), "doc_id").join(sets, "doc_id")
-    return sketched.groupBy("hub", "low", "high").applyInArrow(_tile_links, "a bigint, b bigint").distinct()
+    # A doc_id with several texts has several sets; each meets each of its sketches.
+    sets = materialise(full_sets(_only(docs, ids, ids.count())).dropDuplicates(["doc_id", "items"]), "dedup-sets")
+    sketched = _tiles(groups).join(reps.select("doc_id", *(f"s{i}" for i in range(SKETCH_WORDS))), "doc_id").join(sets, "doc_id")
+    return sketched.groupBy("hub", "ask", "answer").applyInArrow(_tile_links, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -330,7 +347,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = _narrow(docs)  # columns of the caller meet no names of this module
     signed = materialise(signatures(docs), "dedup-signatures")
     keyed = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    twins = keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    twins = keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     twins = materialise(twins, "dedup-twins")
     reps = keyed.join(twins.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi")
     reps = materialise(reps.dropDuplicates(["doc_id", "set_key"]).drop("set_key"), "dedup-reps")
@@ -341,14 +358,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = materialise(_open_groups(members, found), "dedup-groups")
     more = materialise(_cross_candidates(groups.where(F.col("n") <= SMALL), reps, stars), "dedup-cross")
     large = materialise(_large_group_links(docs, groups.where(F.col("n") > SMALL), reps), "dedup-large-links")
+    # Equal sets follow their representative; only a doc_id with several texts ties such groups together.
+    texts = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min("set_key").alias("low"), F.max("set_key").alias("high"), F.count("set_key").alias("sets"), F.count(F.lit(1)).alias("rows")
+    )
+    several = materialise(texts.where("low < high OR (sets > 0 AND sets < rows)").select("doc_id"), "dedup-several")
+    ties = keyed.select("doc_id", "set_key").distinct().join(several, "doc_id", "left_semi").join(twins, "set_key")
     links = links.unionByName(_confirmed(docs, more)).unionByName(large)
-    copies = keyed.join(twins.where("rep < last"), "set_key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = components(links.unionByName(copies.where("a != b").distinct()))
-    return _with_component(signed.select("doc_id", "n_shingles"), found, "doc_id", "component_id").select(
+    found = components(links.unionByName(ties.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
+    placed = _with_component(twins, found, "rep", "by_set").select("set_key", "by_set")
+    tied = found.join(several, "doc_id", "left_semi").withColumnRenamed("component_id", "by_doc")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("by_doc", "by_set", "doc_id"))
+    return signed.join(placed, "set_key", "left").join(tied, "doc_id", "left").select(
         "doc_id",
         "n_shingles",
-        "component_id",
-        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
+        component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
 
 

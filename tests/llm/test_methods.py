@@ -79,6 +79,47 @@ def test_components_against_brute_force(spark, monkeypatch, small, tile):
     assert found == brute_components(texts)
 
 
+@pytest.mark.parametrize("small", [3, 32])
+def test_a_doc_id_with_several_texts(spark, monkeypatch, small):
+    """All texts of a document link it, whatever the size of their groups; rows of one id share a component."""
+    monkeypatch.setattr(nd, "SMALL", small)
+    monkeypatch.setattr(nd, "TILE", 5)
+    rng = random.Random(7)
+    base = [[f"g{g}w{i}" for i in range(40)] for g in range(4)]
+    rows = []
+    for d in range(60):
+        for g in {rng.randrange(4), rng.randrange(4)} if d % 9 == 0 else {d % 4}:
+            words = list(base[g])
+            words[rng.randrange(40)] = f"x{d}" if d % 3 else "same"
+            rows.append((d, " ".join(words)))
+    rows += [(70, "alone in the world it is"), (70, None), (5, ""), (71, rows[0][1]), (71, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    texts = dict(enumerate(t or "" for _, t in rows))
+    parent = {d: d for d, _ in rows}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for i, (_, c) in brute_components(texts).items():
+        x, y = root(rows[i][0]), root(rows[c][0])
+        parent[max(x, y)] = min(x, y)
+    found = nd.near_duplicates(frame).collect()
+    assert len(found) == len(rows) and all(r.component_id == root(r.doc_id) for r in found)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+
+
+def test_large_groups_send_rows_in_proportion(spark):
+    """Thousands of members of one component and a few outsiders."""
+    rows = [(1, d, 0 if d < 3000 else d) for d in range(3006)]
+    groups = spark.createDataFrame(rows, "hub long, doc_id long, component_id long").withColumn("n", F.lit(3006))
+    tiles = nd._tiles(groups)
+    assert tiles.count() <= 3006 + 6 * 7
+    assert tiles.groupBy("ask", "answer").count().agg(F.max("count")).first()[0] < 1.3 * nd.TILE
+    assert tiles.where("asks").select("doc_id").distinct().count() == 6
+
+
 def test_odd_sketches_tell_similar_sets_apart():
     rng = np.random.default_rng(2)
     bits = {0.75: [], 0.3: []}
