@@ -34,6 +34,33 @@ def test_quality_on_held_out_labels(spark):
     assert ((good[:, None] > bad).mean() + (good[:, None] == bad).mean() / 2) > 0.9
 
 
+def test_votes_against_brute_force(monkeypatch):
+    """All cosines one by one; equal ones in the order of the sample; weights by label."""
+    monkeypatch.setattr(qk, "NEIGHBOURS", 7)
+    rng = random.Random(12)
+    text = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "12", "x."]) for _ in range(rng.randrange(1, 30))).encode()
+    sample = [text() for _ in range(40)]
+    sample = [t for t in sample for _ in range(rng.choice([1, 1, 3]))]  # copies have equal cosines
+    matrix = np.zeros((len(sample), qk.TERMS), np.float32)
+    for i, t in enumerate(sample):
+        columns, counts = qk.term_counts(t)
+        matrix[i, columns] = 1 + np.log(counts)
+    labels = np.array([rng.randrange(2) for _ in sample], np.float32)
+    stands_for = np.where(labels == 1, 3.5, 1.0)
+    model = qk._decompose(matrix, labels, stands_for, 0.25)
+    texts = [*(text() for _ in range(60)), b"", None, b"\xc3\xa9", *sample[:5]]
+    for t, score in zip(texts, qk.vote(model, texts)):
+        columns, counts = qk.term_counts(t or b"")
+        row = ((1 + np.log(counts)) * model.weights[columns]) @ model.axes[columns] if len(columns) else np.zeros(1)
+        if np.linalg.norm(row) <= 1e-6:
+            assert score == 0.25
+            continue
+        cosines = model.vectors @ (row / np.linalg.norm(row))
+        near = sorted(range(len(sample)), key=lambda i: (-round(float(cosines[i]), 5), i))[:7]
+        weights = [max(float(cosines[i]), 0) ** qk.SHARPNESS * stands_for[i] for i in near]
+        assert abs(score - sum(w for i, w in zip(near, weights) if labels[i]) / sum(weights)) < 1e-3
+
+
 def brute_components(texts):
     def shingles(text):
         words = text.encode().lower().split()
