@@ -6,7 +6,8 @@ shorter items) end there. Words inside any such window are hit; a document is co
 hit share reaches the limit. Row-local: documents are never shuffled.
 
 Items are cut into blocks of at most ``block_words`` words, each with an automaton that fits a
-broadcast; with several blocks the documents are passed once per block and the spans are merged.
+broadcast. With several blocks the documents are written once, their texts are read once per block, and only
+hits are written in between.
 
 Defined results: a null or empty text has no words; items without words match nothing; an item with
 a null id hits words but is not listed; repeated rows are judged alike; an empty benchmark hits
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -181,16 +183,29 @@ def find_benchmark(
     total = items.agg(F.sum("words")).first()[0] or 0
     blocks = max(1, math.ceil(2 * total / block_words)) if total > block_words else 1
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    for b in range(blocks):
+
+    def scan(b: int) -> Column:
         chosen = items.where(block == b) if blocks > 1 else items
         rows = [(r.item_id, r.text.encode()) for r in chosen.select("item_id", "text").collect()]
-        shared = spark.sparkContext.broadcast(Automaton.build(rows, WINDOW))
-        if b:
-            docs = materialise(docs, "decontaminate")
-            docs = docs.withColumn(out, _merged(F.col(out), _scan(shared)(F.col(text))))
-        else:
-            docs = docs.withColumn(out, _scan(shared)(F.col(text)))
-    return docs
+        return _scan(spark.sparkContext.broadcast(Automaton.build(rows, WINDOW)))(F.col(text))
+
+    found = docs.withColumn(out, scan(0))
+    if blocks == 1:
+        return found
+    # The documents are written once; every further block reads their texts and writes its hits only.
+    key = "_row"
+    while any(c.startswith(key) for c in found.columns):
+        key += "_"
+    stored = materialise(found.withColumn(key, F.monotonically_increasing_id()), "decontaminate")
+    hits = [
+        materialise(stored.select(key, scan(b).alias("more")).where(F.size("more.starts") > 0), "decontaminate-hits")
+        for b in range(1, blocks)
+    ]
+    listed = f"{key}_more"
+    more = reduce(DataFrame.unionByName, hits).groupBy(key).agg(F.collect_list("more").alias(listed))
+    nothing = F.array().cast(f"array<{HIT_TYPE}>")
+    whole = F.aggregate(F.coalesce(listed, nothing), F.col(out), _merged)
+    return stored.join(more, key, "left").withColumn(out, whole).select(*found.columns)
 
 
 def _scan(shared):
