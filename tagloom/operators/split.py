@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators.numbering import number_by_hash
+from tagloom.session import materialise
 
 # The default seed and number of folds.
 SEED = 1514
@@ -38,15 +39,18 @@ def stratified_folds(prepared: DataFrame, n_split: int = DEFAULT_FOLDS, seed: in
     return numbered.withColumn("fold", fold).drop("_signature", "_rank")
 
 
+def _valid_ids(prepared: DataFrame, n_split: int, seed: int) -> DataFrame:
+    """``row_id`` of the first fold. Only ids and label sets are numbered; texts stay where they are."""
+    folds = stratified_folds(prepared.select("row_id", "entity"), n_split, seed)
+    return materialise(folds.filter("fold = 0").select("row_id"), "valid-ids")
+
+
 def split_train_valid(
     prepared: DataFrame, n_split: int = DEFAULT_FOLDS, seed: int = SEED
 ) -> tuple[DataFrame, DataFrame]:
-    """The first fold is the validation set, all others the training set."""
-    folds = stratified_folds(prepared, n_split, seed)
-    return (
-        folds.filter("fold <> 0").drop("fold"),
-        folds.filter("fold = 0").drop("fold"),
-    )
+    """The first fold is the validation set, all others the training set. ``row_id`` is a key."""
+    valid = _valid_ids(prepared, n_split, seed)
+    return rows_not_in(prepared, valid).select(*prepared.columns), rows_in(prepared, valid).select(*prepared.columns)
 
 
 def model_columns(prepared: DataFrame, *keep: str) -> DataFrame:
@@ -55,9 +59,10 @@ def model_columns(prepared: DataFrame, *keep: str) -> DataFrame:
 
 def labelled_split(prepared: DataFrame, n_split: int = DEFAULT_FOLDS, seed: int = SEED) -> DataFrame:
     """The model-ready pair as one table with a ``split`` column, ready to be written by it."""
-    folds = stratified_folds(prepared, n_split, seed)
-    split = F.when(F.col("fold") == 0, "valid").otherwise("train")
-    return folds.select("row_id", split.alias("split"), *MODEL_COLUMNS)
+    valid = _valid_ids(prepared, n_split, seed).withColumn("_valid", F.lit(True))
+    split = F.when(F.col("_valid"), "valid").otherwise("train")
+    rows = model_columns(prepared, "row_id").join(valid, "row_id", "left")
+    return rows.select("row_id", split.alias("split"), *MODEL_COLUMNS)
 
 
 def rows_in(df: DataFrame, ids: DataFrame) -> DataFrame:
