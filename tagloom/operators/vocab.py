@@ -98,38 +98,45 @@ def _resolve(rows: DataFrame, arrays: dict[str, Column], vocab: DataFrame, key:
     items = {name: F.coalesce(a, F.array().cast(f"array<{types[key][1]}>")) for name, a in arrays.items()}
     if whole:
         return rows.withColumns({name: look_up(a) for name, a in items.items()})
-    keys = {name: f"_keys_{name}" for name in items}
+    own_name = "_coded"
+    while any(c.startswith(own_name) for c in rows.columns):
+        own_name += "_"
+    keys = {name: f"{own_name}_keys_{i}" for i, name in enumerate(items)}
+    row, own = f"{own_name}_row", f"{own_name}_own"
     found = rows.withColumns({keys[name]: a for name, a in items.items()})
     found = found.withColumns({name: look_up(F.col(keys[name])) for name in items})
-    found = materialise(found.withColumn("_row", F.monotonically_increasing_id()), "resolved")
-    missing = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.transform(
-                        F.filter(F.arrays_zip(F.col(keys[n]).alias("k"), F.col(n).alias("v")), lambda x: x["v"].isNull()),
-                        lambda x: x["k"],
-                    )
-                    for n in items
-                ]
-            )
-        )
-    )
-    open_items = found.select("_row", F.explode(missing).alias("_key"))
+    found = materialise(found.withColumn(row, F.monotonically_increasing_id()), "resolved")
+
+    def open_keys(name: str) -> Column:
+        pairs = F.arrays_zip(F.col(keys[name]).alias("k"), F.col(name).alias("v"))
+        return F.transform(F.filter(pairs, lambda x: x["v"].isNull()), lambda x: x["k"])
+
+    missing = F.array_distinct(F.flatten(F.array(*map(open_keys, items))))
+    open_items = found.select(row, F.explode(missing).alias("_key"))
     rest = vocab.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
-    named = open_items.select("_key").distinct().join(rest, "_key")
-    own = open_items.join(named, "_key").groupBy("_row").agg(
-        F.map_from_entries(F.collect_list(F.struct("_key", "_value"))).alias("_own")
+    named = materialise(open_items.select("_key").distinct().join(rest, "_key"), "named")
+    # An item that is in no vocabulary may be frequent: a broadcast spares it the way to one task.
+    if _fits_broadcast(named):
+        named = F.broadcast(named)
+    values = open_items.join(named, "_key").groupBy(row).agg(
+        F.map_from_entries(F.collect_list(F.struct("_key", "_value"))).alias(own)
     )
-    joined = found.join(own, "_row", "left")
+    joined = found.join(values, row, "left")
     filled = {
         n: F.transform(
             F.arrays_zip(F.col(keys[n]).alias("k"), F.col(n).alias("v")),
-            lambda x: F.coalesce(x["v"], F.try_element_at("_own", x["k"])),
+            lambda x: F.coalesce(x["v"], F.try_element_at(own, x["k"])),
         )
         for n in items
     }
-    return joined.withColumns(filled).drop("_row", "_own", *keys.values())
+    return joined.withColumns(filled).drop(row, own, *keys.values())
+
+
+def _fits_broadcast(named: DataFrame) -> bool:
+    """Whether the entries are within the bounds of the look-up inside rows."""
+    text = F.octet_length(F.concat(F.col("_key").cast("string"), F.col("_value").cast("string")))
+    n, size = named.agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
+    return n <= HEAD_ENTRIES and size <= HEAD_ENTRIES * HEAD_TOKEN_BYTES
 
 
 def encode_columns(

@@ -131,3 +131,19 @@ def test_a_vocabulary_that_fits_needs_no_shuffle(prepared):
     vocab = build_vocabulary(prepared, ["input_sentence"])
     plan = encode(prepared, vocab, "input_sentence", 100)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("InMemoryRelation")[0]
+
+
+def test_rest_of_a_vocabulary_and_odd_column_names(spark, monkeypatch):
+    """Entries beyond the look-up, frequent unknown tokens, columns with the names used inside."""
+    from tagloom.operators import vocab as v
+
+    texts = [f"a b w{i} w{i} unknown" for i in range(40)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id long, text string")
+    table = v.build_vocabulary(frame, ["text"]).filter("token <> 'unknown'")
+    want = {r.row_id: r.ids for r in v.encode(frame, table, "text", None).collect()}
+    odd = frame.selectExpr("*", "'x' AS _coded_row", "1 AS _row", "2 AS _key", "3 AS _own")
+    for entries in (3, 30):
+        monkeypatch.setattr(v, "HEAD_ENTRIES", entries)
+        coded = v.encode_columns(odd, table, {"ids": ("text", None)})
+        assert coded.columns == [*odd.columns, "ids"]
+        assert {r.row_id: r.ids for r in coded.collect()} == want
