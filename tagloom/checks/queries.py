@@ -231,6 +231,7 @@ def value_quantiles(spark, sf_dir):
         F.size(whitespace_tokens(text)).alias("n_words"), F.char_length(text).alias("n_chars")
     )
     prices = fx.table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").cast("double").alias("price"))
+    lengths = materialise(lengths, "lengths")
     found = exact_quantiles(lengths, ["n_words", "n_chars"], QUANTILES).unionByName(
         exact_quantiles(prices, ["price"], QUANTILES)
     )

@@ -86,7 +86,10 @@ def _refine(values: DataFrame, ranks: list[_Rank], first: bool) -> None:
 
 
 def order_statistics(df: DataFrame, wanted: Sequence[tuple[str, int]]) -> list:
-    """The values of ``(column, rank)``, ranks from 0 in ascending order over the non-null values."""
+    """The values of ``(column, rank)``, ranks from 0 in ascending order over the non-null values.
+
+    Every pass reads ``df``, so a derived one should be stored first.
+    """
     kinds = dict(df.select(*dict.fromkeys(c for c, _ in wanted)).dtypes)
     whole = ("tinyint", "smallint", "int", "bigint")
     ranks = [_Rank(c, rank) for c, rank in wanted]
