@@ -16,6 +16,7 @@ from tagloom.operators.scoring import (
     with_entity_scores,
 )
 from tagloom.operators.vocab import decode_columns, restore_mask
+from tagloom.session import materialise
 
 
 def evaluate(pairs: DataFrame, by: Sequence[str] = (), label_prefix: str | None = None) -> DataFrame:
@@ -33,10 +34,14 @@ def evaluate(pairs: DataFrame, by: Sequence[str] = (), label_prefix: str | None
 def evaluate_ids(
     coded: DataFrame, vocab: DataFrame, by: Sequence[str] = (), label_prefix: str | None = None
 ) -> DataFrame:
-    """The same metrics from ``pred_ids, label_ids`` of a model: unmask, decode, strip, score."""
+    """The same metrics from ``pred_ids, label_ids`` of a model: unmask, decode, strip, score.
+
+    The texts are written once: scoring reads them several times, and a decoding that is still part
+    of the plan cannot be merged into the scoring functions.
+    """
     ids = {f"_{c}": restore_mask(F.col(f"{c}_ids")) for c in ("pred", "label")}
     texts = decode_columns(coded.withColumns(ids), vocab, {c: f"_{c}" for c in ("pred", "label")})
-    return evaluate(texts, by, label_prefix)
+    return evaluate(materialise(texts.select(*by, "pred", "label"), "decoded"), by, label_prefix)
 
 
 def best_runs(metrics: DataFrame, keep: int = 3) -> DataFrame:

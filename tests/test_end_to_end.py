@@ -79,3 +79,13 @@ def test_whole_program(spark, tmp_path):
     assert any(r.pred != r.label for r in written)
     sent = {r.row_id: r.input_sentence for r in read_csv(spark, f"{folder}/submission", "row_id long, input_sentence string").collect()}
     assert len(sent) == 40 and not any(PREFIX in s for s in sent.values())
+
+
+def test_metrics_of_ids_are_those_of_texts(spark):
+    rows = [(1, "a b:PS c:LC", "a b:PS c:LC"), (2, "none", "d:DT"), (3, None, "e f:OG")]
+    pairs = spark.createDataFrame(rows, "row_id long, pred string, label string")
+    vocab = materialise(build_vocabulary(pairs.fillna(""), ["pred", "label"]), "vocab")
+    limits = {"pred_ids": ("pred", None), "label_ids": ("label", None)}
+    coded = encode_columns(pairs, vocab, limits).select("row_id", *limits)
+    spaced = pairs.select("row_id", *[F.regexp_replace(c, ":", " :").alias(c) for c in ("pred", "label")])
+    assert evaluate_ids(coded, vocab).first() == evaluate(spaced).first()
