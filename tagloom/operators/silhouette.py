@@ -9,7 +9,6 @@ never pairs.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -18,6 +17,11 @@ from pyspark.sql import functions as F
 from tagloom.operators.numbering import number_by_range
 
 BLOCK_ROWS = 2048
+BLOCK_BYTES = 16 << 20  # of the vectors of a larger block
+MOST_BLOCKS = 32  # blocks grow up to ``BLOCK_BYTES`` before there are more of them
+STRIP_ROWS = 128  # rows of a tile that are measured at once
+CANCELLED = 1e-5  # squared distances up to this share of the squared lengths are measured again
+AGAIN_PAIRS = 1 << 14
 MOST_BYTES = 256 << 20  # of the table of clusters
 
 
@@ -95,59 +99,91 @@ def silhouette_squared(points: DataFrame, key: str, vector: str, cluster: str) -
     )
 
 
+def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Euclidean distances between the rows of two blocks, by one matrix product.
+
+    The product loses digits where a distance is small beside the vectors; those pairs, and pairs
+    without a finite distance, are measured again by their differences.
+    """
+    sizes = (left * left).sum(1)[:, None] + (right * right).sum(1)
+    squared = left @ right.T
+    squared *= -2.0
+    squared += sizes
+    sizes *= CANCELLED
+    i, j = np.nonzero(~(squared > sizes))
+    for at in range(0, len(i), AGAIN_PAIRS):
+        some = slice(at, at + AGAIN_PAIRS)
+        gap = left[i[some]] - right[j[some]]
+        squared[i[some], j[some]] = (gap * gap).sum(1)
+    return np.sqrt(squared, out=squared)
+
+
 def _tile_sums(members: list[list[int]]):
     """Kernel of one tile: for every row the sum of distances to the members of each cluster
     on the other side of the tile."""
 
-    def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        squared = np.zeros((len(left), len(right)))
-        for dim in range(left.shape[1]):
-            gap = left[:, dim, None] - right[None, :, dim]
-            squared += gap * gap
-        return np.sqrt(squared)
+    def matrix(lists: pa.ChunkedArray, kind: type) -> np.ndarray:
+        values = np.asarray([] if not len(lists) else lists.combine_chunks().flatten().to_numpy(zero_copy_only=False), kind)
+        return values.reshape(len(lists), -1)
 
     def one_hot(labels: np.ndarray) -> np.ndarray:
         columns = [labels[:, sweep] == value for sweep, value in members]
         return np.stack(columns, axis=1).astype(float)
 
-    def result(keys, sums: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"_key": keys, "sums": list(sums)})
-
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        low = tile[tile["_block"] == tile["_low"]]
-        high = tile[tile["_block"] == tile["_high"]]
-        if low.empty or high.empty:
-            return result(tile["_key"].iloc[:0], np.zeros((0, len(members))))
-        a, la = np.stack(low["_vector"].to_numpy()), np.stack(low["labels"].to_numpy())
-        if tile["_low"].iloc[0] == tile["_high"].iloc[0]:
-            return result(low["_key"], distances(a, a) @ one_hot(la))
-        b, lb = np.stack(high["_vector"].to_numpy()), np.stack(high["labels"].to_numpy())
-        d = distances(a, b)
-        return pd.concat(
-            [result(low["_key"], d @ one_hot(lb)), result(high["_key"], d.T @ one_hot(la))]
-        )
+    def result(keys: pa.ChunkedArray, sums: np.ndarray) -> pa.Table:
+        offsets = np.arange(len(keys) + 1, dtype=np.int32) * len(members)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel(), pa.float64()))
+        return pa.table({"_key": keys, "sums": lists})
+
+    def run(tile: pa.Table) -> pa.Table:
+        low = tile.filter(pc.equal(tile["_block"], tile["_low"]))
+        high = tile.filter(pc.equal(tile["_block"], tile["_high"]))
+        if not len(low) or not len(high):
+            return result(tile["_key"].slice(0, 0), np.zeros((0, len(members))))
+        if low["_vector"].null_count or high["_vector"].null_count:
+            raise ValueError("a row has no vector")
+        a, b = matrix(low["_vector"], float), matrix(high["_vector"], float)
+        la, lb = one_hot(matrix(low["labels"], int)), one_hot(matrix(high["labels"], int))
+        # Distances do not change with the origin; near the rows fewer digits cancel.
+        origin = a.mean(axis=0)
+        if np.isfinite(origin).all():
+            a, b = a - origin, b - origin
+        to_right, to_left = np.empty((len(a), len(members))), np.zeros((len(b), len(members)))
+        mirrored = tile["_low"][0].as_py() != tile["_high"][0].as_py()
+        for at in range(0, len(a), STRIP_ROWS):
+            d = _distances(a[at : at + STRIP_ROWS], b)
+            to_right[at : at + STRIP_ROWS] = d @ lb
+            if mirrored:
+                to_left += d.T @ la[at : at + STRIP_ROWS]
+        found = result(low["_key"], to_right)
+        return pa.concat_tables([found, result(high["_key"], to_left)]) if mirrored else found
 
     return run
 
 
 def silhouette_exact(
-    points: DataFrame, key: str, vector: str, block_rows: int = BLOCK_ROWS
+    points: DataFrame, key: str, vector: str, block_rows: int | None = None
 ) -> DataFrame:
     """``key, labelling, cluster, a, b, s`` for every row and each of its ``labels``.
 
     Rows are hashed into blocks of about ``block_rows``; a tile is a pair of blocks and measures
     each pair once, for all labellings together. A task holds two blocks, whatever the clusters
-    look like. The work is quadratic by definition; use ``silhouette_squared`` beyond that.
+    look like. Every row is sent to each block once, so blocks grow with the rows as far as their
+    bytes allow. The work is quadratic by definition; use ``silhouette_squared`` beyond that.
     """
     clusters = (
-        points.select(F.posexplode("labels").alias("labelling", "cluster"))
+        points.select(F.size(vector).alias("_width"), F.posexplode("labels").alias("labelling", "cluster"))
         .groupBy("labelling", "cluster")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max("_width").alias("width"))
     )
     table = sorted(clusters.collect())
     members = [[r["labelling"], r["cluster"]] for r in table]
     n_labellings = 1 + max((labelling for labelling, _ in members), default=0)
-    n_blocks = max(1, -(-sum(r["n"] for r in table if r["labelling"] == 0) // block_rows))
+    n_rows = sum(r["n"] for r in table if r["labelling"] == 0)
+    if block_rows is None:
+        widest = max((r["width"] or 1 for r in table), default=1)
+        block_rows = max(BLOCK_ROWS, min(n_rows // MOST_BLOCKS, BLOCK_BYTES // (8 * max(widest, 1))))
+    n_blocks = max(1, -(-n_rows // block_rows))
 
     blocks = points.select(
         F.col(key).alias("_key"),
@@ -164,7 +200,7 @@ def silhouette_exact(
         F.greatest("_block", "_other").alias("_high"),
     )
     key_type = points.schema[key].dataType.simpleString()
-    partial = tiles.groupBy("_low", "_high").applyInPandas(
+    partial = tiles.groupBy("_low", "_high").applyInArrow(
         _tile_sums(members), f"_key {key_type}, sums array<double>"
     )
     sums = partial.groupBy("_key").agg(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tagloom.checks import fixtures as fx
 from tagloom.operators import cluster
+from tagloom.operators import silhouette as silhouette_module
 from tagloom.operators import tfidf as tfidf_module
 from tagloom.operators.silhouette import silhouette_exact, silhouette_profile, silhouette_squared
 from tagloom.operators.tfidf import noun_text, term_documents, tfidf, tfidf_vectors, vocabulary
@@ -209,3 +210,25 @@ def test_weights_agree_on_both_paths(spark, small, monkeypatch):
     monkeypatch.setattr(tfidf_module, "BROADCAST_BYTES", 0)
     far = {(r.doc_id, r.term): r.weight for r in tfidf(docs, 300).collect()}
     assert near.keys() == far.keys() and all(near[k] == pytest.approx(far[k]) for k in near)
+
+
+def test_exact_silhouette_keeps_small_distances(spark):
+    """Far from the origin, with copies and near copies: the matrix product alone would lose them."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(40, 6)), 3, axis=0) + 1e4
+    x[::3] += rng.normal(size=(40, 6)) * 1e-7
+    labels = rng.integers(0, 3, len(x))
+    rows = [(i, v.tolist(), [int(c)]) for i, (v, c) in enumerate(zip(x, labels))]
+    points = spark.createDataFrame(rows, "vec_id long, embedding array<double>, labels array<int>")
+    own = {r.vec_id: r.s for r in silhouette_exact(points, "vec_id", "embedding", 25).collect()}
+    assert [own[i] for i in range(len(x))] == pytest.approx(brute_silhouette(x, labels), abs=1e-9)
+
+
+def test_distances_of_a_tile_take_no_pass_per_dimension():
+    """Small distances are exact; the time does not grow with passes over the tile per dimension."""
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(60, 512))
+    b = np.concatenate([a[:20], a[20:40] + 1e-9, rng.normal(size=(20, 512))])
+    found = silhouette_module._distances(a, b)
+    assert found == pytest.approx(np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)), rel=1e-9, abs=1e-15)
+    assert (np.diag(found)[:20] == 0).all()
