@@ -2,12 +2,14 @@
 
 import base64
 import random
+import tracemalloc
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
-from tagloom.operators.subword import SubwordEncoder, SubwordVocabulary, decode_subwords, encode_subwords, merge
+from tagloom.operators.subword import SubwordEncoder, SubwordVocabulary, _code, decode_subwords, encode_subwords, merge
 from tagloom.operators.vocab import EOS, SPECIALS
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -94,3 +96,17 @@ def test_a_vocabulary_must_cover_all_bytes(tmp_path):
     file.write_bytes(base64.b64encode(b"a") + b" 0\n")
     with pytest.raises(ValueError, match="no token for the bytes"):
         SubwordVocabulary.read(str(file))
+
+
+def test_a_batch_of_long_texts_stays_small(vocab):
+    """A few integers per id; Python objects for every id and offset took more than ten times that."""
+    texts = pa.array(["word and number 123 " * 2_000, None, ""] * 40)
+    encoder = SubwordEncoder(vocab)
+    encoder.encode(texts[0].as_py(), None)
+    tracemalloc.start()
+    coded = _code(encoder, texts, None)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    n_ids = len(coded.field("ids").flatten())
+    assert n_ids > 300_000 and peak < 40 * n_ids
+    assert coded[0].as_py() == encoder.encode(texts[0].as_py(), None) and coded[1].as_py()["ids"] == [EOS]
