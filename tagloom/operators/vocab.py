@@ -64,21 +64,36 @@ def build_vocabulary(
 
 
 def _head(vocab: DataFrame) -> tuple[list, bool]:
-    """Entries ``(token, id)`` for the look-up inside rows, and whether they are all there are."""
-    short = vocab.select("token", "id").filter(F.octet_length("token") <= HEAD_TOKEN_BYTES)
-    rows = short.orderBy("id", "token").limit(HEAD_ENTRIES).collect()
-    return [(r["token"], r["id"]) for r in rows], vocab.count() == len(rows)
+    """Entries ``(token, id)`` for the look-up inside rows, and whether they are all there are.
 
-
-def _row_lookup(entries: dict, spark: SparkSession, result: pa.DataType, ddl: str):
-    """A function of an array column: the value of every item, null where it is not an entry."""
-    shared = spark.sparkContext.broadcast(entries)
+    Ids usually count up from 0, so the smallest are found by a filter: a limit over sorted rows
+    would make every task send as many rows to the driver as are wanted in all.
+    """
+    is_short, is_low = F.octet_length("token") <= HEAD_TOKEN_BYTES, F.col("id") < HEAD_ENTRIES
+    n, n_short, n_low = vocab.agg(
+        F.count(F.lit(1)), F.count(F.when(is_short, 1)), F.count(F.when(is_short & is_low, 1))
+    ).first()
+    rows = vocab.select("token", "id").filter(is_short)
+    if n_short > HEAD_ENTRIES:
+        rows = rows.filter(is_low) if n_low <= HEAD_ENTRIES else rows.orderBy("id", "token").limit(HEAD_ENTRIES)
+    entries = [(r["token"], r["id"]) for r in rows.collect()]
+    entries.sort(key=lambda e: (e[1] is not None, e[1], e[0]))
+    return entries, n == len(entries)
+
+
+def _row_lookup(entries: dict, spark: SparkSession, kinds: tuple[pa.DataType, pa.DataType], ddl: str):
+    """A function of an array column: the value of every item, null where it is not an entry.
+
+    Workers hold the entries as two Arrow columns, a fraction of the size of a dictionary.
+    """
+    shared = spark.sparkContext.broadcast([pa.array(part, kind) for part, kind in zip((list(entries), list(entries.values())), kinds)])
 
     def look_up(lists: pa.Array) -> pa.Array:
+        keys, values = shared.value
         offsets = pc.subtract(lists.offsets, lists.offsets[0])
         coded = lists.flatten().dictionary_encode()
-        values = pa.array([shared.value.get(x) for x in coded.dictionary.to_pylist()], result)
-        return pa.ListArray.from_arrays(offsets, values.take(coded.indices))
+        found = values.take(pc.index_in(coded.dictionary, value_set=keys))
+        return pa.ListArray.from_arrays(offsets, found.take(coded.indices))
 
     return F.arrow_udf(look_up, f"array<{ddl}>")
 
@@ -94,7 +109,7 @@ def _resolve(rows: DataFrame, arrays: dict[str, Column], vocab: DataFrame, key:
     entries, whole = _head(vocab)
     types = {"token": (pa.string(), "string"), "id": (pa.int32(), "int")}
     pairs = {t: i for t, i in entries} if key == "token" else {i: t for t, i in entries}
-    look_up = _row_lookup(pairs, rows.sparkSession, *types[value])
+    look_up = _row_lookup(pairs, rows.sparkSession, (types[key][0], types[value][0]), types[value][1])
     items = {name: F.coalesce(a, F.array().cast(f"array<{types[key][1]}>")) for name, a in arrays.items()}
     if whole:
         return rows.withColumns({name: look_up(a) for name, a in items.items()})

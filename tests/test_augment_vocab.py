@@ -147,3 +147,14 @@ def test_rest_of_a_vocabulary_and_odd_column_names(spark, monkeypatch):
         coded = v.encode_columns(odd, table, {"ids": ("text", None)})
         assert coded.columns == [*odd.columns, "ids"]
         assert {r.row_id: r.ids for r in coded.collect()} == want
+
+
+def test_the_head_of_a_vocabulary_is_filtered_not_sorted(spark, monkeypatch):
+    """Each task of a sorted limit sends up to the whole limit to the driver."""
+    monkeypatch.setattr(vocab_module, "HEAD_ENTRIES", 40)
+    vocab = spark.range(200, numPartitions=8).selectExpr("concat('t', id) AS token", "cast(id AS int) AS id")
+    monkeypatch.setattr(type(vocab), "orderBy", lambda *_: pytest.fail("sorted limit"))
+    entries, whole = vocab_module._head(vocab)
+    assert entries == [(f"t{i}", i) for i in range(40)] and not whole
+    sparse = vocab.filter("id % 10 = 0").selectExpr("token", "id * 1000 AS id")
+    assert vocab_module._head(sparse) == ([(f"t{i}", i * 1000) for i in range(0, 200, 10)], True)
