@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ PUSH = 5.0  # pushes per pull
 # The published curve of the layout for a least distance of 0.1.
 CURVE_A, CURVE_B = 1.577, 0.895
 MOST_STEP = 4.0
+PAIR_CELLS = 1 << 18  # numbers of a block of pairs
 SEED = 0
 
 LINK = "node bigint, neighbour bigint, distance double"
@@ -52,62 +54,91 @@ def _distance(a: Column, b: Column) -> Column:
 
 def _best(links: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest of each node; a link that is already known keeps its mark."""
-    single = links.groupBy("node", "neighbour").agg(F.min("distance").alias("distance"), F.min("fresh").alias("fresh"))
+    # One exchange by node serves both the grouping and the ranks.
+    single = links.repartition("node").groupBy("node", "neighbour").agg(F.min("distance").alias("distance"), F.min("fresh").alias("fresh"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("distance", "neighbour"))
     return single.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
 
 
+def _packed(nodes: DataFrame) -> DataFrame:
+    """The vectors as floats where that loses nothing: half the bytes of every shuffle."""
+    whole = F.forall("_v", lambda x: x.isNull() | (x.cast("float").cast("double") == x))
+    return nodes.withColumn("_v", F.col("_v").cast("array<float>")) if nodes.filter(~whole).isEmpty() else nodes
+
+
 def _members(links: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame:
-    """``host, node, fresh, worst, _v``: for every host the rows it is linked with, and itself."""
+    """``host, node, fresh, worst, _v``: for every host with a fresh link the rows it is linked with, and itself."""
     forward = links.select(F.col("node").alias("host"), F.col("neighbour").alias("node"), "fresh")
     back = links.select(F.col("neighbour").alias("host"), "node", "fresh")
     drawn = F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("node", F.lit(turn))))
     back = back.withColumn("_rank", drawn).filter(F.col("_rank") <= k).drop("_rank")
     itself = nodes.select(F.col("node").alias("host"), "node", F.lit(False).alias("fresh"))
-    both = forward.unionByName(back).unionByName(itself).groupBy("host", "node").agg(F.max("fresh").alias("fresh"))
+    # Without a fresh link there is nothing to compare, so no vectors are sent.
+    live = forward.unionByName(back).unionByName(itself).withColumn("_live", F.max("fresh").over(Window.partitionBy("host")))
+    both = live.filter("_live").groupBy("host", "node").agg(F.max("fresh").alias("fresh"))
     worst = links.groupBy("node").agg(F.max("distance").alias("worst"))
     return both.join(nodes.select("node", "_v"), "node").join(worst, "node")
 
 
-def _compare(members: DataFrame, k: int) -> DataFrame:
-    """New links closer than the worst that their node has; one host's members at a time, ``2 * k + 1`` at most."""
+def _pairs(sizes: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs with a fresh row among groups of consecutive rows."""
+    shapes: dict[int, tuple] = {}
+    firsts, seconds = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at, size in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist()):
+        if size not in shapes:
+            shapes[size] = np.triu_indices(size, 1)
+        i, j = shapes[size]
+        firsts.append(i + at)
+        seconds.append(j + at)
+    i, j = np.concatenate(firsts), np.concatenate(seconds)
+    useful = fresh[i] | fresh[j]
+    return i[useful], j[useful]
 
-    def found(nodes: np.ndarray, fresh: np.ndarray, worst: np.ndarray, vectors: np.ndarray) -> Iterator[tuple]:
-        gaps = vectors[:, None] - vectors[None]
-        d = np.sqrt((gaps * gaps).sum(2))
-        useful = (fresh[:, None] | fresh[None]) & (d < worst[:, None])
-        np.fill_diagonal(useful, False)
-        d = np.where(useful, d, np.inf)
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        for i, near in enumerate(order.tolist()):
-            for j in near:
-                if d[i, j] < np.inf:
-                    yield nodes[i], nodes[j], d[i, j]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, held = None, []
+def _compare(members: DataFrame, k: int) -> DataFrame:
+    """New links closer than the worst that their node has; one host's members at a time, ``2 * k + 1`` at most."""
 
-        def made(rows: list) -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [(), (), ()]
-            kinds = (pa.int64(), pa.int64(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["node", "neighbour", "distance"])
+    def found(hosts: np.ndarray, nodes: np.ndarray, fresh: np.ndarray, worst: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate(([True], hosts[1:] != hosts[:-1])))
+        i, j = _pairs(np.diff(np.append(starts, len(hosts))), fresh)
+        d = np.empty(len(i))
+        step = max(1, PAIR_CELLS // max(1, vectors.shape[1]))
+        for at in range(0, len(i), step):
+            gaps = vectors[i[at : at + step]] - vectors[j[at : at + step]]
+            d[at : at + step] = np.sqrt((gaps * gaps).sum(1))
+        closer, back = d < worst[i], d < worst[j]
+        own, other = np.concatenate((i[closer], j[back])), np.concatenate((j[closer], i[back]))
+        d = np.concatenate((d[closer], d[back]))
+        order = np.lexsort((other, d, own))
+        own, other, d = own[order], other[order], d[order]
+        first = np.searchsorted(own, own)  # where the links of this row begin
+        near = np.arange(len(own)) - first < k
+        return pa.RecordBatch.from_arrays(
+            [pa.array(nodes[own[near]]), pa.array(nodes[other[near]]), pa.array(d[near])], names=["node", "neighbour", "distance"]
+        )
 
-        def closed(held: list) -> list:
-            nodes, fresh, worst, vectors = zip(*held)
-            return list(found(np.array(nodes), np.array(fresh), np.array(worst), np.array(vectors, float)))
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        lists = batch["_v"]
+        width = len(lists[0])
+        if pc.any(pc.not_equal(pc.list_value_length(lists), width)).as_py():
+            raise ValueError("vectors differ in length")
+        vectors = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), width)
+        return [*[batch[c].to_numpy(zero_copy_only=False) for c in ("host", "node", "fresh", "worst")], vectors]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the members of the last host, which may go on in the next batch
         for batch in batches:
-            rows = []
-            for own, *row in zip(*[batch[c].to_pylist() for c in ("host", "node", "fresh", "worst", "_v")]):
-                if own != host:
-                    if held:
-                        rows += closed(held)
-                    host, held = own, []
-                held.append(row)
-            if rows:
-                yield made(rows)
-        if held:
-            yield made(closed(held))
+            if not len(batch):
+                continue
+            rows = columns(batch)
+            if held is not None:
+                rows = [np.concatenate(c) for c in zip(held, rows)]
+            last = np.searchsorted(rows[0], rows[0][-1])
+            held = [c[last:] for c in rows]
+            if last:
+                yield found(*[c[:last] for c in rows])
+        if held is not None:
+            yield found(*held)
 
     return members.repartition("host").sortWithinPartitions("host", "node").mapInArrow(run, LINK)
 
@@ -117,13 +148,15 @@ def _graph(nodes: DataFrame, k: int, rounds: int) -> DataFrame:
     k = min(k, n - 1)
     if k < 1:
         return nodes.select("node", F.lit(None).cast("bigint").alias("neighbour"), F.lit(None).cast("double").alias("distance")).limit(0)
-    first = nodes.select("node", "_v", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("step"))
+    packed = _packed(nodes)
+    first = packed.select("node", "_v", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("step"))
     first = first.withColumn("neighbour", F.pmod(F.col("node") + F.col("step"), F.lit(n)))
-    other = nodes.select(F.col("node").alias("neighbour"), F.col("_v").alias("_w"))
-    links = first.join(other, "neighbour").select("node", "neighbour", _distance(F.col("_v"), F.col("_w")).alias("distance"), F.lit(True).alias("fresh"))
+    other = packed.select(F.col("node").alias("neighbour"), F.col("_v").alias("_w"))
+    apart = _distance(*[F.col(c).cast("array<double>") for c in ("_v", "_w")])
+    links = first.join(other, "neighbour").select("node", "neighbour", apart.alias("distance"), F.lit(True).alias("fresh"))
     links = materialise(links, "links")
     for turn in range(rounds):
-        closer = _compare(_members(links, nodes, k, turn), k).withColumn("fresh", F.lit(True))
+        closer = _compare(_members(links, packed, k, turn), k).withColumn("fresh", F.lit(True))
         known = links.withColumn("fresh", F.lit(False))
         links = materialise(_best(known.unionByName(closer), k), "links")
         if links.filter("fresh").count() <= SETTLED * n * k:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tagloom.operators.neighbours import neighbour_graph, neighbour_layout
+from tagloom.operators.neighbours import _compare, _members, _packed, neighbour_graph, neighbour_layout
 
 
 def brute(vectors, k):
@@ -59,3 +59,39 @@ def test_few_equal_and_missing_rows(spark):
     assert all(np.isfinite(r.point).all() for r in neighbour_layout(frame, "vec_id", "embedding", epochs=2).collect())
     assert neighbour_graph(frame.limit(0), "vec_id", "embedding").count() == 0
     assert neighbour_layout(frame.filter("vec_id = 1"), "vec_id", "embedding").count() == 1
+
+
+def test_only_hosts_with_fresh_links_take_part(spark):
+    nodes = spark.createDataFrame([(i, [float(i), 0.5]) for i in range(6)], "node long, _v array<double>")
+    ring = [(i, (i + 1) % 6, 1.0, i == 0) for i in range(6)]
+    links = spark.createDataFrame(ring, "node long, neighbour long, distance double, fresh boolean")
+    assert {r.host for r in _members(links, nodes, 2, 0).collect()} == {0, 1}
+    assert _members(links.withColumn("fresh", links.fresh & False), nodes, 2, 0).count() == 0
+
+
+def test_vectors_are_packed_only_without_loss(spark):
+    rows = [(1, [0.5, None]), (2, [float("nan"), 3.0])]
+    assert dict(_packed(spark.createDataFrame(rows, "node long, _v array<double>")).dtypes)["_v"] == "array<float>"
+    rows.append((3, [0.1, 1.0]))
+    assert dict(_packed(spark.createDataFrame(rows, "node long, _v array<double>")).dtypes)["_v"] == "array<double>"
+
+
+def test_hosts_that_span_batches(spark):
+    rng = np.random.default_rng(5)
+    hosts, k = 7, 3
+    rows = [(h, n, bool(rng.random() < 0.4), 1.5, rng.normal(0, 1, 4).tolist()) for h in range(hosts) for n in range(9)]
+    members = spark.createDataFrame(rows, "host long, node long, fresh boolean, worst double, _v array<double>")
+    want = []
+    for h in range(hosts):
+        own = [r for r in rows if r[0] == h]
+        for a in own:
+            d = sorted((np.sqrt(((np.array(a[4]) - b[4]) ** 2).sum()), b[1]) for b in own if b is not a and (a[2] or b[2]))
+            want += [(a[1], n, x) for x, n in d[:k] if x < a[3]]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = sorted(tuple(r) for r in _compare(members, k).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+    assert np.allclose([g[2] for g in got], [w[2] for w in sorted(want)])
