@@ -15,8 +15,8 @@ from tagloom.session import materialise
 ANALYZERS = ("kkma", "hannanum", "komoran", "mecab", "okt")
 
 
-# A printed string in either kind of quotes, with backslash escapes.
-PRINTED = r"""'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+\""""
+# A printed string in either kind of quotes, with backslash escapes; group 1 is what the quotes enclose.
+PRINTED = r"""['"]((?<=')(?:[^'\\]++|\\.)*+(?=')|(?<=")(?:[^"\\]++|\\.)*+(?="))['"]"""
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
@@ -50,9 +50,10 @@ def read_tagged_csv(spark: SparkSession, path: str, multi_line: bool = False) ->
 
 def parse_list(cell):
     """A list printed as ``['a', "b'c"]`` back to an array; empty strings are left out."""
-    items = F.regexp_extract_all(cell, F.lit(PRINTED), F.lit(0))
-    bare = F.transform(items, lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.char_length(x) - 2), r"\\(.)", "$1"))
-    return F.filter(bare, lambda x: x != "")
+    items = F.regexp_extract_all(cell, F.lit(PRINTED), F.lit(1))
+    # Few cells hold a backslash; only their items are searched by pattern one by one.
+    bare = F.transform(items, lambda x: F.regexp_replace(x, r"\\(.)", "$1"))
+    return F.array_remove(F.when(F.contains(cell, F.lit("\\")), bare).otherwise(items), "")
 
 
 def noun_documents(wide: DataFrame, analyzers: Sequence[str] = ANALYZERS) -> DataFrame:

@@ -92,6 +92,18 @@ def test_noun_csv(spark, tmp_path):
     assert docs == {"kkma": ["가방", "나라"], "hannanum": [], "komoran": ["x"], "mecab": ["y", "y"], "okt": ["z"]}
 
 
+def test_printed_lists_in_odd_forms(spark):
+    cells = ["['a', \"b'c\", '', 'd\\\\e', 'f\\'g']", "['open, \"x\"", "'a\"b' \"c", "'" + '"' * 20000 + "'", "['\\\n']", "[]", "", None]
+    rows = spark.createDataFrame(list(enumerate(cells)), "i long, c string")
+    found = [r.v for r in rows.select("i", parse_list(F.col("c")).alias("v")).orderBy("i").collect()]
+    assert found == [["a", "b'c", "d\\e", "f'g"], ["x"], ['a"b'], ['"' * 20000], [], [], [], None]
+
+
+def test_plain_lists_are_not_searched_item_by_item(spark):
+    plan = spark.range(1).select(parse_list(F.col("id").cast("string")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN Contains" in plan and "filter(" not in plan and "substring(" not in plan
+
+
 def test_result_rows(spark):
     pairs = spark.createDataFrame([(1, "p: a:PS", "p: b:PS"), (2, "c:LC", "p:")], "row_id long, pred string, label string")
     rows = {r.row_id: (r.pred, r.label) for r in pred_label_rows(pairs, "p:").collect()}
