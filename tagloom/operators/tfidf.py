@@ -35,6 +35,11 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD_REGEX), F.lit(0)))
 
 
+def noun_terms(nouns: Column) -> Column:
+    """The terms of ``noun_text(nouns)``; repeated nouns add none, so they are dropped before any pattern is matched."""
+    return terms(noun_text(F.array_distinct(nouns)))
+
+
 def vocabulary(docs: DataFrame, max_features: int = MAX_FEATURES, by: Sequence[str] = ()) -> DataFrame:
     """``term, df, idf`` of the ``max_features`` terms with the highest document frequency.
 
@@ -133,7 +138,7 @@ def tfidf(docs: DataFrame, max_features: int = MAX_FEATURES, by: Sequence[str] =
 
     The term arrays are written once: vocabulary, document count and weights all read them.
     """
-    prepared = materialise(term_documents(docs, noun_text(F.col("nouns")), *by, "doc_id"), "terms")
+    prepared = materialise(docs.select(*by, "doc_id", noun_terms(F.col("nouns")).alias("terms")), "terms")
     return weights(prepared, materialise(vocabulary(prepared, max_features, by), "vocabulary"), by)
 
 

@@ -15,7 +15,7 @@ from tagloom.operators import cluster
 from tagloom.operators import silhouette as silhouette_module
 from tagloom.operators import tfidf as tfidf_module
 from tagloom.operators.silhouette import silhouette_exact, silhouette_profile, silhouette_squared
-from tagloom.operators.tfidf import noun_text, term_documents, tfidf, tfidf_vectors, vocabulary
+from tagloom.operators.tfidf import noun_terms, noun_text, term_documents, terms, tfidf, tfidf_vectors, vocabulary
 from tagloom.plans.explore import documents_2d, sweep_means, sweep_scores
 
 DOCS = [
@@ -232,3 +232,10 @@ def test_distances_of_a_tile_take_no_pass_per_dimension():
     found = silhouette_module._distances(a, b)
     assert found == pytest.approx(np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)), rel=1e-9, abs=1e-15)
     assert (np.diag(found)[:20] == 0).all()
+
+
+def test_repeated_nouns_are_dropped_before_terms_are_matched(spark):
+    rows = [(1, ["ab-cd", "AB", None, "ab-cd", "x", "ef"]), (2, []), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, nouns array<string>")
+    found = docs.select("doc_id", noun_terms(F.col("nouns")).alias("v"), terms(noun_text(F.col("nouns"))).alias("w")).collect()
+    assert {r.doc_id: r.v for r in found} == {1: ["ab", "cd", "ef"], 2: [], 3: None} and all(r.v == r.w for r in found)
