@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -115,16 +114,23 @@ def projected(docs: DataFrame, entries: list, axes) -> DataFrame:
 
     Row-local; a document without any kept term is at the origin.
     """
-    table = {e["term"]: (e["idf"], float(x), float(y)) for e, (x, y) in zip(entries, axes)}
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    table = {e["term"]: i for i, e in enumerate(entries, 1)}
+    idf = np.array([0.0, *[e["idf"] for e in entries]])
+    shared = docs.sparkSession.sparkContext.broadcast((table, idf, np.vstack([np.zeros((1, 2)), axes])))
 
     def place(found: pa.Array) -> pa.Array:
-        out = []
-        for words in found.to_pylist():
-            hits = [shared.value[w] for w in words or () if w in shared.value]
-            norm = math.sqrt(sum(idf * idf for idf, _, _ in hits)) or 1.0
-            out.append([sum(idf * x for idf, x, _ in hits) / norm, sum(idf * y for idf, _, y in hits) / norm])
-        return pa.array(out, pa.list_(pa.float64()))
+        # One look-up per distinct term of the batch; number 0 stands for terms that are not kept.
+        table, idf, axes = shared.value
+        sizes = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+        coded = found.flatten().dictionary_encode()
+        numbers = np.array([table.get(w, 0) for w in coded.dictionary.to_pylist()] or [0])
+        entry = numbers[pc.fill_null(coded.indices, 0).to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        own = idf[entry]
+        norm = np.sqrt(np.bincount(rows, own * own, len(sizes)))
+        norm[norm == 0] = 1.0
+        sums = np.column_stack([np.bincount(rows, own * axes[entry, i], len(sizes)) / norm for i in (0, 1)])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(sizes) + 1, 2), pa.int32()), pa.array(sums.ravel()))
 
     return docs.select("doc_id", F.arrow_udf(place, "array<double>")("terms").alias("point"))
 

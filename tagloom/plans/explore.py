@@ -12,9 +12,8 @@ from tagloom.operators.cluster import SWEEP, kmeans_labels, svd_axes
 from tagloom.operators.silhouette import silhouette_exact, silhouette_squared
 from tagloom.operators.tfidf import (
     MAX_FEATURES,
-    noun_text,
+    noun_terms,
     projected,
-    term_documents,
     tfidf_vectors,
     vocabulary,
     vocabulary_entries,
@@ -25,7 +24,10 @@ from tagloom.sources.tables import ANALYZERS
 
 def documents_2d(docs: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     """``doc_id, point`` of every row of ``doc_id, nouns``."""
-    terms = materialise(term_documents(docs, noun_text(F.col("nouns")), "doc_id"), "terms")
+    return _terms_2d(materialise(docs.select("doc_id", noun_terms(F.col("nouns")).alias("terms")), "terms"), max_features)
+
+
+def _terms_2d(terms: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     vocab = materialise(vocabulary(terms, max_features), "vocabulary")
     entries = vocabulary_entries(vocab)
     if not entries:
@@ -34,10 +36,14 @@ def documents_2d(docs: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame
 
 
 def sweep_by_analyzer(wide: DataFrame, analyzers: Sequence[str] = ANALYZERS, ks: Sequence[int] = SWEEP) -> DataFrame:
-    """``analyzer, k, silhouette, n_rows``: 2-D reduction and sweep for each noun column."""
+    """``analyzer, k, silhouette, n_rows``: 2-D reduction and sweep for each noun column.
+
+    One pass over ``wide`` writes the terms of all analyzers; each reduction reads its own column.
+    """
+    stored = materialise(wide.select("doc_id", *[noun_terms(F.col(f"{a}_nouns")).alias(f"{a}_terms") for a in analyzers]), "terms")
     parts = []
     for name in analyzers:
-        points = documents_2d(wide.select("doc_id", F.col(f"{name}_nouns").alias("nouns")))
+        points = _terms_2d(stored.select("doc_id", F.col(f"{name}_terms").alias("terms")))
         means = sweep_means(sweep_scores(points, "doc_id", ks))
         parts.append(means.select(F.lit(name).alias("analyzer"), "k", "silhouette", "n_rows"))
     return reduce(DataFrame.unionByName, parts)

@@ -15,8 +15,10 @@ from tagloom.operators import cluster
 from tagloom.operators import silhouette as silhouette_module
 from tagloom.operators import tfidf as tfidf_module
 from tagloom.operators.silhouette import silhouette_exact, silhouette_profile, silhouette_squared
-from tagloom.operators.tfidf import noun_terms, noun_text, term_documents, terms, tfidf, tfidf_vectors, vocabulary
+from tagloom.operators.tfidf import noun_terms, noun_text, projected, term_documents, terms, tfidf, tfidf_vectors, vocabulary
+from tagloom.plans import explore
 from tagloom.plans.explore import documents_2d, sweep_means, sweep_scores
+from tagloom.session import materialise
 
 DOCS = [
     (0, ["Alpha", "beta", "beta", "x"]),
@@ -239,3 +241,20 @@ def test_repeated_nouns_are_dropped_before_terms_are_matched(spark):
     docs = spark.createDataFrame(rows, "doc_id long, nouns array<string>")
     found = docs.select("doc_id", noun_terms(F.col("nouns")).alias("v"), terms(noun_text(F.col("nouns"))).alias("w")).collect()
     assert {r.doc_id: r.v for r in found} == {1: ["ab", "cd", "ef"], 2: [], 3: None} and all(r.v == r.w for r in found)
+
+
+def test_sweep_writes_the_terms_of_all_analyzers_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(explore, "materialise", lambda df, name: written.append(name) or materialise(df, name))
+    rows = [(i, [f"w{i % 3}", f"v{i % 4}", "all"], [f"u{i % 2}", "all"]) for i in range(12)]
+    wide = spark.createDataFrame(rows, "doc_id long, a_nouns array<string>, b_nouns array<string>")
+    got = explore.sweep_by_analyzer(wide, ("a", "b"), (2,)).collect()
+    assert sorted((r.analyzer, r.k, r.n_rows) for r in got) == [("a", 2, 12), ("b", 2, 12)]
+    assert written.count("terms") == 1
+
+
+def test_projection_of_documents_on_axes(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "zz"]), (2, ["zz"]), (3, []), (4, None)], "doc_id long, terms array<string>")
+    entries, axes = [{"term": "a", "idf": 3.0}, {"term": "b", "idf": 4.0}], [(1.0, 0.5), (0.0, 2.0)]
+    got = {r.doc_id: r.point for r in projected(docs, entries, axes).collect()}
+    assert got == {1: pytest.approx([0.6, 1.9]), 2: [0.0, 0.0], 3: [0.0, 0.0], 4: [0.0, 0.0]}
