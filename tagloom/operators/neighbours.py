@@ -4,7 +4,8 @@ The graph starts from random neighbours and gets better by the rule that neighbo
 likely neighbours: in a round every row compares the rows that it is linked with, in either direction, among
 each other, and each of them learns of closer ones. Only links that changed in the round before lead to
 new comparisons. A row takes part with at most ``2 * k`` partners per round, drawn evenly from the
-rows that link to it, so rows that very many others link to stay cheap.
+rows that link to it, so rows that very many others link to stay cheap. Hosts are compared in parts of bounded
+size, and a part gets a vector once, however many of its hosts are linked with it.
 
 The layout starts from two principal components. Links pull their ends together, weighted by how close they are
 on the scale of the row's own neighbourhood; rows drawn anew in each epoch push all others away.
@@ -37,6 +38,10 @@ PUSH = 5.0  # pushes per pull
 CURVE_A, CURVE_B = 1.577, 0.895
 MOST_STEP = 4.0
 PAIR_CELLS = 1 << 18  # numbers of a block of pairs
+MEMBER_ROWS = 1 << 14  # members that are compared at a time
+FOUND_ROWS = 1 << 21  # new links that a part keeps before it drops the farther ones
+PART_BYTES = 320 << 20  # vectors and members of a part
+MEMBER_BYTES = 64  # of a member's ids and of what is found for it
 SEED = 0
 
 LINK = "node bigint, neighbour bigint, distance double"
@@ -48,10 +53,6 @@ def _nodes(points: DataFrame, key: str, vector: str) -> DataFrame:
     return materialise(number_by_hash(rows, [F.col("_key"), F.lit(SEED)], [F.col("_key")], name="node"), "nodes")
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
-
 def _best(links: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest of each node; a link that is already known keeps its mark."""
     # One exchange by node serves both the grouping and the ranks.
@@ -66,18 +67,21 @@ def _packed(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("_v", F.col("_v").cast("array<float>")) if nodes.filter(~whole).isEmpty() else nodes
 
 
-def _members(links: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame:
-    """``host, node, fresh, worst, _v``: for every host with a fresh link the rows it is linked with, and itself."""
-    forward = links.select(F.col("node").alias("host"), F.col("neighbour").alias("node"), "fresh")
-    back = links.select(F.col("neighbour").alias("host"), "node", "fresh")
-    drawn = F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("node", F.lit(turn))))
-    back = back.withColumn("_rank", drawn).filter(F.col("_rank") <= k).drop("_rank")
-    itself = nodes.select(F.col("node").alias("host"), "node", F.lit(False).alias("fresh"))
+def _members(links: DataFrame, nodes: DataFrame, k: int, turn: int, size: int = 1, parts: int = 0) -> DataFrame:
+    """``part, host, node, fresh``: for every host with a fresh link the rows it is linked with, and itself.
+
+    A part is ``size`` hosts that follow each other; all its rows are in one task, after a single exchange.
+    """
+    forward = links.select(F.col("node").alias("host"), F.col("neighbour").alias("node"), "fresh", F.lit(False).alias("_back"))
+    back = links.select(F.col("neighbour").alias("host"), "node", "fresh", F.lit(True).alias("_back"))
+    itself = nodes.select(F.col("node").alias("host"), "node", F.lit(False).alias("fresh"), F.lit(False).alias("_back"))
+    every = forward.unionByName(back).unionByName(itself).withColumn("part", F.floor(F.col("host") / F.lit(size)))
+    every = every.repartition(parts, "part") if parts else every.repartition("part")
+    drawn = F.row_number().over(Window.partitionBy("part", "host", "_back").orderBy(F.xxhash64("node", F.lit(turn))))
+    every = every.withColumn("_rank", drawn).filter(~F.col("_back") | (F.col("_rank") <= k))
     # Without a fresh link there is nothing to compare, so no vectors are sent.
-    live = forward.unionByName(back).unionByName(itself).withColumn("_live", F.max("fresh").over(Window.partitionBy("host")))
-    both = live.filter("_live").groupBy("host", "node").agg(F.max("fresh").alias("fresh"))
-    worst = links.groupBy("node").agg(F.max("distance").alias("worst"))
-    return both.join(nodes.select("node", "_v"), "node").join(worst, "node")
+    live = every.withColumn("_live", F.max("fresh").over(Window.partitionBy("part", "host"))).filter("_live")
+    return live.groupBy("part", "host", "node").agg(F.max("fresh").alias("fresh"))
 
 
 def _pairs(sizes: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,35 +99,49 @@ def _pairs(sizes: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return i[useful], j[useful]
 
 
+def _nearest(own: np.ndarray, other: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest others of each row, every pair once."""
+    order = np.lexsort((other, d, own))
+    own, other, d = own[order], other[order], d[order]
+    once = np.ones(len(own), bool)
+    once[1:] = (own[1:] != own[:-1]) | (other[1:] != other[:-1])
+    own, other, d = own[once], other[once], d[once]
+    near = np.arange(len(own)) - np.searchsorted(own, own) < k
+    return own[near], other[near], d[near]
+
+
+def _closer(
+    hosts: np.ndarray, nodes: np.ndarray, fresh: np.ndarray, worst: np.ndarray, vectors: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """New links among members of the same host, which follow each other, closer than the worst that their node has."""
+    starts = np.flatnonzero(np.concatenate(([True], hosts[1:] != hosts[:-1])))
+    i, j = _pairs(np.diff(np.append(starts, len(hosts))), fresh)
+    d = np.empty(len(i))
+    step = max(1, PAIR_CELLS // max(1, vectors.shape[1]))
+    for at in range(0, len(i), step):
+        gaps = vectors[i[at : at + step]] - vectors[j[at : at + step]]
+        d[at : at + step] = np.sqrt((gaps * gaps).sum(1))
+    closer, back = d < worst[i], d < worst[j]
+    own, other = np.concatenate((i[closer], j[back])), np.concatenate((j[closer], i[back]))
+    return _nearest(nodes[own], nodes[other], np.concatenate((d[closer], d[back])), k)
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """The vectors as rows; a null number is NaN."""
+    width = len(lists[0])
+    if pc.any(pc.not_equal(pc.list_value_length(lists), width)).as_py():
+        raise ValueError("vectors differ in length")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), width)
+
+
 def _compare(members: DataFrame, k: int) -> DataFrame:
-    """New links closer than the worst that their node has; one host's members at a time, ``2 * k + 1`` at most."""
-
-    def found(hosts: np.ndarray, nodes: np.ndarray, fresh: np.ndarray, worst: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.concatenate(([True], hosts[1:] != hosts[:-1])))
-        i, j = _pairs(np.diff(np.append(starts, len(hosts))), fresh)
-        d = np.empty(len(i))
-        step = max(1, PAIR_CELLS // max(1, vectors.shape[1]))
-        for at in range(0, len(i), step):
-            gaps = vectors[i[at : at + step]] - vectors[j[at : at + step]]
-            d[at : at + step] = np.sqrt((gaps * gaps).sum(1))
-        closer, back = d < worst[i], d < worst[j]
-        own, other = np.concatenate((i[closer], j[back])), np.concatenate((j[closer], i[back]))
-        d = np.concatenate((d[closer], d[back]))
-        order = np.lexsort((other, d, own))
-        own, other, d = own[order], other[order], d[order]
-        first = np.searchsorted(own, own)  # where the links of this row begin
-        near = np.arange(len(own)) - first < k
-        return pa.RecordBatch.from_arrays(
-            [pa.array(nodes[own[near]]), pa.array(nodes[other[near]]), pa.array(d[near])], names=["node", "neighbour", "distance"]
-        )
+    """New links by ``_closer`` where every member carries its vector; one host's members at a time, ``2 * k + 1`` at most."""
+
+    def found(*rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in _closer(*rows, k)], names=["node", "neighbour", "distance"])
 
     def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-        lists = batch["_v"]
-        width = len(lists[0])
-        if pc.any(pc.not_equal(pc.list_value_length(lists), width)).as_py():
-            raise ValueError("vectors differ in length")
-        vectors = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), width)
-        return [*[batch[c].to_numpy(zero_copy_only=False) for c in ("host", "node", "fresh", "worst")], vectors]
+        return [*[batch[c].to_numpy(zero_copy_only=False) for c in ("host", "node", "fresh", "worst")], _matrix(batch["_v"]).astype(float)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the members of the last host, which may go on in the next batch
@@ -143,20 +161,92 @@ def _compare(members: DataFrame, k: int) -> DataFrame:
     return members.repartition("host").sortWithinPartitions("host", "node").mapInArrow(run, LINK)
 
 
+def _compare_parts(members: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """As ``_compare``, but a part of the hosts gets each of its vectors once, from ``rows``: ``node, worst, _v``."""
+
+    def run(key: tuple, ids: pa.Table, table: pa.Table) -> pa.Table:
+        known = table["_node"].to_numpy()
+        order = np.argsort(known)
+        known, worst = known[order], table["worst"].to_numpy()[order]
+        vectors = _matrix(table["_v"].combine_chunks())
+        hosts, nodes, fresh = (ids[c].to_numpy() for c in ("host", "node", "fresh"))
+        by_host = np.lexsort((nodes, hosts))
+        hosts, nodes, fresh = hosts[by_host], nodes[by_host], fresh[by_host]
+        found, held, at = [], 0, 0
+        while at < len(hosts):
+            end = np.searchsorted(hosts, hosts[min(at + MEMBER_ROWS, len(hosts) - 1)], "right")
+            place = np.searchsorted(known, nodes[at:end])
+            found.append(_closer(hosts[at:end], nodes[at:end], fresh[at:end], worst[place], vectors[order[place]].astype(float), k))
+            held += len(found[-1][0])
+            if held > FOUND_ROWS:
+                found = [_nearest(*[np.concatenate(c) for c in zip(*found)], k)]
+                held = len(found[0][0]) // 2  # the next time after as many new ones at least
+            at = end
+        found = _nearest(*[np.concatenate(c) for c in zip(*found)], k)
+        return pa.table([pa.array(c) for c in found], names=["node", "neighbour", "distance"])
+
+    wanted = members.select("part", "node").distinct().join(rows, "node")
+    wanted = wanted.select(F.col("part").alias("_part"), F.col("node").alias("_node"), "worst", "_v")
+    return members.groupBy("part").cogroup(wanted.groupBy("_part")).applyInArrow(run, LINK)
+
+
+def _first_links(nodes: DataFrame, n: int, k: int, size: int) -> DataFrame:
+    """Links to the ``k`` rows that follow, as their numbers are random: a part needs its own rows and the next ``k``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        known = table["node"].to_numpy()
+        order = np.argsort(known)
+        known = known[order]
+        lists = table["_v"].combine_chunks()
+        vectors = _matrix(lists)
+        missing = pc.is_null(lists.flatten()).to_numpy(zero_copy_only=False).reshape(vectors.shape).any(1)
+        own = known[known // size == table["part"][0].as_py()]
+        step, out = max(1, PAIR_CELLS // max(1, vectors.shape[1])), []
+        for at in range(0, len(own) * k, step):
+            pair = np.arange(at, min(at + step, len(own) * k))
+            node = own[pair // k]
+            neighbour = (node + pair % k + 1) % n
+            i, j = (order[np.searchsorted(known, x)] for x in (node, neighbour))
+            gaps = vectors[i].astype(float) - vectors[j]
+            d = np.sqrt(np.cumsum(gaps * gaps, axis=1)[:, -1]) if gaps.shape[1] else np.zeros(len(pair))
+            out.append(pa.table([pa.array(node), pa.array(neighbour), pa.array(d, mask=missing[i] | missing[j])], names=["node", "neighbour", "distance"]))
+        return pa.concat_tables(out)
+
+    needed = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda s: F.floor(F.pmod(F.col("node") - s, F.lit(n)) / F.lit(size)))
+    copies = nodes.select(F.explode(F.array_distinct(needed)).alias("part"), "node", "_v")
+    return copies.groupBy("part").applyInArrow(run, LINK)
+
+
+def _part_sizes(n: int, k: int, vector_bytes: int, cores: int) -> tuple[int, int]:
+    """Hosts of a part while links lead to following numbers, and later; 1 where parts would be too many to share vectors.
+
+    A part holds its vectors and members in memory. At first it has about as many vectors as hosts, later up to
+    ``2 * k + 1`` times as many, but never more than there are.
+    """
+    most, ids = -(-n // max(1, cores)), (2 * k + 1) * MEMBER_BYTES
+    first = max(1, min(most, PART_BYTES // (vector_bytes + ids)))
+    size = max(1, min(most, PART_BYTES // ((2 * k + 1) * vector_bytes + ids)))
+    size = max(size, min(most, (PART_BYTES - n * vector_bytes) // ids))
+    return first, size if size * 8 * (2 * k + 1) >= n else 1
+
+
 def _graph(nodes: DataFrame, k: int, rounds: int) -> DataFrame:
     n = nodes.count()
     k = min(k, n - 1)
     if k < 1:
         return nodes.select("node", F.lit(None).cast("bigint").alias("neighbour"), F.lit(None).cast("double").alias("distance")).limit(0)
     packed = _packed(nodes)
-    first = packed.select("node", "_v", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("step"))
-    first = first.withColumn("neighbour", F.pmod(F.col("node") + F.col("step"), F.lit(n)))
-    other = packed.select(F.col("node").alias("neighbour"), F.col("_v").alias("_w"))
-    apart = _distance(*[F.col(c).cast("array<double>") for c in ("_v", "_w")])
-    links = first.join(other, "neighbour").select("node", "neighbour", apart.alias("distance"), F.lit(True).alias("fresh"))
-    links = materialise(links, "links")
+    width = nodes.agg(F.max(F.size("_v"))).first()[0]
+    cell = 4 if dict(packed.dtypes)["_v"] == "array<float>" else 8
+    first, later = _part_sizes(n, k, width * cell, nodes.sparkSession.sparkContext.defaultParallelism)
+    links = materialise(_first_links(packed, n, k, first).withColumn("fresh", F.lit(True)), "links")
     for turn in range(rounds):
-        closer = _compare(_members(links, packed, k, turn), k).withColumn("fresh", F.lit(True))
+        size = later if turn else first
+        # Several partitions for a part, so that few tasks get two of them.
+        members = _members(links, packed, k, turn, size, 8 * -(-n // size) if size > 1 else 0)
+        rows = packed.select("node", "_v").join(links.groupBy("node").agg(F.max("distance").alias("worst")), "node")
+        closer = _compare_parts(members, rows, k) if size > 1 else _compare(members.join(rows, "node"), k)
+        closer = closer.withColumn("fresh", F.lit(True))
         known = links.withColumn("fresh", F.lit(False))
         links = materialise(_best(known.unionByName(closer), k), "links")
         if links.filter("fresh").count() <= SETTLED * n * k:

@@ -2,8 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tagloom.operators.neighbours import _compare, _members, _packed, neighbour_graph, neighbour_layout
+from tagloom.operators import neighbours
+from tagloom.operators.neighbours import _best, _compare, _compare_parts, _first_links, _members, _packed, _part_sizes, neighbour_graph, neighbour_layout
+from tagloom.session import materialise
 
 
 def brute(vectors, k):
@@ -95,3 +98,72 @@ def test_hosts_that_span_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
     assert np.allclose([g[2] for g in got], [w[2] for w in sorted(want)])
+
+
+@pytest.fixture
+def plain_plans(spark):
+    """One task for a shuffle, and no broadcasts."""
+    conf = {"spark.sql.shuffle.partitions": "1", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {c: spark.conf.get(c) for c in conf}
+    for c, value in conf.items():
+        spark.conf.set(c, value)
+    yield
+    for c, value in before.items():
+        spark.conf.set(c, value)
+
+
+def test_pairs_met_at_two_hosts_count_once(spark, plain_plans):
+    # The members of the last host are compared on their own.
+    rows = [(h, n, True, 9.0, [float(n)]) for h in range(9) for n in range(4)] + [(99, n, True, 9.0, [float(n)]) for n in (50, 51)]
+    members = spark.createDataFrame(rows, "host long, node long, fresh boolean, worst double, _v array<double>")
+    got = {(r.node, r.neighbour) for r in _compare(members.coalesce(1), 2).collect()}
+    assert got == {(0, 1), (0, 2), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2), (3, 1), (50, 51), (51, 50)}
+
+
+def test_parts_find_what_hosts_find(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    n, k = 60, 4
+    nodes = spark.createDataFrame([(i, rng.normal(0, 1, 5).tolist()) for i in range(n)], "node long, _v array<double>")
+    first = {}
+    for size in (7, 60):
+        links = _first_links(nodes, n, k, size).collect()
+        first[size] = sorted(tuple(r) for r in links)
+    assert first[7] == first[60] and [r[:2] for r in first[7]] == sorted((i, (i + s) % n) for i in range(n) for s in range(1, k + 1))
+    links = spark.createDataFrame([(*r, True) for r in first[7]], "node long, neighbour long, distance double, fresh boolean")
+    rows = nodes.join(links.groupBy("node").agg(F.max("distance").alias("worst")), "node")
+    best = {}
+    monkeypatch.setattr(neighbours, "MEMBER_ROWS", 20)
+    for size in (1, 7, 60):
+        members = _members(links, nodes, k, 0, size)
+        closer = _compare_parts(members, rows, k) if size > 1 else _compare(members.join(rows, "node"), k)
+        closer = closer.withColumn("fresh", F.lit(True))
+        best[size] = sorted(tuple(r) for r in _best(links.withColumn("fresh", F.lit(False)).unionByName(closer), k).collect())
+    assert best[1] == best[7] == best[60] and any(r[3] for r in best[1])
+
+
+def test_missing_numbers_and_lengths(spark):
+    rows = [(0, [0.0, 1.0]), (1, [None, 1.0]), (2, [3.0, 5.0])]
+    nodes = spark.createDataFrame(rows, "node long, _v array<double>")
+    got = {(r.node, r.neighbour): r.distance for r in _first_links(nodes, 3, 1, 2).collect()}
+    assert got == {(0, 1): None, (1, 2): None, (2, 0): 5.0}
+
+
+def test_part_sizes():
+    assert _part_sizes(900, 10, 96, 8) == (113, 113)
+    first, later = _part_sizes(10**8, 15, 256, 8)
+    assert later == 1 and first * (256 + 31 * 64) <= neighbours.PART_BYTES
+
+
+def test_a_vector_is_not_sent_once_per_host(spark, plain_plans):
+    n, width = 2000, 64
+    rng = np.random.default_rng(11)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (n, width)))], "vec_id long, embedding array<double>")
+    frame = materialise(frame, "vectors")
+
+    def written():
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = written()
+    neighbour_graph(frame, "vec_id", "embedding", rounds=1).count()
+    assert written() - before < 12 * n * width * 8
