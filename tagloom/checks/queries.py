@@ -575,6 +575,7 @@ def tagged_csv(spark, sf_dir):
 
 
 def noun_csv(spark, sf_dir):
+    """The file repeats most nouns once per analyzer, so it is written compressed."""
     path = new_path(spark, "nouns")
     wide = fx.noun_table(spark, sf_dir)
 
@@ -588,7 +589,7 @@ def noun_csv(spark, sf_dir):
         )
         return F.concat(F.lit("["), joined(quoted, ", "), F.lit("]")).alias(column)
 
-    write_csv(wide.select("doc_id", *[printed(c) for c in wide.columns[1:]]), path)
+    write_csv(wide.select("doc_id", *[printed(c) for c in wide.columns[1:]]), path, compression="lz4")
     docs = noun_documents(read_noun_csv(spark, path))
     return docs.select("doc_id", "analyzer", F.size("nouns").cast("bigint").alias("n_nouns"), noun_text(F.col("nouns")).alias("text"))
 

@@ -30,9 +30,19 @@ def submission_rows(test: DataFrame, predictions: DataFrame, prefix: str, label_
     )
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with header, no index; quotes are doubled so that the reader gets every value back."""
-    df.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+# A compressed file cannot be split, so one task reads at most this many rows.
+ROWS_PER_FILE = 20_000
+
+
+def write_csv(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """CSV with header, no index; quotes are doubled so that the reader gets every value back.
+
+    ``compression`` names a codec that the reader knows by the file's suffix.
+    """
+    options = {"compression": compression, "maxRecordsPerFile": str(ROWS_PER_FILE)} if compression else {}
+    df.write.options(**options).csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

@@ -5,8 +5,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom.checks import queries
 from tagloom.operators.corrections import KNOWN_CORRECTIONS
 from tagloom.plans.prepare import read_test, read_train
+from tagloom.sources import sinks
 from tagloom.sources.sinks import (
     pred_label_rows,
     run_folder,
@@ -65,6 +67,19 @@ def test_csv_round_trip_keeps_every_character(spark, tmp_path):
     assert sorted(map(tuple, read_tagged_csv(spark, str(tmp_path / "csv"), multi_line=True).collect())) == rows
 
 
+def test_noun_csv_takes_less_disk_than_its_text(spark, tmp_path, monkeypatch):
+    """All five noun columns are written and read back, in files of bounded rows."""
+    monkeypatch.setattr(sinks, "ROWS_PER_FILE", 20)
+    monkeypatch.setattr(queries, "new_path", lambda spark, name: str(tmp_path / name))
+    rows = [(i, " ".join(f"word{(i * k) % 89} it's" for k in range(1, 300))) for i in range(50)] + [(50, None), (51, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.noun_csv(spark, str(tmp_path)).groupBy("doc_id").agg(F.count("text").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()
+    assert {r.doc_id: r.n for r in found} == {i: (0 if i == 50 else 5) for i in range(52)}
+    files = list((tmp_path / "nouns").glob("part-*"))
+    assert len(files) == 3 and sum(f.stat().st_size for f in files) < sum(r["size"] or 0 for r in found) / 2
+
+
 def test_csv_columns_go_by_name(spark, tmp_path):
     path = tmp_path / "named.csv"
     path.write_text("note,sentence,row_id\nx,one,7\ny,two,3\n", encoding="utf-8")
