@@ -330,7 +330,7 @@ def encode_augmented(spark, sf_dir):
     rows = augment(stored(prefixed_rows(spark, sf_dir)), ROUNDS, label_prefix=LABEL_PREFIX)
     rows = materialise(rows, "augmented")
     limits = {"input_ids": ("input_sentence", INPUT_LIMIT), "label_ids": ("train_label", LABEL_LIMIT)}
-    coded = encode_columns(rows, full_vocabulary(rows), limits)
+    coded = encode_columns(rows, full_vocabulary(rows), limits, keep=["row_id", "round"])
     texts = [joined(F.col(c).cast("array<string>"), " ").alias(c) for c in limits]
     return coded.select("row_id", F.col("round").cast("bigint").alias("round"), *texts)
 
@@ -456,7 +456,7 @@ def evaluation_from_ids(spark, sf_dir):
     pairs = stored(fx.predictions(spark, sf_dir).select("row_id", "pred", "label"))
     vocab = materialise(build_vocabulary(pairs, ["pred", "label"]), "vocab")
     limits = {"pred_ids": ("pred", LABEL_LIMIT), "label_ids": ("label", LABEL_LIMIT)}
-    coded = encode_columns(pairs, vocab, limits).select("row_id", *limits)
+    coded = encode_columns(pairs, vocab, limits, keep=["row_id"])
     coded = coded.withColumn("label_ids", F.concat("label_ids", F.array_repeat(F.lit(LABEL_MASK), 3)))
     return evaluate_ids(coded, vocab).select(six("bleu"), six("f1"), six("acc"))
 

@@ -23,6 +23,8 @@ def clean_sentence(sentence: Column, collapse_marks: bool = True) -> Column:
     text = F.replace(text, F.lit("<"), F.lit(""))
     text = F.trim(F.regexp_replace(text, OTHER_CHARS_REGEX, " "))
     if collapse_marks:
+        # No '<' or '>' is left, so a mark can stand as '<>' while what lies between two of them goes.
         for mark in COLLAPSED_MARKS:
-            text = F.regexp_replace(text, mark + "{2,}", mark)
+            for old, new in ((mark, "<>"), ("><", ""), ("<>", mark)):
+                text = F.replace(text, F.lit(old), F.lit(new))
     return text

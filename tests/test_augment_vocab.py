@@ -1,5 +1,6 @@
 """Entity swap and vocabulary."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,40 @@ def test_the_head_of_a_vocabulary_is_filtered_not_sorted(spark, monkeypatch):
     assert entries == [(f"t{i}", i) for i in range(40)] and not whole
     sparse = vocab.filter("id % 10 = 0").selectExpr("token", "id * 1000 AS id")
     assert vocab_module._head(sparse) == ([(f"t{i}", i * 1000) for i in range(0, 200, 10)], True)
+
+
+def test_tokens_of_a_batch():
+    """Like splitting each text on its own, wherever white space is, and cut at the limit."""
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts = [f"{s}a{s}{s}b:PS{s}" for s in spaces] + [None, "", " ", "x", " :OG", "a\u200bb 가:LC나", "a b c d e f"]
+    split = [(t or "").replace(":PS", " :PS ").replace(":OG", " :OG ").replace(":LC", " :LC ").split() for t in texts]
+    tokens = vocab_module._tokeniser()
+    for n in range(1, len(texts) + 1):
+        assert tokens(pa.array(texts[:n], pa.string())).to_pylist() == split[:n]
+    assert tokens(pa.array(texts, pa.string()).slice(3, 9), 2).to_pylist() == [t[:2] for t in split[3:12]]
+    assert tokens(pa.array([], pa.string()), 2).to_pylist() == []
+
+
+def test_rows_are_stored_as_ids_with_only_their_open_tokens(spark, monkeypatch):
+    """Neither texts nor the tokens that were found are written; a row with a null text adds nothing to the vocabulary."""
+    stored = {}
+
+    def keep(df, name):
+        stored[name] = df.localCheckpoint()
+        return stored[name]
+
+    rows = [(i % 7, f"often w{i} often {'x' * 70}", f"n{i}:PS often") for i in range(40)] + [(50, None, "lost"), (51, "", "often")]
+    frame = spark.createDataFrame(rows, "row_id long, text string, label string")
+    vocab = build_vocabulary(frame, ["text", "label"])
+    ids = {r.token: r.id for r in vocab.collect()}
+    assert "lost" not in ids and ids["often"] == 9 and ids["x" * 70] == 10 and len(ids) == 9 + 2 + 80
+    monkeypatch.setattr(vocab_module, "HEAD_ENTRIES", 12)
+    monkeypatch.setattr(vocab_module, "materialise", keep)
+    coded = vocab_module.encode_columns(frame, vocab, {"a": ("text", 4), "b": ("label", None)}, keep=["row_id"])
+    assert coded.columns == ["row_id", "a", "b"]
+    want = [(r, [ids["often"], ids[t.split()[1]], ids["often"], 1], [ids[n.split(":")[0]], 6, ids["often"], 1]) for r, t, n in rows[:40]]
+    assert sorted(map(tuple, coded.collect())) == sorted([*want, (50, [1], [2, 1]), (51, [1], [ids["often"], 1])])
+    found = stored["resolved"]
+    assert found.columns == ["row_id", "_coded", "_coded_row"]
+    open_keys = [o.key for r in found.collect() for o in r._coded.open]
+    assert "often" not in open_keys and len(open_keys) <= 81
