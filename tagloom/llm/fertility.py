@@ -22,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -44,6 +45,10 @@ PRIOR = 20.0  # documents that the wider group counts for in the band of a langu
 LEAST_DEVIATION = 0.02  # of the median; a tight corpus must not reject its own ordinary spread
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
+# The pair encoder's pattern keeps a state per character of white space and ends with an error near 1,000,000 of them:
+# texts beyond this length are cut at long runs.
+LONG_TEXT, LONG_RUN = 400_000, 100_000
+RUNS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 MEASURES = ("chars_per_pair_token", "chars_per_piece", "byte_share", "entropy")
 COUNTS = ("n_words", "word_chars", "n_dup_lines", "n_repeat_words", "n_pair_tokens", "n_pieces", "n_bytes_pieces")
 SCHEMA = ", ".join(["doc_id bigint", *(f"{c} bigint" for c in COUNTS), "piece_entropy double"])
@@ -62,7 +67,17 @@ class Coder:
     def codes(self, text: str) -> tuple[int, np.ndarray]:
         """Number of pair tokens, and the ids of all pieces; a line end counts as a space."""
         text = text.replace("\n", " ")
-        return len(self.pairs.encode_to_numpy(text, disallowed_special=())), np.asarray(self.pieces.encode(text), np.int64)
+        return self.n_pairs(text), np.asarray(self.pieces.encode(text), np.int64)
+
+    def n_pairs(self, text: str) -> int:
+        """A run of white space is one match of the pattern, but for its last character if more text follows."""
+        n, start = 0, 0
+        for run in RUNS.finditer(text) if len(text) > LONG_TEXT else ():
+            end = run.end() - (run.end() < len(text))
+            n += len(self.pairs.encode_to_numpy(text[start : run.start()], disallowed_special=()))
+            n += len(self.pairs._encode_single_piece(text[run.start() : end]))
+            start = end
+        return n + len(self.pairs.encode_to_numpy(text[start:], disallowed_special=()))
 
 
 @cache
@@ -209,7 +224,8 @@ def fertility_rules(docs: DataFrame) -> DataFrame:
     outside = F.lit(False)
     for m in MEASURES:
         mid, dev = F.col(f"{m}_mid"), F.col(f"{m}_dev")
-        allowed = WIDTH * dev * F.sqrt(1 + F.lit(SHORT) / F.col("n_words"))
+        # A text without words fails the base rules; its width only has to be defined.
+        allowed = WIDTH * dev * F.sqrt(1 + F.lit(SHORT) / F.greatest("n_words", F.lit(1)))
         outside = outside | F.coalesce(F.abs(F.col(m) - mid) > allowed, F.lit(False))
     return judged.select(
         "doc_id",

@@ -1,9 +1,13 @@
 """Every operator on nulls, empty and very long texts, repeated rows, empty tables and odd columns."""
 
+import re
+
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tagloom.llm import fertility
 from tagloom.llm.chat_format import format_turns, read_back
 from tagloom.llm.decontaminate import contamination, drop_contaminated
 from tagloom.llm.fertility import fertility_rules
@@ -67,6 +71,26 @@ def test_operators_return_every_row(docs, labels, items):
     assert mixture(docs).select("doc_id").distinct().count() == n - 1
 
 
+def test_texts_without_words_beside_a_band(spark):
+    """Their language has a band, as other documents pass; long runs of white space are encoded whole."""
+    rows = [(i, " ".join(f"w{(i * k) % 97}" for k in range(2, 90)), "en") for i in range(1, 40)]
+    texts = [None, "", " ", "\n\t\n", "\u3000", "a" + " " * 1_100_000 + "b\n", "\n" * 1_100_000]
+    odd = [(100 + i, text, "en") for i, text in enumerate(texts)]
+    found = {r.doc_id: r for r in fertility_rules(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")).collect()}
+    assert len(found) == len(rows) + len(odd) and any(found[r[0]].kept for r in rows)
+    assert [found[r[0]].n_words for r in odd] == [0, 0, 0, 0, 1, 2, 0]
+    assert all(found[r[0]].base_failed and not found[r[0]].kept for r in odd)
+
+
+def test_runs_of_white_space_are_one_match(monkeypatch):
+    coder = fertility.Coder(*map(public_tokenizers.path, (fertility.PAIRS, fertility.PIECES)))
+    texts = ["", " ", "a    b", "   ", "  x\t\t\t y \u3000\u3000\u3000.\x85\x85\x85", "a\x1c\x1c\x1cb  's   's", "\t\t\t\t'll    12"]
+    whole = [len(coder.pairs.encode(t)) for t in texts]
+    monkeypatch.setattr(fertility, "LONG_TEXT", 0)
+    monkeypatch.setattr(fertility, "RUNS", re.compile(fertility.RUNS.pattern.replace(str(fertility.LONG_RUN), "2")))
+    assert [coder.n_pairs(t) for t in texts] == whole
+
+
 def test_stages_keep_the_columns(docs, labels, items):
     for kept in (keep_good(docs, labels), keep_one_of_each(docs), drop_contaminated(docs, items), mix(docs)):
         assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
